@@ -1,0 +1,4 @@
+"""No operator of this library is a streaming one: the work is batch risk reporting.
+
+The row-local column functions in ``foliospark.functions`` work on a streaming DataFrame as they are.
+"""
