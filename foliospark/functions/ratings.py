@@ -19,6 +19,11 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def round_half_up(x: Column, digits: int) -> Column:
+    """Half away from zero on the decimal value: sums in another order do not flip a tie."""
+    return F.round(x.cast("decimal(38,9)"), digits).cast("double")
+
+
 def amount(x: Column, digits: int) -> Column:
     """Fixed-point text without grouping."""
     return F.round(x, digits).cast(f"decimal(38,{digits})").cast("string")

@@ -134,10 +134,10 @@ def explain_stress(impacts: DataFrame) -> DataFrame:
         "portfolio_id", "scenario_key", F.col("final_impact").alias("impact_percentage"), "base_impact", "hhi",
         "diversification_factor", "concentration_penalty",
         F.round("portfolio_value", 2).alias("portfolio_value"),
-        F.round(F.abs(F.col("portfolio_value") * frac), 2).alias("dollar_impact"),
-        F.round(F.col("portfolio_value") * (1 + frac), 2).alias("stressed_value"),
+        R.round_half_up(F.abs(F.col("portfolio_value") * frac), 2).alias("dollar_impact"),
+        R.round_half_up(F.col("portfolio_value") * (1 + frac), 2).alias("stressed_value"),
         R.stress_risk_level(a).alias("risk_level"), F.round(R.recovery_months(a), 4).alias("recovery_months"),
-        F.round(R.var95_proxy(frac), 6).alias("var_95"))
+        F.round(R.var95_proxy(frac), 8).alias("var_95"))
 
 
 def stress(h: DataFrame, grid: DataFrame | None = None, known_sectors: list[str] | None = None) -> DataFrame:
@@ -199,10 +199,10 @@ def apply_custom_scenario(h: DataFrame, impacts: DataFrame, equity_impact: float
 def sector_loss(stressed: DataFrame) -> DataFrame:
     g = stressed.groupBy("portfolio_id", "sector", "sector_impact").agg(
         F.sum("value").alias("v"), F.sum("loss").alias("l"))
-    return g.select("portfolio_id", "sector", F.round("v", 2).alias("value"), F.round("l", 2).alias("loss"),
+    return g.select("portfolio_id", "sector", F.round("v", 2).alias("value"), R.round_half_up(F.col("l"), 2).alias("loss"),
                     F.round("sector_impact", 2).alias("sector_impact"),
-                    F.round(F.col("v") / F.sum("v").over(_by_portfolio()) * 100, 2).alias("weight_pct"),
-                    F.round(F.col("l") / F.col("v") * 100, 2).alias("impact_pct"))
+                    R.round_half_up(F.col("v") / F.sum("v").over(_by_portfolio()) * 100, 2).alias("weight_pct"),
+                    R.round_half_up(F.col("l") / F.col("v") * 100, 2).alias("impact_pct"))
 
 
 def legacy_stress(category_weights: DataFrame, factors: dict[str, float], default: float = -0.05) -> DataFrame:

@@ -44,12 +44,12 @@ IMPACT = """
 EXPLAINED = """
   SELECT portfolio_id, scenario_key, final_impact AS impact_percentage, base_impact, hhi, diversification_factor,
          concentration_penalty, round(portfolio_value, 2) AS portfolio_value,
-         round(abs(portfolio_value * (final_impact / 100)), 2) AS dollar_impact,
-         round(portfolio_value * (1 + final_impact / 100), 2) AS stressed_value,
+         CAST(round(CAST(abs(portfolio_value * (final_impact / 100)) AS DECIMAL(38,9)), 2) AS DOUBLE) AS dollar_impact,
+         CAST(round(CAST(portfolio_value * (1 + final_impact / 100) AS DECIMAL(38,9)), 2) AS DOUBLE) AS stressed_value,
          CASE WHEN abs(final_impact / 100) > 0.25 THEN 'Extreme' WHEN abs(final_impact / 100) > 0.15 THEN 'High'
               WHEN abs(final_impact / 100) > 0.08 THEN 'Medium' ELSE 'Low' END AS risk_level,
          round(greatest(abs(final_impact / 100) / 0.125::DOUBLE * 12, 1), 4) AS recovery_months,
-         round(final_impact / 100 * 1.5::DOUBLE, 6) AS var_95
+         round(final_impact / 100 * 1.5::DOUBLE, 8) AS var_95
   FROM sql_impact"""
 
 from .sql_views import VIEWS  # noqa: E402
@@ -148,7 +148,7 @@ def _(spark, d):
     return explained(spark, d)
 
 
-_TITLE = "list_aggregate(list_transform(string_split(scenario_key, '_'), w -> upper(w[1]) || w[2:]), 'string_agg', ' ')"
+_TITLE = "list_aggregate(list_transform(string_split(scenario_key, '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"
 
 
 @query("e7_compare_scenarios", f"""
@@ -195,19 +195,19 @@ VIEWS["sql_custom"] = ("SELECT h.*, coalesce(i.imp, -0.15::DOUBLE) AS sector_imp
 
 @query("d6_apply_custom_scenario", """
   SELECT portfolio_id, holding_id, sector, sector_impact, round(value, 2) AS value,
-         round(value * (1 + sector_impact), 2) AS stressed_value, round(value * (1 + sector_impact) - value, 2) AS loss
+         round(value * (1 + sector_impact), 4) AS stressed_value, round(value * (1 + sector_impact) - value, 4) AS loss
   FROM sql_custom""")
 def _(spark, d):
     return _custom(spark, d).select(
         "portfolio_id", "holding_id", "sector", "sector_impact", F.round("value", 2).alias("value"),
-        F.round("stressed_value", 2).alias("stressed_value"), F.round("loss", 2).alias("loss"))
+        F.round("stressed_value", 4).alias("stressed_value"), F.round("loss", 4).alias("loss"))
 
 
 @query("e10_sector_loss", """
   WITH g AS (SELECT portfolio_id, sector, sector_impact, sum(value) AS v, sum(value * (1 + sector_impact) - value) AS l
              FROM sql_custom GROUP BY 1, 2, 3)
-  SELECT portfolio_id, sector, round(v, 2) AS value, round(l, 2) AS loss, round(sector_impact, 2) AS sector_impact,
-         round(v / sum(v) OVER (PARTITION BY portfolio_id) * 100, 2) AS weight_pct, round(l / v * 100, 2) AS impact_pct FROM g""")
+  SELECT portfolio_id, sector, round(v, 2) AS value, CAST(round(CAST(l AS DECIMAL(38,9)), 2) AS DOUBLE) AS loss, round(sector_impact, 2) AS sector_impact,
+         CAST(round(CAST(v / sum(v) OVER (PARTITION BY portfolio_id) * 100 AS DECIMAL(38,9)), 2) AS DOUBLE) AS weight_pct, CAST(round(CAST(l / v * 100 AS DECIMAL(38,9)), 2) AS DOUBLE) AS impact_pct FROM g""")
 def _(spark, d):
     return S.sector_loss(_custom(spark, d))
 
@@ -257,7 +257,7 @@ def _(spark, d):
 _PARTIAL = """
   SELECT n.stock_name, coalesce((SELECT sector FROM (
       SELECT k.sector, k.ord, sum(CASE WHEN contains(upper(trim(n.stock_name)), k.keyword) THEN 2 ELSE 0 END
-        + CASE WHEN len(list_filter(string_split(k.keyword, ' '), w -> contains(upper(trim(n.stock_name)), w))) > 0 THEN 1 ELSE 0 END) AS sc
+        + CASE WHEN len(list_filter(string_split(k.keyword, ' '), lambda w: contains(upper(trim(n.stock_name)), w))) > 0 THEN 1 ELSE 0 END) AS sc
       FROM lk_partial_keyword k GROUP BY 1, 2 HAVING sc > 0 ORDER BY sc DESC, ord LIMIT 1)), 'Other') AS sector
   FROM (SELECT DISTINCT stock_name FROM holdings) n"""
 VIEWS["sql_name_partial"] = _PARTIAL
