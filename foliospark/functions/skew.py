@@ -43,6 +43,15 @@ def attach(fact: DataFrame, summary: DataFrame, keys: Sequence[str], spread: Seq
                          *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 
 
+def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it is shown to be small, else as it is.
+
+    For tables a caller supplies (benchmarks, custom scenarios): at most ``max_rows + 1`` rows are read to
+    find out.  A larger table is joined by Spark's own choice, with adaptive skew handling.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def map_distinct(df: DataFrame, column: str, out: str, fn, spread: Sequence[str],
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``out = fn(column)`` where ``fn`` is costly: it runs once per distinct value, not per row."""

@@ -190,7 +190,7 @@ def get_scenarios(requests: DataFrame) -> DataFrame:
 # user scenarios --------------------------------------------------------------------------------
 def apply_custom_scenario(h: DataFrame, impacts: DataFrame, equity_impact: float) -> DataFrame:
     """Stressed value and loss per holding; ``impacts`` is (sector, sector_impact) fractions."""
-    j = h.join(F.broadcast(impacts), "sector", "left")
+    j = h.join(skew.small_side(impacts), "sector", "left")
     imp = F.coalesce("sector_impact", F.lit(equity_impact))
     return j.select(*h.columns, imp.alias("sector_impact"), (F.col("value") * (1 + imp)).alias("stressed_value"),
                     (F.col("value") * (1 + imp) - F.col("value")).alias("loss"))

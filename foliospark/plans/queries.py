@@ -1,4 +1,4 @@
 """All registered queries. Importing the modules fills the registry."""
 
-from . import q_stress, q_identity  # noqa: F401, E401
-from .registry import CHECK_SQL, QUERIES  # noqa: F401
+from . import q_esg, q_identity, q_market, q_stress  # noqa: F401
+from .registry import QUERIES, check_sql  # noqa: F401

@@ -18,11 +18,16 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            CHECK_SQL[name] = with_views(sql)
+            CHECK_SQL[name] = sql
         return fn
     return add
 
 
+def check_sql() -> dict[str, str]:
+    """The check of every query that has one, with the views it names put in front."""
+    return {name: with_views(sql) for name, sql in CHECK_SQL.items()}
+
+
 def _view_text(name: str) -> str | None:
     if name.startswith("lk_") and name[3:] in L.TABLES:
         return L.values_sql(name[3:], "VARCHAR")

@@ -69,7 +69,7 @@ VIEWS = {
                ts AS fetch_ts
         FROM events""",
     "company_esg": """
-        SELECT s_suppkey AS ticker, CAST(35 + s_suppkey * 7 % 60 AS DOUBLE) AS e, CAST(30 + s_suppkey * 11 % 65 AS DOUBLE) AS s,
+        SELECT s_suppkey + 120 AS ticker, CAST(35 + s_suppkey * 7 % 60 AS DOUBLE) AS e, CAST(30 + s_suppkey * 11 % 65 AS DOUBLE) AS s,
                CAST(40 + s_suppkey * 13 % 55 AS DOUBLE) AS g, CAST(35 + s_suppkey * 17 % 55 AS DOUBLE) AS total,
                CASE WHEN s_suppkey % 3 = 0 THEN 'Leader' ELSE 'Average' END AS tier
         FROM supplier""",
@@ -87,9 +87,19 @@ VIEWS = {
         FROM (SELECT *, p_partkey AS k, 30 + (p_partkey * 17) % 60 AS env, 25 + (p_partkey * 29) % 65 AS soc,
                      40 + (p_partkey * 11) % 50 AS gov FROM part)""",
     "predictions": """
-        SELECT p_partkey % 1000 AS ticker, p_partkey AS symbol, 45 + (p_partkey * 19) % 200 / 20.0::DOUBLE AS predicted,
-               (p_partkey % 10) / 10.0::DOUBLE AS imputation_ratio
+        SELECT p_partkey AS security_id, 45 + (p_partkey * 19) % 200 / 20.0::DOUBLE AS predicted,
+               (p_partkey % 10) / 10.0::DOUBLE AS imputation_ratio,
+               CASE WHEN p_partkey % 2 = 0 THEN CAST(30 + p_partkey * 3 % 50 AS DOUBLE) END AS m_e,
+               CASE WHEN p_partkey % 2 = 0 THEN CAST(35 + p_partkey * 7 % 50 AS DOUBLE) END AS m_s,
+               CASE WHEN p_partkey % 2 = 0 THEN CAST(40 + p_partkey * 9 % 50 AS DOUBLE) END AS m_g
         FROM part WHERE p_partkey % 3 = 1""",
+    "securities": """
+        SELECT symbol AS security_id, symbol % 400 AS ticker, CASE WHEN symbol % 9 <> 0 THEN marketCap END AS market_cap FROM features""",
+    "market_facts": f"""
+        SELECT user_id AS symbol, CASE event_type WHEN 'click' THEN 'nse' WHEN 'view' THEN 'yahoo' WHEN 'purchase' THEN 'fmp'
+                 WHEN 'signup' THEN 'iex' ELSE 'error' END AS provider, event_id % 4 <> 0 AND event_type <> 'error' AS ok,
+               value * 1e8::DOUBLE AS market_cap, ({_list(SECTORS)})[1 + event_id % 10] AS sector,
+               (['High', 'Medium', 'Low'])[1 + event_id % 3] AS data_quality, ts AS fetch_ts FROM events""",
     "applicants": """
         SELECT c_custkey AS applicant_id, 20000 + 10 * greatest(c_acctbal, 0.0::DOUBLE) AS income,
                CAST(c_custkey % 12 AS INT) AS employment_years, (c_custkey % 80) / 100.0::DOUBLE AS debt_to_income,

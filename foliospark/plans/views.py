@@ -119,7 +119,7 @@ def provider_rows(spark: SparkSession, d: str) -> DataFrame:
 def company_esg(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
-    return s.select(k.alias("ticker"), (35 + k * 7 % 60).cast("double").alias("e"),
+    return s.select((k + 120).alias("ticker"), (35 + k * 7 % 60).cast("double").alias("e"),
                     (30 + k * 11 % 65).cast("double").alias("s"), (40 + k * 13 % 55).cast("double").alias("g"),
                     (35 + k * 17 % 55).cast("double").alias("total"),
                     F.when(k % 3 == 0, "Leader").otherwise("Average").alias("tier"))
@@ -143,12 +143,33 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Stored model scores for part of the securities (ticker, predicted, imputation ratio)."""
+    """Stored model scores for part of the securities, with the pillars the model saw."""
     p = table(spark, d, "part")
     k = F.col("p_partkey")
+    pillar = lambda m, off: F.when(k % 2 == 0, (off + k * m % 50).cast("double"))
     return p.filter(k % 3 == 1).select(
-        (k % 1000).alias("ticker"), k.alias("symbol"), (45 + (k * 19) % 200 / 20.0).alias("predicted"),
-        ((k % 10) / 10.0).alias("imputation_ratio"))
+        k.alias("security_id"), (45 + (k * 19) % 200 / 20.0).alias("predicted"),
+        ((k % 10) / 10.0).alias("imputation_ratio"), pillar(3, 30).alias("m_e"), pillar(7, 35).alias("m_s"),
+        pillar(9, 40).alias("m_g"))
+
+
+def securities(spark: SparkSession, d: str) -> DataFrame:
+    """security_id, ESG ticker and market cap (unknown for some)."""
+    k = F.col("symbol")
+    return features(spark, d).select(k.alias("security_id"), (k % 400).alias("ticker"),
+                                     F.when(k % 9 != 0, F.col("marketCap")).alias("market_cap"))
+
+
+def market_facts(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    provider = (F.when(F.col("event_type") == "click", "nse").when(F.col("event_type") == "view", "yahoo")
+                .when(F.col("event_type") == "purchase", "fmp").when(F.col("event_type") == "signup", "iex")
+                .otherwise("error"))
+    return e.select(F.col("user_id").alias("symbol"), provider.alias("provider"),
+                    ((k % 4 != 0) & (F.col("event_type") != "error")).alias("ok"),
+                    (F.col("value") * 1e8).alias("market_cap"), pick(SECTORS, k % 10).alias("sector"),
+                    pick(["High", "Medium", "Low"], k % 3).alias("data_quality"), F.col("ts").alias("fetch_ts"))
 
 
 def applicants(spark: SparkSession, d: str) -> DataFrame:
