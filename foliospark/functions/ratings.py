@@ -20,8 +20,12 @@ def _text(*parts) -> Column:
 
 
 def round_half_up(x: Column, digits: int) -> Column:
-    """Half away from zero on the decimal value: sums in another order do not flip a tie."""
-    return F.round(x.cast("decimal(38,9)"), digits).cast("double")
+    """Half away from zero on the decimal value: a sum taken in another order does not flip a tie.
+
+    Plain double arithmetic (``round`` on doubles goes through BigDecimal for every row).
+    """
+    scale = 10.0 ** digits
+    return F.signum(x) * F.floor(F.abs(x) * scale + (0.5 + 5e-10 * scale)) / scale
 
 
 def amount(x: Column, digits: int) -> Column:

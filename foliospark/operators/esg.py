@@ -144,9 +144,14 @@ def esg_coverage(scored: DataFrame) -> DataFrame:
                     share("ml_predictions").alias("ml_share"), share("unrated_holdings").alias("proxy_share"))
 
 
+def _weighted(scored: DataFrame) -> DataFrame:
+    """The weight column is taken as it is when the holdings got it before they were scored."""
+    return scored if "weight" in scored.columns else weights(scored)
+
+
 def with_weight_pct(scored: DataFrame) -> DataFrame:
-    """Holdings with weight (fraction) and weight_pct (2 digits)."""
-    return weights(scored).withColumn("weight_pct", R.round_half_up(F.col("weight") * 100, 2))
+    """Holdings with weight_pct (2 digits)."""
+    return _weighted(scored).withColumn("weight_pct", R.round_half_up(F.col("weight") * 100, 2))
 
 
 def esg_sector_breakdown(scored: DataFrame) -> DataFrame:
@@ -226,17 +231,18 @@ def esg_risk_summary(scored: DataFrame) -> DataFrame:
 
 
 def high_risk_holdings(scored: DataFrame) -> DataFrame:
-    return weights(scored).filter(100 - F.col("overall") > 50).select(
+    return _weighted(scored).filter(100 - F.col("overall") > 50).select(
         "portfolio_id", "holding_id", "stock_name", F.round(100 - F.col("overall"), 2).alias("esg_risk"),
         F.round(F.col("weight") * 100, 4).alias("weight_pct"), F.round("value", 2).alias("value"))
 
 
 def improvement_candidates(scored: DataFrame) -> DataFrame:
     """Holdings below the plain mean score of their portfolio, with the gap."""
-    x = weights(scored, {"avg_esg": F.avg("overall")}).withColumn("avg_esg", F.round("avg_esg", 9))
+    mean = scored.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("overall"), 9).alias("avg_esg"))
+    x = skew.attach(_weighted(scored), mean, ["portfolio_id"], ["holding_id"])
     return x.filter(F.col("overall") < F.col("avg_esg")).select(
-        "portfolio_id", "holding_id", "stock_name", "sector", "overall", F.round("avg_esg", 4).alias("avg_esg"),
-        F.round(F.col("avg_esg") - F.col("overall"), 4).alias("gap"), F.round(F.col("weight") * 100, 4).alias("weight_pct"))
+        "portfolio_id", "holding_id", "stock_name", "sector", "overall", R.round_half_up(F.col("avg_esg"), 4).alias("avg_esg"),
+        R.round_half_up(F.col("avg_esg") - F.col("overall"), 4).alias("gap"), F.round(F.col("weight") * 100, 4).alias("weight_pct"))
 
 
 def improvement_potential(scored: DataFrame, points: float = 5.0) -> DataFrame:

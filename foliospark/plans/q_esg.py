@@ -38,6 +38,11 @@ def scored(spark, d):
     return E.score_holdings(V.holdings(spark, d), tiers(spark, d))
 
 
+def scored_w(spark, d):
+    """Weights are attached to the bare holdings, so the scoring joins run once."""
+    return E.score_holdings(P.weights(V.holdings(spark, d)), tiers(spark, d))
+
+
 VIEWS["sql_tiers"] = f"""
   SELECT x.security_id, market_cap, CASE WHEN n.ticker IS NOT NULL THEN 'api' WHEN c.ticker IS NOT NULL THEN 'company'
            WHEN p.security_id IS NOT NULL THEN 'model' ELSE 'proxy' END AS tier,
@@ -138,7 +143,7 @@ VIEWS["sql_breakdown"] = f"""
 
 @query("e20_esg_sector_breakdown", "SELECT * FROM sql_breakdown")
 def _(spark, d):
-    return E.esg_sector_breakdown(scored(spark, d))
+    return E.esg_sector_breakdown(scored_w(spark, d))
 
 
 @query("e20_esg_sector_members", """
@@ -151,7 +156,7 @@ def _(spark, d):
   SELECT portfolio_id, sector, avg_esg_score, total_weight,
          CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY avg_esg_score DESC, sector) AS INT) AS rank FROM sql_breakdown""")
 def _(spark, d):
-    return E.rank_sectors(E.esg_sector_breakdown(scored(spark, d)))
+    return E.rank_sectors(E.esg_sector_breakdown(scored_w(spark, d)))
 
 
 _SENS = ["Energy", "Oil & Gas", "Metals & Mining", "Chemicals"]
@@ -170,7 +175,7 @@ def _pct0(c):
      CASE WHEN px / n > 0.5 THEN 'Data Risk: ' || px || ' holdings (' || {_pct0('px')} || '%) using estimated ESG scores' END, {_SENS_MSG}) AS t FROM g)
   SELECT portfolio_id, CASE WHEN t <> '' THEN t ELSE 'No significant ESG risk exposures identified' END AS risks FROM t""")
 def _(spark, d):
-    return E.esg_exposures(scored(spark, d))
+    return E.esg_exposures(scored_w(spark, d))
 
 
 @query("e22_star_distribution", """
@@ -212,17 +217,17 @@ def _(spark, d):
   SELECT portfolio_id, holding_id, stock_name, round(100 - overall, 2) AS esg_risk, round(weight * 100, 4) AS weight_pct, round(value, 2) AS value
   FROM sql_scored WHERE 100 - overall > 50""")
 def _(spark, d):
-    return E.high_risk_holdings(scored(spark, d))
+    return E.high_risk_holdings(scored_w(spark, d))
 
 
 VIEWS["sql_cand"] = """
   SELECT * FROM (SELECT *, round(avg(overall) OVER (PARTITION BY portfolio_id), 9) AS avg_esg FROM sql_scored) WHERE overall < avg_esg"""
 
 
-@query("e26_improvement_candidates", """
-  SELECT portfolio_id, holding_id, stock_name, sector, overall, round(avg_esg, 4) AS avg_esg, round(avg_esg - overall, 4) AS gap, round(weight * 100, 4) AS weight_pct FROM sql_cand""")
+@query("e26_improvement_candidates", f"""
+  SELECT portfolio_id, holding_id, stock_name, sector, overall, {half("avg_esg", 4)} AS avg_esg, {half("avg_esg - overall", 4)} AS gap, round(weight * 100, 4) AS weight_pct FROM sql_cand""")
 def _(spark, d):
-    return E.improvement_candidates(scored(spark, d))
+    return E.improvement_candidates(scored_w(spark, d))
 
 
 @query("e26_improvement_potential", """
@@ -230,7 +235,7 @@ def _(spark, d):
   s AS (SELECT portfolio_id, sum(overall * value) / sum(value) AS score FROM sql_scored GROUP BY 1)
   SELECT portfolio_id, round(score, 4) AS score, coalesce(c, 0) AS candidates, round(score + coalesce(c, 0) * 5.0::DOUBLE, 4) AS potential FROM s LEFT JOIN n USING (portfolio_id)""")
 def _(spark, d):
-    return E.improvement_potential(scored(spark, d))
+    return E.improvement_potential(scored_w(spark, d))
 
 
 _RECO = r"""
@@ -248,7 +253,7 @@ _RECO = r"""
 
 def _reco(spark, d):
     s = scored(spark, d)
-    return E.esg_recommendations(E.portfolio_esg(s), E.esg_coverage(s), E.esg_sector_breakdown(s))
+    return E.esg_recommendations(E.portfolio_esg(s), E.esg_coverage(s), E.esg_sector_breakdown(scored_w(spark, d)))
 
 
 @query("e27_esg_recommendations", _RECO)
@@ -297,7 +302,7 @@ def _whole(c):
          CAST(CAST(round(CAST(weight_pct AS DECIMAL(38,9)), 1) AS DECIMAL(38,1)) AS VARCHAR) || '%' AS weight,
          CASE WHEN is_proxy THEN 'Proxy' ELSE 'Real' END AS source FROM sql_scored""")
 def _(spark, d):
-    return E.esg_table(scored(spark, d))
+    return E.esg_table(scored_w(spark, d))
 
 
 @query("e44_esg_monitor", """

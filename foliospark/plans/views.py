@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lookups import sql_literal
+
 SECTORS = ["IT Services", "Banking", "Oil & Gas", "FMCG", "Automobiles", "Pharmaceuticals",
            "Metals & Mining", "Power", "Real Estate", "Media & Entertainment"]
 NAMES = [
@@ -27,65 +29,67 @@ ISINS = ["INE028A01039", "INE522F01014", "ine009a01021 ", "INE999Z99999", None]
 AS_OF = "2024-01-31"
 
 
+# Given schemas spare a job per table that would only read a file footer.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
+
+
+def pick_sql(values, index: str) -> str:
+    """SQL for the index-th of fixed values."""
+    return "get(array(" + ", ".join(sql_literal(v) for v in values) + f"), cast({index} as int))"
 
 
 def pick(values, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(F.expr("array(" + ", ".join(sql_literal(v) for v in values) + ")"), index.cast("int"))
 
 
 def holdings(spark: SparkSession, d: str) -> DataFrame:
     li, o, p = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
     j = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(p, F.col("l_partkey") == F.col("p_partkey")))
-    key = F.col("l_partkey")
-    return j.select(
-        F.col("o_custkey").alias("portfolio_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                    F.col("l_quantity").cast("int")).alias("holding_id"),
-        key.alias("security_id"),
-        pick(NAMES, key % 40).alias("stock_name"),
-        pick(SECTORS, key % 10).alias("sector"),
-        F.col("l_quantity").alias("quantity"),
-        F.col("p_retailprice").alias("price"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("avg_cost"),
-        F.col("l_extendedprice").alias("invested"),
-        (F.col("l_quantity") * F.col("p_retailprice")).alias("value"))
+    return j.selectExpr(
+        "o_custkey AS portfolio_id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int)) AS holding_id",
+        "l_partkey AS security_id", pick_sql(NAMES, "l_partkey % 40") + " AS stock_name",
+        pick_sql(SECTORS, "l_partkey % 10") + " AS sector", "l_quantity AS quantity", "p_retailprice AS price",
+        "l_extendedprice / l_quantity AS avg_cost", "l_extendedprice AS invested", "l_quantity * p_retailprice AS value")
 
 
 def holdings_dirty(spark: SparkSession, d: str) -> DataFrame:
     """Holdings with gaps by rule; one row per line, canonical column names."""
-    key = F.col("security_id")
-    gap = lambda n, c: F.when(key % n != 0, c)
-    h = holdings(spark, d)
-    return h.select(
+    gap = lambda n, x, name: f"if(security_id % {n} <> 0, {x}, null) AS {name}"
+    return holdings(spark, d).selectExpr(
         "portfolio_id", "holding_id", "security_id",
-        F.when(key % 17 == 0, F.lit(None)).when(key % 19 == 0, F.lit("  ")).otherwise(F.col("stock_name"))
-        .alias("stock_name"),
-        F.when(key % 3 == 0, F.concat(F.lit("SYM"), key.cast("string"))).alias("symbol"),
-        pick(ISINS, key % 5).alias("isin"),
-        gap(11, F.col("sector")).alias("sector"),
-        F.when(key % 29 == 0, F.lit(0.0)).otherwise(F.col("quantity")).alias("quantity"),
-        gap(5, F.col("price")).alias("current_price"),
-        F.when(key % 4 == 0, F.round(F.col("price") * 0.98, 2)).alias("prev_close"),
-        gap(6, F.round(F.col("avg_cost"), 4)).alias("avg_price"),
-        gap(2, F.round(F.col("value"), 2)).alias("current_value"),
-        gap(7, F.col("invested")).alias("invested_value"),
-        gap(9, F.round(F.col("value") - F.col("invested"), 2)).alias("pnl"),
-        F.when(key % 8 == 0, (key % 13 - 6) / 2.0).alias("change_pct"))
+        "CASE WHEN security_id % 17 = 0 THEN null WHEN security_id % 19 = 0 THEN '  ' ELSE stock_name END AS stock_name",
+        "if(security_id % 3 = 0, 'SYM' || security_id, null) AS symbol",
+        pick_sql(ISINS, "security_id % 5") + " AS isin", gap(11, "sector", "sector"),
+        "if(security_id % 29 = 0, 0.0D, quantity) AS quantity", gap(5, "price", "current_price"),
+        "if(security_id % 4 = 0, round(price * 0.98D, 2), null) AS prev_close",
+        gap(6, "round(avg_cost, 4)", "avg_price"), gap(2, "round(value, 2)", "current_value"),
+        gap(7, "invested", "invested_value"), gap(9, "round(value - invested, 2)", "pnl"),
+        "if(security_id % 8 = 0, (security_id % 13 - 6) / 2.0D, null) AS change_pct")
 
 
 def raw_numbers(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    q = F.col("l_quantity").cast("int").cast("string")
-    x = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    n = F.col("l_linenumber")
-    raw = (F.when(n == 1, F.concat(F.lit("₹"), F.regexp_replace(x, r"([0-9])([0-9]{3})\.", "$1,$2.")))
-           .when(n == 2, F.concat(F.lit("("), x, F.lit(")"))).when(n == 3, F.concat(q, F.lit("%")))
-           .when(n == 4, F.concat(F.lit("  "), x, F.lit(" "))).when(n == 5, F.concat(F.lit("$-"), x))
-           .when(n == 6, F.lit("")).when(n == 7, F.concat(F.lit("€ '"), q, F.lit("'"))))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", raw.alias("raw"))
+    li = table(spark, d, "lineitem").selectExpr(
+        "*", "cast(cast(l_quantity as int) as string) AS q", "cast(cast(l_extendedprice as decimal(18,2)) as string) AS x")
+    return li.selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        r"""CASE l_linenumber WHEN 1 THEN '₹' || regexp_replace(x, r'([0-9])([0-9]{3})\.', r'$1,$2.')
+            WHEN 2 THEN '(' || x || ')' WHEN 3 THEN q || '%' WHEN 4 THEN '  ' || x || ' ' WHEN 5 THEN '$-' || x
+            WHEN 6 THEN '' WHEN 7 THEN "€ '" || q || "'" END AS raw""")
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
@@ -103,73 +107,55 @@ def prices_long(spark: SparkSession, d: str) -> DataFrame:
 
 def provider_rows(spark: SparkSession, d: str) -> DataFrame:
     """Landed ESG rows of several providers, as fetched (yahoo on its 0..50 risk scale)."""
-    e = table(spark, d, "events")
-    k = F.col("event_id")
-    provider = (F.when(F.col("event_type") == "click", "yahoo").when(F.col("event_type") == "view", "finnhub")
-                .when(F.col("event_type") == "purchase", "rapidapi").when(F.col("event_type") == "signup", "fmp")
-                .otherwise("error"))
-    zero = k % 13 == 0
-    score = lambda m, off, gap: F.when(zero, F.lit(0.0)).when(k % gap != 0, ((k * m + off) % 51).cast("double"))
-    return e.select(F.col("user_id").alias("ticker"), provider.alias("provider"), k.alias("fact_id"),
-                    score(7, 1, 11).alias("raw_e"), score(11, 3, 17).alias("raw_s"), score(5, 2, 19).alias("raw_g"),
-                    F.when(zero, F.lit(0.0)).when(k % 3 != 0, ((k * 3) % 51).cast("double")).alias("raw_total"),
-                    F.col("ts").alias("fetch_ts"))
+    score = lambda m, off, gap, name: (
+        f"CASE WHEN event_id % 13 = 0 THEN 0.0D WHEN event_id % {gap} <> 0 THEN cast((event_id * {m} + {off}) % 51 AS double) END AS {name}")
+    return table(spark, d, "events").selectExpr(
+        "user_id AS ticker",
+        "CASE event_type WHEN 'click' THEN 'yahoo' WHEN 'view' THEN 'finnhub' WHEN 'purchase' THEN 'rapidapi' WHEN 'signup' THEN 'fmp' ELSE 'error' END AS provider",
+        "event_id AS fact_id", score(7, 1, 11, "raw_e"), score(11, 3, 17, "raw_s"), score(5, 2, 19, "raw_g"),
+        score(3, 0, 3, "raw_total"), "ts AS fetch_ts")
 
 
 def company_esg(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier")
-    k = F.col("s_suppkey")
-    return s.select((k + 120).alias("ticker"), (35 + k * 7 % 60).cast("double").alias("e"),
-                    (30 + k * 11 % 65).cast("double").alias("s"), (40 + k * 13 % 55).cast("double").alias("g"),
-                    (35 + k * 17 % 55).cast("double").alias("total"),
-                    F.when(k % 3 == 0, "Leader").otherwise("Average").alias("tier"))
+    k = "s_suppkey"
+    return table(spark, d, "supplier").selectExpr(
+        f"{k} + 120 AS ticker", f"cast(35 + {k} * 7 % 60 AS double) AS e", f"cast(30 + {k} * 11 % 65 AS double) AS s",
+        f"cast(40 + {k} * 13 % 55 AS double) AS g", f"cast(35 + {k} * 17 % 55 AS double) AS total",
+        f"if({k} % 3 = 0, 'Leader', 'Average') AS tier")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    k = F.col("p_partkey")
-    env, soc, gov = 30 + (k * 17) % 60, 25 + (k * 29) % 65, 40 + (k * 11) % 50
-    return p.select(
-        k.alias("symbol"), pick(SECTORS, k % 10).alias("sector"),
-        F.when(k % 19 != 0, F.col("p_retailprice") * k * 1e6).alias("marketCap"),
-        F.when(k % 7 != 0, F.col("p_size").cast("double")).alias("trailingPE"),
-        (0.5 + (k % 30) / 20.0).alias("beta"), ((k % 50) / 1000.0).alias("vol_30d"),
-        (((k * 13) % 41 - 20) / 100.0).alias("ret_1m"),
-        F.when(k % 23 != 0, env.cast("double")).alias("environment_score"),
-        F.when(k % 29 != 0, soc.cast("double")).alias("social_score"),
-        F.when(k % 31 != 0, gov.cast("double")).alias("governance_score"),
-        F.when(k % 37 != 0, F.round(0.4 * env + 0.3 * soc + 0.3 * gov + (F.col("p_size") % 5 - 2), 2)).alias("total_esg"),
-        (k % 4 == 0).alias("imputed"))
+    env, soc, gov = "(30 + (k * 17) % 60)", "(25 + (k * 29) % 65)", "(40 + (k * 11) % 50)"
+    gap = lambda n, x, name: f"if(k % {n} <> 0, {x}, null) AS {name}"
+    return table(spark, d, "part").withColumnRenamed("p_partkey", "k").selectExpr(
+        "k AS symbol", pick_sql(SECTORS, "k % 10") + " AS sector", gap(19, "p_retailprice * k * 1e6D", "marketCap"),
+        gap(7, "cast(p_size AS double)", "trailingPE"), "0.5D + (k % 30) / 20.0D AS beta", "(k % 50) / 1000.0D AS vol_30d",
+        "((k * 13) % 41 - 20) / 100.0D AS ret_1m", gap(23, f"cast({env} AS double)", "environment_score"),
+        gap(29, f"cast({soc} AS double)", "social_score"), gap(31, f"cast({gov} AS double)", "governance_score"),
+        gap(37, f"round(0.4D * {env} + 0.3D * {soc} + 0.3D * {gov} + (p_size % 5 - 2), 2)", "total_esg"), "k % 4 = 0 AS imputed")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Stored model scores for part of the securities, with the pillars the model saw."""
-    p = table(spark, d, "part")
-    k = F.col("p_partkey")
-    pillar = lambda m, off: F.when(k % 2 == 0, (off + k * m % 50).cast("double"))
-    return p.filter(k % 3 == 1).select(
-        k.alias("security_id"), (45 + (k * 19) % 200 / 20.0).alias("predicted"),
-        ((k % 10) / 10.0).alias("imputation_ratio"), pillar(3, 30).alias("m_e"), pillar(7, 35).alias("m_s"),
-        pillar(9, 40).alias("m_g"))
+    pillar = lambda m, off, name: f"if(p_partkey % 2 = 0, cast({off} + p_partkey * {m} % 50 AS double), null) AS {name}"
+    return table(spark, d, "part").filter("p_partkey % 3 = 1").selectExpr(
+        "p_partkey AS security_id", "45 + (p_partkey * 19) % 200 / 20.0D AS predicted", "(p_partkey % 10) / 10.0D AS imputation_ratio",
+        pillar(3, 30, "m_e"), pillar(7, 35, "m_s"), pillar(9, 40, "m_g"))
 
 
 def securities(spark: SparkSession, d: str) -> DataFrame:
     """security_id, ESG ticker and market cap (unknown for some)."""
-    k = F.col("symbol")
-    return features(spark, d).select(k.alias("security_id"), (k % 400).alias("ticker"),
-                                     F.when(k % 9 != 0, F.col("marketCap")).alias("market_cap"))
+    return features(spark, d).selectExpr("symbol AS security_id", "symbol % 400 AS ticker",
+                                         "if(symbol % 9 <> 0, marketCap, null) AS market_cap")
 
 
 def market_facts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    k = F.col("event_id")
-    provider = (F.when(F.col("event_type") == "click", "nse").when(F.col("event_type") == "view", "yahoo")
-                .when(F.col("event_type") == "purchase", "fmp").when(F.col("event_type") == "signup", "iex")
-                .otherwise("error"))
-    return e.select(F.col("user_id").alias("symbol"), provider.alias("provider"),
-                    ((k % 4 != 0) & (F.col("event_type") != "error")).alias("ok"),
-                    (F.col("value") * 1e8).alias("market_cap"), pick(SECTORS, k % 10).alias("sector"),
-                    pick(["High", "Medium", "Low"], k % 3).alias("data_quality"), F.col("ts").alias("fetch_ts"))
+    return table(spark, d, "events").selectExpr(
+        "user_id AS symbol",
+        "CASE event_type WHEN 'click' THEN 'nse' WHEN 'view' THEN 'yahoo' WHEN 'purchase' THEN 'fmp' WHEN 'signup' THEN 'iex' ELSE 'error' END AS provider",
+        "event_id % 4 <> 0 AND event_type <> 'error' AS ok", "value * 1e8D AS market_cap",
+        pick_sql(SECTORS, "event_id % 10") + " AS sector", pick_sql(["High", "Medium", "Low"], "event_id % 3") + " AS data_quality",
+        "ts AS fetch_ts")
 
 
 def applicants(spark: SparkSession, d: str) -> DataFrame:
