@@ -37,7 +37,7 @@ VIEWS = {
                CASE WHEN security_id % 29 = 0 THEN 0.0::DOUBLE ELSE quantity END AS quantity,
                CASE WHEN security_id % 5 <> 0 THEN price END AS current_price,
                CASE WHEN security_id % 4 = 0 THEN round(price * 0.98::DOUBLE, 2) END AS prev_close,
-               CASE WHEN security_id % 6 <> 0 THEN round(avg_cost, 4) END AS avg_price,
+               CASE WHEN security_id % 6 <> 0 THEN round(avg_cost, 9) END AS avg_price,
                CASE WHEN security_id % 2 <> 0 THEN round(value, 2) END AS current_value,
                CASE WHEN security_id % 7 <> 0 THEN invested END AS invested_value,
                CASE WHEN security_id % 9 <> 0 THEN round(value - invested, 2) END AS pnl,
@@ -124,9 +124,9 @@ VIEWS = {
         UNION ALL
         SELECT f, 1000 + l_orderkey * 10 + l_linenumber,
           CASE f % 5
-            WHEN 0 THEN concat_ws(',', nm, 'INE0', q, CAST(x / l_quantity AS DECIMAL(18,2)), '(' || CAST(x AS DECIMAL(18,2)) || ')',
-                                  CAST(x / 50 AS DECIMAL(18,2)), CAST(x * 2 AS DECIMAL(18,2)))
-            WHEN 1 THEN concat_ws(',', nm, 'INE1', q, CAST(x AS DECIMAL(18,2)), '₹' || CAST(x / 10 AS DECIMAL(18,2)),
+            WHEN 0 THEN concat_ws(',', nm, 'INE0', q, CAST(x / 3 AS DECIMAL(18,2)), '(' || CAST(x AS DECIMAL(18,2)) || ')',
+                                  CAST(x / 9 AS DECIMAL(18,2)), CAST(x * 2 AS DECIMAL(18,2)))
+            WHEN 1 THEN concat_ws(',', nm, 'INE1', q, CAST(x AS DECIMAL(18,2)), '₹' || CAST(x / 7 AS DECIMAL(18,2)),
                                   CAST(x * 3 AS DECIMAL(18,2)), CAST(x - 30000 AS DECIMAL(18,2)))
             WHEN 2 THEN concat_ws(',', nm, q, CAST(x AS DECIMAL(18,2)), CAST(x / 7 AS DECIMAL(18,2)))
             WHEN 3 THEN concat_ws(',', nm, q, 'text', q, 'extra', q)

@@ -77,7 +77,7 @@ def holdings_dirty(spark: SparkSession, d: str) -> DataFrame:
         pick_sql(ISINS, "security_id % 5") + " AS isin", gap(11, "sector", "sector"),
         "if(security_id % 29 = 0, 0.0D, quantity) AS quantity", gap(5, "price", "current_price"),
         "if(security_id % 4 = 0, round(price * 0.98D, 2), null) AS prev_close",
-        gap(6, "round(avg_cost, 4)", "avg_price"), gap(2, "round(value, 2)", "current_value"),
+        gap(6, "round(avg_cost, 9)", "avg_price"), gap(2, "round(value, 2)", "current_value"),
         gap(7, "invested", "invested_value"), gap(9, "round(value - invested, 2)", "pnl"),
         "if(security_id % 8 = 0, (security_id % 13 - 6) / 2.0D, null) AS change_pct")
 
@@ -184,25 +184,24 @@ def broker_lines(spark: SparkSession, d: str) -> DataFrame:
     ]
     head = pick(heads, f % 5)
     old = F.concat(F.lit("Old Stock,1,2"), F.repeat(F.lit(",3"), 4))
+    at = lambda pos, line: F.struct(F.lit(pos).cast("long").alias("pos"), line.alias("line"))
     fixed = F.array(
-        F.struct(F.lit(1).cast("long").alias("pos"), F.concat(F.lit("Client,"), f.cast("string"), F.lit(",Account")).alias("line")),
-        F.struct(F.lit(2).cast("long"), F.lit("")),
-        F.struct(F.lit(3).cast("long"), F.when(f % 3 == 0, "Realised trades").when(f % 3 == 1, "Summary of P&L")),
-        F.struct(F.lit(4).cast("long"), F.when(f % 3 == 0, head)),
-        F.struct(F.lit(5).cast("long"), F.when(f % 3 == 0, old)),
-        F.struct(F.lit(6).cast("long"), F.when(f % 3 == 0, "Unrealised trades (Holdings as on 2024-01-31),,")),
-        F.struct(F.lit(7).cast("long"), F.when((f % 3 != 2) | (f % 5 != 3), head)),
-        F.struct(F.lit(9_000_000_000_000_000).cast("long"), F.lit("Total,1,2,3,4")),
-        F.struct(F.lit(9_000_000_000_000_001).cast("long"), F.when(f % 6 == 0, "Realised trades,,")),
-        F.struct(F.lit(9_000_000_000_000_002).cast("long"), F.when(f % 6 == 0, "Sold Stock,1,2,3,4,5,6")))
+        at(1, F.concat(F.lit("Client,"), f.cast("string"), F.lit(",Account"))), at(2, F.lit("")),
+        at(3, F.when(f % 3 == 0, "Realised trades").when(f % 3 == 1, "Summary of P&L")),
+        at(4, F.when(f % 3 == 0, head)), at(5, F.when(f % 3 == 0, old)),
+        at(6, F.when(f % 3 == 0, "Unrealised trades (Holdings as on 2024-01-31),,")),
+        at(7, F.when((f % 3 != 2) | (f % 5 != 3), head)),
+        at(9_000_000_000_000_000, F.lit("Total,1,2,3,4")),
+        at(9_000_000_000_000_001, F.when(f % 6 == 0, "Realised trades,,")),
+        at(9_000_000_000_000_002, F.when(f % 6 == 0, "Sold Stock,1,2,3,4,5,6")))
     frame = (c.select(f.alias("file_id"), F.explode(fixed).alias("x"))
              .select("file_id", "x.pos", "x.line").filter("line IS NOT NULL"))
     k, q, x = F.col("l_partkey"), F.col("l_quantity").cast("int").cast("string"), F.col("l_extendedprice")
     name = F.when(k % 31 == 0, "N/A").when(k % 37 == 0, "Total Gas Ltd").otherwise(pick(NAMES, k % 40))
     style = F.col("o_custkey") % 5
-    row = (F.when(style == 0, F.concat_ws(",", name, F.lit("INE0"), q, money(x / F.col("l_quantity")),
-                                          F.concat(F.lit("("), money(x), F.lit(")")), money(x / 50), money(x * 2)))
-           .when(style == 1, F.concat_ws(",", name, F.lit("INE1"), q, money(x), F.concat(F.lit("₹"), money(x / 10)),
+    row = (F.when(style == 0, F.concat_ws(",", name, F.lit("INE0"), q, money(x / 3),
+                                          F.concat(F.lit("("), money(x), F.lit(")")), money(x / 9), money(x * 2)))
+           .when(style == 1, F.concat_ws(",", name, F.lit("INE1"), q, money(x), F.concat(F.lit("₹"), money(x / 7)),
                                          money(x * 3), money(x - 30000)))
            .when(style == 2, F.concat_ws(",", name, q, money(x), money(x / 7)))
            .when(style == 3, F.concat_ws(",", name, q, F.lit("text"), q, F.lit("extra"), q))
