@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,15 @@ from ..functions.storage import cut_lineage
 
 
 def _any_in(low: Column, words) -> Column:
-    return low.rlike("|".join(re.escape(w).replace("\\ ", " ").replace("\\&", "&") for w in words))
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def _alternation(words) -> str:
+    """Regex for any of the words, grouped by first letter so that few branches are tried per position."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "(?:" + "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in groups.items()) + ")"
 
 
 def _in_list(values) -> str:
@@ -42,8 +50,8 @@ def line_facts(lines: DataFrame, strict_totals: bool = True) -> DataFrame:
     unreal = un & _any_in(F.col("low"), ["trades", "holdings", "as on"])
     real = _any_in(F.col("low"), ["realised", "realized"]) & F.col("low").contains("trades") & ~unreal
     title = ~F.col("blank") & (full <= 3)
-    # each match runs to the end of its cell, so this counts the cells that hold a word
-    score = F.regexp_count("low", F.lit("[^,]*?(?:" + "|".join(re.escape(w) for w in L.HEADER_WORDS) + ")[^,]*"))
+    # a match starts where a cell starts, so this counts the cells that hold a word
+    score = F.regexp_count("low", F.lit("(?:^|,)[^,]*?" + _alternation(L.HEADER_WORDS)))
     skip = (F.col("blank") | _any_in(F.col("low"), L.PREAMBLE_WORDS)
             | (_any_in(F.col("low"), L.SECTION_TITLES) & (commas < 2)) | (F.size("cells") < 3))
     texty = F.size(F.filter("cells", lambda c: (c != "") & ~F.regexp_replace(c, r"[.\-]", "").rlike("^[0-9]+$")))

@@ -15,6 +15,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+SECONDS: dict[str, float] = {}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -41,11 +44,14 @@ _DUCK = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "double", "VARCHAR": "
 
 def compare(spark, con, name, fn, sql, sf_dir):
     """None when equal, else a short text saying what differs."""
+    t = time.time()
     df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    SECONDS["spark"], t = time.time() - t, time.time()
     rel = con.execute(sql)
     cols = [c[0] for c in rel.description]
     want = rel.fetchall()
+    SECONDS["duckdb"] = time.time() - t
     if sorted(df.columns) != sorted(cols):
         return f"columns {sorted(set(df.columns) ^ set(cols))}"
     dt = {c[0]: _DUCK.get(str(c[1]), str(c[1])) for c in rel.description}
@@ -88,7 +94,7 @@ def main(argv):
         except Exception as e:  # report and go on
             status = "ERROR " + str(e)[:700]
         bad += status.startswith(("DIFF", "ERROR"))
-        print(f"{time.time() - t:6.2f}s {name}: {status}", flush=True)
+        print(f"{time.time() - t:6.2f}s (spark {SECONDS.get('spark', 0):.2f} duckdb {SECONDS.get('duckdb', 0):.2f}) {name}: {status}", flush=True)
     print("bad:", bad)
 
 
