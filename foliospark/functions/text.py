@@ -14,14 +14,16 @@ def _parse(s: Column) -> Column:
 
 
 def clean_numeric(c: Column, blank: float | None = 0.0) -> Column:
-    """Broker number text to double; ``(x)`` is negative, %, currency and commas go; bad text gives ``blank``."""
-    inner = F.when(c.startswith("(") & c.endswith(")") & (F.length(c) >= 2),
-                   F.concat(F.lit("-"), F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
-    return F.coalesce(_parse(F.regexp_replace(inner, r"[^0-9.\-]", "")), F.lit(blank).cast("double"))
+    """Broker number text to double; ``(x)`` is negative, %, currency and commas go; bad text gives ``blank``.
+
+    The text is used once in the expression: pushed-down filters repeat it, and generated code must stay small.
+    """
+    kept = F.regexp_replace(F.regexp_replace(c, r"(?s)^\((.*)\)$", r"-$1"), r"[^0-9.\-]", "")
+    return F.coalesce(kept.try_cast("double"), F.lit(blank).cast("double"))
 
 
 def safe_float(c: Column, blank: float | None = 0.0) -> Column:
     """As ``clean_numeric`` but brackets anywhere mean negative, % stays (and so fails), letters fail."""
     s = F.regexp_replace(c, "[₹$€£, \"'\\t\\r\\n]", "")
-    s = F.when(s.contains("(") & s.contains(")"), F.concat(F.lit("-"), F.regexp_replace(s, r"[()]", ""))).otherwise(s)
+    s = F.regexp_replace(s, r"^([^()]*)\(([^()]*)\)([^()]*)$", r"-$1$2$3")
     return F.coalesce(_parse(s), F.lit(blank).cast("double"))

@@ -84,25 +84,30 @@ def _(spark, d):
 
 
 def _proxy_table(spark, d):
-    """A proxy database for three sectors and Other, derived from the supplier table."""
-    s = V.table(spark, d, "supplier")
-    k = F.col("s_suppkey")
-    return s.filter(k < 9).select(
-        V.pick(["Banking", "FMCG", "Other"], k % 3).alias("sector"), V.pick(["Large", "Mid", "Small"], (k / 3).cast("int")).alias("market_cap_range"),
-        (40 + k * 7.25).alias("environmental_score"), (k * 15.0).alias("social_score"), (30 + k * 3.5).alias("governance_score"),
-        (45 + k * 4.125).alias("overall_esg"), F.lit("Proxy DB").alias("data_source")).filter(~((F.col("sector") == "Other") & (F.col("market_cap_range") == "Mid")))
+    """A proxy database for three sectors, derived from the whole supplier table; Other has no Mid row."""
+    s = V.table(spark, d, "supplier").selectExpr(
+        V.pick_sql(["Banking", "FMCG", "Other"], "s_nationkey % 3") + " AS sector",
+        "CASE WHEN s_acctbal > 6000 THEN 'Large' WHEN s_acctbal > 2500 THEN 'Mid' ELSE 'Small' END AS market_cap_range", "s_suppkey")
+    g = s.groupBy("sector", "market_cap_range").agg(F.max("s_suppkey").alias("k"), F.count(F.lit(1)).alias("n"))
+    return g.filter("NOT (sector = 'Other' AND market_cap_range = 'Mid')").selectExpr(
+        "sector", "market_cap_range", "40 + k % 80 * 1.25D AS environmental_score", "n % 90 * 1.5D AS social_score",
+        "30 + k % 60 * 0.5D AS governance_score", "45 + k % 50 * 0.125D AS overall_esg", "'Proxy DB' AS data_source")
+
+
+VIEWS["sql_proxy_table"] = """
+  SELECT sector, band, 40 + k % 80 * 1.25::DOUBLE AS e, n % 90 * 1.5::DOUBLE AS s, 30 + k % 60 * 0.5::DOUBLE AS g, 45 + k % 50 * 0.125::DOUBLE AS o
+  FROM (SELECT (['Banking', 'FMCG', 'Other'])[1 + s_nationkey % 3] AS sector,
+          CASE WHEN s_acctbal > 6000 THEN 'Large' WHEN s_acctbal > 2500 THEN 'Mid' ELSE 'Small' END AS band, max(s_suppkey) AS k, count(*) AS n FROM supplier GROUP BY 1, 2)
+  WHERE NOT (sector = 'Other' AND band = 'Mid')"""
 
 
 @query("d4_proxy_lookup", f"""
   WITH f AS (SELECT symbol, sector, marketCap, {_cases('marketCap', [('5e10', "'Large'"), ('5e9', "'Mid'")], "'Small'")} AS band,
                CAST({_cases('marketCap', [('5e10', 1.1), ('5e9', 1.0)], 0.9)} AS DOUBLE) AS fac FROM features),
-  p AS (SELECT * FROM (SELECT (['Banking', 'FMCG', 'Other'])[1 + s_suppkey % 3] AS sector, (['Large', 'Mid', 'Small'])[1 + s_suppkey // 3] AS band,
-            40 + s_suppkey * 7.25::DOUBLE AS e, s_suppkey * 15.0::DOUBLE AS s, 30 + s_suppkey * 3.5::DOUBLE AS g, 45 + s_suppkey * 4.125::DOUBLE AS o
-          FROM supplier WHERE s_suppkey < 9) WHERE NOT (sector = 'Other' AND band = 'Mid')),
   j AS (SELECT f.*, coalesce(a.e, b.e, d.e * fac) AS e, coalesce(a.s, b.s, d.s * fac) AS s, coalesce(a.g, b.g, d.g * fac) AS g,
                coalesce(a.o, b.o, (d.e * fac + d.s * fac + d.g * fac) / 3) AS o,
                CASE WHEN coalesce(a.o, b.o) IS NOT NULL THEN 'Proxy DB' ELSE 'Sector Average (' || f.sector || ')' END || ' (Proxy)' AS px_source
-        FROM f LEFT JOIN p a ON a.sector = f.sector AND a.band = f.band LEFT JOIN p b ON b.sector = 'Other' AND b.band = f.band
+        FROM f LEFT JOIN sql_proxy_table a ON a.sector = f.sector AND a.band = f.band LEFT JOIN sql_proxy_table b ON b.sector = 'Other' AND b.band = f.band
         JOIN lk_sector_esg_default d ON d.sector = CASE WHEN f.sector IN (SELECT sector FROM lk_sector_esg_default) THEN f.sector ELSE 'Other' END)
   SELECT symbol, band AS px_band, {half('greatest(0, least(100, e))', 2)} AS px_e, {half('greatest(0, least(100, s))', 2)} AS px_s,
          {half('greatest(0, least(100, g))', 2)} AS px_g, {half('greatest(0, least(100, o))', 2)} AS px_overall, px_source FROM j""")

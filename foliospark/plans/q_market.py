@@ -112,28 +112,30 @@ def _price_features_sql(rel):
 
 
 VIEWS["sql_price_features"] = _price_features_sql("prices_long")
-VIEWS["sql_price_features_short"] = _price_features_sql("(SELECT * FROM prices WHERE dt > DATE '2024-01-01' + CAST(symbol % 14 AS INT))")
+VIEWS["sql_price_features_month"] = _price_features_sql("prices")
+VIEWS["sql_price_features_short"] = _price_features_sql("(SELECT * FROM prices WHERE dt >= DATE '2024-01-12')")
 
 
 def _short(spark, d):
-    p = V.prices(spark, d)
-    return p.filter(F.col("dt") > F.expr("date_add(date'2024-01-01', cast(symbol % 14 as int))"))
+    return V.prices(spark, d).filter("dt >= date'2024-01-12'")
 
 
 @query("f2_vol_30d", """
   SELECT 'long' AS series, symbol, days, round(vol_30d, 8) AS vol_30d FROM sql_price_features
+  UNION ALL SELECT 'month', symbol, days, round(vol_30d, 8) FROM sql_price_features_month
   UNION ALL SELECT 'short', symbol, days, round(vol_30d, 8) FROM sql_price_features_short""")
 def _(spark, d):
     f = lambda p, n: M.price_features(p).select(F.lit(n).alias("series"), "symbol", "days", F.round("vol_30d", 8).alias("vol_30d"))
-    return f(V.prices_long(spark, d), "long").unionByName(f(_short(spark, d), "short"))
+    return f(V.prices_long(spark, d), "long").unionByName(f(V.prices(spark, d), "month")).unionByName(f(_short(spark, d), "short"))
 
 
 @query("f3_ret_1m", """
   SELECT 'long' AS series, symbol, round(ret_1m, 8) AS ret_1m FROM sql_price_features
+  UNION ALL SELECT 'month', symbol, round(ret_1m, 8) FROM sql_price_features_month
   UNION ALL SELECT 'short', symbol, round(ret_1m, 8) FROM sql_price_features_short""")
 def _(spark, d):
     f = lambda p, n: M.price_features(p).select(F.lit(n).alias("series"), "symbol", F.round("ret_1m", 8).alias("ret_1m"))
-    return f(V.prices_long(spark, d), "long").unionByName(f(_short(spark, d), "short"))
+    return f(V.prices_long(spark, d), "long").unionByName(f(V.prices(spark, d), "month")).unionByName(f(_short(spark, d), "short"))
 
 
 @query("f4_ret_first_last", "SELECT symbol, round(ret_first_last, 8) AS ret_first_last FROM sql_price_features")

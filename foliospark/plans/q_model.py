@@ -165,19 +165,19 @@ def _(spark, d):
 def _sides(spark, d):
     f = V.features(spark, d)
     k = F.col("symbol")
-    base = f.select("symbol", F.when(k % 10 == 9, F.lit("Unlisted")).otherwise(F.col("sector")).alias("sector"))
+    base = f.select("symbol", F.when(F.col("sector") == "Media & Entertainment", F.lit("Unlisted")).otherwise(F.col("sector")).alias("sector"))
     gap = [F.when(k % 5 != 0, F.col(c)).alias(c) if c in X.PILLARS + ["beta"] else F.col(c) for c in COLS]
-    cached = f.filter(k % 3 == 0).select("symbol", *gap)
-    provider = f.filter(k % 2 == 0).select("symbol", *[F.lit(None).cast("double").alias(c) if c in X.PILLARS else F.col(c) for c in COLS])
-    return base, cached, provider, X.sector_medians(f.filter(k % 10 != 9))
+    cached = f.filter("trailingPE < 20").select("symbol", *gap)
+    provider = f.filter("beta >= 1.2").select("symbol", *[F.lit(None).cast("double").alias(c) if c in X.PILLARS else F.col(c) for c in COLS])
+    return base, cached, provider, X.sector_medians(f.filter("sector <> 'Media & Entertainment'"))
 
 
 VIEWS["sql_filled"] = f"""
-  WITH b AS (SELECT symbol, CASE WHEN symbol % 10 = 9 THEN 'Unlisted' ELSE sector END AS sector FROM features),
-  c AS (SELECT symbol, {", ".join(f"CASE WHEN symbol % 5 <> 0 THEN {c} END AS {c}" if c in X.PILLARS + ["beta"] else c for c in COLS)} FROM features WHERE symbol % 3 = 0 AND marketCap IS NOT NULL),
-  p AS (SELECT symbol, {", ".join(f"NULL::DOUBLE AS {c}" if c in X.PILLARS else c for c in COLS)} FROM features WHERE symbol % 2 = 0 AND marketCap IS NOT NULL),
-  m AS (SELECT sector, {", ".join(f"median({c}) AS {c}" for c in COLS)} FROM features WHERE symbol % 10 <> 9 GROUP BY 1),
-  o AS (SELECT {", ".join(f"median({c}) AS {c}" for c in COLS)} FROM features WHERE symbol % 10 <> 9),
+  WITH b AS (SELECT symbol, CASE WHEN sector = 'Media & Entertainment' THEN 'Unlisted' ELSE sector END AS sector FROM features),
+  c AS (SELECT symbol, {", ".join(f"CASE WHEN symbol % 5 <> 0 THEN {c} END AS {c}" if c in X.PILLARS + ["beta"] else c for c in COLS)} FROM features WHERE trailingPE < 20 AND marketCap IS NOT NULL),
+  p AS (SELECT symbol, {", ".join(f"NULL::DOUBLE AS {c}" if c in X.PILLARS else c for c in COLS)} FROM features WHERE beta >= 1.2 AND marketCap IS NOT NULL),
+  m AS (SELECT sector, {", ".join(f"median({c}) AS {c}" for c in COLS)} FROM features WHERE sector <> 'Media & Entertainment' GROUP BY 1),
+  o AS (SELECT {", ".join(f"median({c}) AS {c}" for c in COLS)} FROM features WHERE sector <> 'Media & Entertainment'),
   r AS (SELECT b.symbol, b.sector, c.symbol IS NOT NULL AS hc, p.symbol IS NOT NULL AS hp,
           {", ".join(f"CASE WHEN c.symbol IS NOT NULL THEN c.{c} WHEN p.symbol IS NOT NULL THEN p.{c} END AS r_{c}" for c in COLS)},
           {", ".join(f"CASE WHEN m.sector IS NOT NULL THEN m.{c} ELSE o.{c} END AS d_{c}" for c in COLS)}
@@ -387,8 +387,8 @@ def _(spark, d):
   SELECT security_id, 'Adverse Action Notice (Compliant with ECOA/GDPR):' || chr(10) || 'Reason: Top factors - '
      || string_agg(feature || ' (impact: ' || CAST(CAST(round(attribution, 3) AS DECIMAL(38,3)) AS VARCHAR) || ')', ', ' ORDER BY rank)
      || chr(10) || 'You have the right to request more details within 60 days.' AS notice
-  FROM t WHERE rank <= 3 AND security_id % 2 = 0 GROUP BY 1""")
+  FROM t WHERE rank <= 3 AND security_id IN (SELECT symbol FROM features WHERE total_esg < 55) GROUP BY 1""")
 def _(spark, d):
     top = M.top_features(attributions(spark, d), "security_id", 3)
-    rejected = V.features(spark, d).filter("symbol % 2 = 0").select(F.col("symbol").alias("security_id"))
+    rejected = V.features(spark, d).filter("total_esg < 55").select(F.col("symbol").alias("security_id"))
     return K.model_adverse_notice(rejected, top, "security_id")

@@ -92,7 +92,7 @@ VIEWS = {
                CASE WHEN p_partkey % 2 = 0 THEN CAST(30 + p_partkey * 3 % 50 AS DOUBLE) END AS m_e,
                CASE WHEN p_partkey % 2 = 0 THEN CAST(35 + p_partkey * 7 % 50 AS DOUBLE) END AS m_s,
                CASE WHEN p_partkey % 2 = 0 THEN CAST(40 + p_partkey * 9 % 50 AS DOUBLE) END AS m_g
-        FROM part WHERE p_partkey % 3 = 1""",
+        FROM part WHERE p_size > 30""",
     "securities": """
         SELECT symbol AS security_id, symbol % 400 AS ticker, CASE WHEN symbol % 9 <> 0 THEN marketCap END AS market_cap FROM features""",
     "market_facts": f"""

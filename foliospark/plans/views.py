@@ -138,7 +138,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Stored model scores for part of the securities, with the pillars the model saw."""
     pillar = lambda m, off, name: f"if(p_partkey % 2 = 0, cast({off} + p_partkey * {m} % 50 AS double), null) AS {name}"
-    return table(spark, d, "part").filter("p_partkey % 3 = 1").selectExpr(
+    return table(spark, d, "part").filter("p_size > 30").selectExpr(
         "p_partkey AS security_id", "45 + (p_partkey * 19) % 200 / 20.0D AS predicted", "(p_partkey % 10) / 10.0D AS imputation_ratio",
         pillar(3, 30, "m_e"), pillar(7, 35, "m_s"), pillar(9, 40, "m_g"))
 
