@@ -50,11 +50,14 @@ def line_facts(lines: DataFrame, strict_totals: bool = True) -> DataFrame:
     unreal = un & _any_in(F.col("low"), ["trades", "holdings", "as on"])
     real = _any_in(F.col("low"), ["realised", "realized"]) & F.col("low").contains("trades") & ~unreal
     title = ~F.col("blank") & (full <= 3)
-    # a match starts where a cell starts, so this counts the cells that hold a word
-    score = F.regexp_count("low", F.lit("(?:^|,)[^,]*?" + _alternation(L.HEADER_WORDS)))
+    # a match starts where a cell starts, so this counts the cells that hold a word; most data lines hold
+    # none, which plain substring tests find out faster than the pattern
+    score = F.when(_any_in(F.col("low"), L.HEADER_WORDS),
+                   F.regexp_count("low", F.lit("(?:^|,)[^,]*?" + _alternation(L.HEADER_WORDS)))).otherwise(0)
     skip = (F.col("blank") | _any_in(F.col("low"), L.PREAMBLE_WORDS)
             | (_any_in(F.col("low"), L.SECTION_TITLES) & (commas < 2)) | (F.size("cells") < 3))
-    texty = F.size(F.filter("cells", lambda c: (c != "") & ~F.regexp_replace(c, r"[.\-]", "").rlike("^[0-9]+$")))
+    # cells that are not empty and not a number
+    texty = F.regexp_count("line", F.lit(r"(?:^|,) *(?=[^, ])(?! *[.\-]*[0-9][0-9.\-]* *(?:,|$))"))
     first = F.lower(F.get("cells", F.lit(0)))
     total = (first.rlike("^(" + "|".join(L.TOTAL_WORDS) + ")") if strict_totals else _any_in(F.col("low"), L.TOTAL_WORDS))
     return x.select(
@@ -165,7 +168,7 @@ def read_headers(facts: DataFrame, headers: DataFrame, hot_rows: int = skew.HOT_
 
 def extract_rows(marked: DataFrame, headers: DataFrame, mapping: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Data rows of all files with canonical fields; missing cells of short rows count as empty."""
-    info = headers.filter("status = 'ok'").join(mapping, "file_id")
+    info = headers.filter("status = 'ok'").select("file_id", "n_rows", "header_pos", "whole_file").join(mapping.drop("header"), "file_id")
     j = skew.attach(marked, info, ["file_id"], ["pos"], hot_rows=hot_rows)
     rows = j.filter(F.col("header_pos").isNotNull() & F.col("is_row") & (F.col("pos") > F.col("header_pos"))
                     & (F.col("whole_file") | F.col("in_section")))
@@ -368,28 +371,25 @@ def drop_unnamed(h: DataFrame) -> DataFrame:
 
 def repair_values(h: DataFrame) -> DataFrame:
     """Fill missing prices and values from the others, in a fixed order; adds ``repairs``, what was filled."""
-    q, prev, pnl = F.col("quantity"), F.col("prev_close"), F.col("pnl")
+    q, prev, pnl, price = F.col("quantity"), F.col("prev_close"), F.col("pnl"), F.col("current_price")
+    cv0, inv0, avg0 = F.col("current_value"), F.col("invested_value"), F.col("avg_price")
     active = q.isNotNull() & (q != 0)
-    by_prev = active & (prev > 0) & F.col("current_price").isNull()
-    cv_prev = by_prev & F.col("current_value").isNull()
-    x = h.select("*", F.coalesce(by_prev, F.lit(False)).alias("_p"), F.coalesce(cv_prev, F.lit(False)).alias("_cp"),
-                 F.when(F.coalesce(cv_prev, F.lit(False)), prev * q).otherwise(F.col("current_value")).alias("_cv1"))
-    inv = active & F.col("invested_value").isNull() & ((F.col("_cv1") - pnl) > 0)
-    x = x.withColumn("_i", F.coalesce(inv, F.lit(False)))
-    x = x.withColumn("_inv", F.when(F.col("_i"), F.col("_cv1") - pnl).otherwise(F.col("invested_value")))
-    cur = active & F.col("_cv1").isNull() & ((F.col("_inv") + pnl) > 0)
-    x = x.withColumn("_c", F.coalesce(cur, F.lit(False)))
-    x = x.withColumn("_cv", F.when(F.col("_c"), F.col("_inv") + pnl).otherwise(F.col("_cv1")))
-    x = (x.withColumn("_b", F.coalesce(active & F.col("avg_price").isNull() & (F.col("_inv") > 0), F.lit(False)))
-         .withColumn("_s", F.coalesce(active & F.col("current_price").isNull() & (F.col("_cv") > 0), F.lit(False))))
-    new = {"current_value": F.col("_cv"), "invested_value": F.col("_inv"),
-           "avg_price": F.when(F.col("_b"), F.col("_inv") / q).otherwise(F.col("avg_price")),
-           "current_price": F.when(F.col("_s"), F.col("_cv") / q).when(F.col("_p"), prev).otherwise(F.col("current_price"))}
+    by_prev = active & (prev > 0) & price.isNull()
+    cv1 = F.coalesce(cv0, F.when(by_prev, prev * q))
+    # only one of these two can fill: the first needs a current value, the second that there is none
+    inv = F.coalesce(inv0, F.when(active & (cv1 - pnl > 0), cv1 - pnl))
+    cv = F.coalesce(cv1, F.when(active & (inv0 + pnl > 0), inv0 + pnl))
+    new = {"current_value": cv, "invested_value": inv,
+           "avg_price": F.coalesce(avg0, F.when(active & (inv > 0), inv / q)),
+           "current_price": F.coalesce(price, F.when(active & (cv > 0), cv / q), F.when(by_prev, prev))}
     log = F.array_compact(F.array(
-        F.when(F.col("_p"), "Calculated Missing Sell Prices"), F.when(F.col("_cp"), "Calculated Missing Current Values"),
-        F.when(F.col("_i"), "Calculated Missing Invested Values"), F.when(F.col("_c"), "Calculated Missing Current Values"),
-        F.when(F.col("_b"), "Calculated Missing Buy Prices"), F.when(F.col("_s"), "Calculated Missing Sell Prices")))
-    return x.select(*[new.get(c, F.col(c)).alias(c) for c in h.columns], log.alias("repairs"))
+        F.when(by_prev, "Calculated Missing Sell Prices"),
+        F.when(by_prev & cv0.isNull(), "Calculated Missing Current Values"),
+        F.when(inv0.isNull() & inv.isNotNull(), "Calculated Missing Invested Values"),
+        F.when(cv1.isNull() & cv.isNotNull(), "Calculated Missing Current Values"),
+        F.when(active & avg0.isNull() & (inv > 0), "Calculated Missing Buy Prices"),
+        F.when(active & price.isNull() & (cv > 0), "Calculated Missing Sell Prices")))
+    return h.select(*[new.get(c, F.col(c)).alias(c) for c in h.columns], log.alias("repairs"))
 
 
 def _worth() -> Column:

@@ -328,6 +328,5 @@ def _values(words):
   SELECT doc_id, stress_words, credit_words, CASE WHEN (stress_words >= 2 AND stress_words > credit_words)
      OR regexp_matches(u, 'MARKET_CORRECTION|RECESSION|INFLATION|TECH_CRASH|EMERGENCY') OR contains(u, 'STRESS TESTING ANALYSIS REQUEST') THEN 'stress' ELSE 'credit' END AS route FROM x""")
 def _(spark, d):
-    s, c = C.request_counts(F.col("text"))
-    return V.table(spark, d, "documents").select("doc_id", s.alias("stress_words"), c.alias("credit_words"),
-                                                 C.route_request(F.col("text")).alias("route"))
+    t = V.table(spark, d, "documents").select("doc_id", C.tag_request(F.col("text")).alias("t"))
+    return t.select("doc_id", "t.stress_words", "t.credit_words", "t.route")
