@@ -52,6 +52,19 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_dimension(fact: DataFrame, dim: DataFrame, key: str, spread: Sequence[str], max_rows: int = 200_000,
+                   hot_rows: int = HOT_ROWS, dim_rows: int | None = None) -> DataFrame:
+    """Left join ``dim`` (one row per key) to ``fact``, whatever the size of dim and the skew of the key.
+
+    A dimension shown to be small is broadcast; a larger one is attached with the rows per key counted.
+    ``dim_rows`` is its row count where the caller knows it (counting a derived table computes it once more).
+    """
+    if (dim.limit(max_rows + 1).count() if dim_rows is None else dim_rows) <= max_rows:
+        return fact.join(F.broadcast(dim), key, "left").select(*fact.columns, *[c for c in dim.columns if c != key])
+    n = fact.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return attach(fact, n.join(dim, key, "left"), [key], spread, hot_rows=hot_rows)
+
+
 def map_distinct(df: DataFrame, column: str, out: str, fn, spread: Sequence[str],
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``out = fn(column)`` where ``fn`` is costly: it runs once per distinct value, not per row."""

@@ -71,7 +71,7 @@ def resolve_esg_tier(securities: DataFrame, snapshot: DataFrame, company: DataFr
     pred = predictions.filter(F.col("imputation_ratio") <= max_imputed).select(
         "security_id", "predicted", "imputation_ratio", F.struct(F.col("m_e").alias("e"), F.col("m_s").alias("s"),
                                                                  F.col("m_g").alias("g")).alias("_pred"))
-    j = (securities.join(snap, "ticker", "left").join(comp, "ticker", "left").join(pred, "security_id", "left"))
+    j = securities.join(pred, "security_id", "left").join(snap, "ticker", "left").join(comp, "ticker", "left")
     tier = (F.when(F.col("_snap").isNotNull(), "api").when(F.col("_comp").isNotNull(), "company")
             .when(F.col("_pred").isNotNull(), "model").otherwise("proxy"))
     used = F.coalesce("_snap", "_comp", "_pred")
@@ -81,13 +81,16 @@ def resolve_esg_tier(securities: DataFrame, snapshot: DataFrame, company: DataFr
                     F.when(model, F.col("imputation_ratio")).alias("imputation_ratio"))
 
 
-def score_holdings(h: DataFrame, tiers: DataFrame, proxy_table: DataFrame | None = None) -> DataFrame:
+def score_holdings(h: DataFrame, tiers: DataFrame, proxy_table: DataFrame | None = None,
+                   security_rows: int | None = None) -> DataFrame:
     """E, S, G, overall (2 digits), stars, label and source per holding.
 
+    ``security_rows``: the number of rows of ``tiers``, one per security, if known.
+
     The overall score is weighted by sector; a model score without pillars stands by itself; the proxy
     uses the market cap, or the holding's value where the cap is unknown (``cap_known`` tells).
     """
-    j = h.join(tiers, "security_id", "left")
+    j = skew.join_dimension(h, tiers, "security_id", ["holding_id"], dim_rows=security_rows)
     j = j.withColumn("tier", F.coalesce("tier", F.lit("proxy")))
     j = proxy_lookup(j, F.coalesce("market_cap", "value"), proxy_table)
     w = F.broadcast(L.lookup(h.sparkSession, "sector_esg_weight"))
@@ -339,7 +342,9 @@ def esg_monitor(scored: DataFrame) -> DataFrame:
 
 # joins with other tables -----------------------------------------------------------------------------
 def join_scores(h: DataFrame, scores: DataFrame, key: str = "security_id") -> DataFrame:
-    return h.join(scores, key, "inner")
+    """Holdings that have a score (one score row per key)."""
+    marked = scores.withColumn("_scored", F.lit(True))
+    return skew.join_dimension(h, marked, key, ["holding_id"]).filter("_scored").drop("_scored")
 
 
 def sector_benchmark(scored: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -224,7 +224,8 @@ def upload_report(files: BrokerFiles) -> DataFrame:
     return (files.headers.select("file_id", "status").join(m, "file_id", "left").join(n, "file_id", "left")
             .join(sample, "file_id", "left")
             .select("file_id", "status", "broker", "columns_mapped", F.coalesce("rows_parsed", F.lit(0)).cast("bigint").alias("rows_parsed"),
-                    F.concat_ws(" | ", F.transform("s", lambda x: x["stock_name"])).alias("sample")))
+                    F.concat_ws(" | ", F.transform("s", lambda x: x["stock_name"])).alias("sample"))
+            .withColumn("columns_mapped", F.coalesce("columns_mapped", F.lit(""))))
 
 
 # columns of wide holdings tables ----------------------------------------------------------------------

@@ -142,7 +142,7 @@ def sector_mix_detail(h: DataFrame, market: DataFrame) -> DataFrame:
     ``market`` holds one row per security: security_id, market_sector, cap_category.
     """
     from ..functions import classify as C
-    j = h.join(market, "security_id", "left")
+    j = skew.join_dimension(h, market, "security_id", ["holding_id"])
     known = F.col("market_sector").isNotNull()
     by_name = j.groupBy("portfolio_id", "stock_name", "market_sector",
                         F.when(known, F.coalesce("cap_category", F.lit("Unknown Cap"))).otherwise("Unknown Cap").alias("cap_category")

@@ -35,12 +35,12 @@ def tiers(spark, d):
 
 
 def scored(spark, d):
-    return E.score_holdings(V.holdings(spark, d), tiers(spark, d))
+    return E.score_holdings(V.holdings(spark, d), tiers(spark, d), security_rows=V.table(spark, d, "part").count())
 
 
 def scored_w(spark, d):
     """Weights are attached to the bare holdings, so the scoring joins run once."""
-    return E.score_holdings(P.weights(V.holdings(spark, d)), tiers(spark, d))
+    return E.score_holdings(P.weights(V.holdings(spark, d)), tiers(spark, d), security_rows=V.table(spark, d, "part").count())
 
 
 VIEWS["sql_tiers"] = f"""
@@ -266,7 +266,19 @@ def _(spark, d):
     return _reco(spark, d)
 
 
-@query("e28_esg_text_report")
+VIEWS["sql_reco"] = _RECO
+
+
+def _d1(c):
+    return f"CAST(CAST({c} AS DECIMAL(38,1)) AS VARCHAR)"
+
+
+@query("e28_esg_text_report", f"""
+  SELECT portfolio_id, concat_ws(chr(10), 'ESG Portfolio Analysis Report', 'Overall ESG Rating: ' || repeat('*', stars) || ' (' || stars || '/5) - ' || label,
+     'Environmental: ' || {_d1('env')} || '/100', 'Social: ' || {_d1('social')} || '/100', 'Governance: ' || {_d1('gov')} || '/100',
+     'Overall Score: ' || {_d1('overall')} || '/100', 'Risk Assessment: ' || risk_level, 'Data Coverage: ' || {_d1('coverage_pct')} || '% of portfolio',
+     'Key Recommendations:', recommendations) AS report
+  FROM sql_pesg JOIN sql_coverage USING (portfolio_id) JOIN sql_reco USING (portfolio_id)""")
 def _(spark, d):
     s = scored(spark, d)
     return E.esg_text_report(E.portfolio_esg(s), E.esg_coverage(s), _reco(spark, d))

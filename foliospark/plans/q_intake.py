@@ -110,7 +110,14 @@ def _(spark, d):
     return files(spark, d).rows
 
 
-@query("b18_upload_report")
+_MAPPED = ", ".join(f"CASE WHEN i_{f} IS NOT NULL THEN '{f}=' || header[i_{f}] END" for f in N.FIELDS)
+
+
+@query("b18_upload_report", f"""
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos, stock_name) AS rn FROM sql_broker_rows),
+  s AS (SELECT file_id, count(*) AS n, string_agg(stock_name, ' | ' ORDER BY rn) FILTER (rn <= 3) AS sample FROM r GROUP BY 1)
+  SELECT h.file_id, h.status, m.broker, coalesce(concat_ws(', ', {_MAPPED}), '') AS columns_mapped, coalesce(s.n, 0) AS rows_parsed, coalesce(s.sample, '') AS sample
+  FROM sql_headers h LEFT JOIN sql_mapping m USING (file_id) LEFT JOIN s USING (file_id)""")
 def _(spark, d):
     return N.upload_report(files(spark, d))
 
