@@ -13,6 +13,13 @@ from .registry import query
 from .sql_views import VIEWS
 
 COLS = X.RAW_NUMERIC
+
+
+def digits(c: str) -> int:
+    """Digits to compare a column at; market caps are too large for more."""
+    return 2 if c == "marketCap" else 9
+
+
 _SPLIT_SQL = "CASE WHEN symbol % 20 < 14 THEN 'train' WHEN symbol % 20 < 17 THEN 'val' ELSE 'test' END"
 _PRED_SQL = "0.4::DOUBLE * coalesce(environment_score, 50) + 0.3::DOUBLE * coalesce(social_score, 50) + 0.3::DOUBLE * coalesce(governance_score, 50)"
 
@@ -109,10 +116,10 @@ def _(spark, d):
 
 
 @query("e34_sector_medians", f"""
-  SELECT sector, {", ".join(f"round(median({c}), 9) AS {c}" for c in COLS)} FROM features GROUP BY 1
-  UNION ALL SELECT 'Other', {", ".join(f"round(median({c}), 9)" for c in COLS)} FROM features""")
+  SELECT sector, {", ".join(f"round(median({c}), {digits(c)}) AS {c}" for c in COLS)} FROM features GROUP BY 1
+  UNION ALL SELECT 'Other', {", ".join(f"round(median({c}), {digits(c)})" for c in COLS)} FROM features""")
 def _(spark, d):
-    return X.sector_medians(V.features(spark, d)).select("sector", *[F.round(c, 9).alias(c) for c in COLS])
+    return X.sector_medians(V.features(spark, d)).select("sector", *[F.round(c, digits(c)).alias(c) for c in COLS])
 
 
 @query("e35_sector_mean_baseline", "SELECT symbol, round(y_proxy, 6) AS y_proxy FROM sql_pred")
@@ -189,10 +196,10 @@ VIEWS["sql_filled"] = f"""
 
 
 @query("j10_fill_features", f"""
-  SELECT symbol, sector, {", ".join(f"round({c}, 6) AS {c}" for c in COLS)}, array_to_string(imp, ',') AS imputed_columns, sources FROM sql_filled""")
+  SELECT symbol, sector, {", ".join(f"round({c}, {digits(c)}) AS {c}" for c in COLS)}, array_to_string(imp, ',') AS imputed_columns, sources FROM sql_filled""")
 def _(spark, d):
     x = X.fill_features(*_sides(spark, d))
-    return x.select("symbol", "sector", *[F.round(c, 6).alias(c) for c in COLS], F.array_join("imputed_columns", ",").alias("imputed_columns"), "sources")
+    return x.select("symbol", "sector", *[F.round(c, digits(c)).alias(c) for c in COLS], F.array_join("imputed_columns", ",").alias("imputed_columns"), "sources")
 
 
 @query("j11_imputation_guard", f"""
