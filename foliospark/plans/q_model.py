@@ -17,7 +17,7 @@ COLS = X.RAW_NUMERIC
 
 def digits(c: str) -> int:
     """Digits to compare a column at; market caps are too large for more."""
-    return 2 if c == "marketCap" else 9
+    return 0 if c == "marketCap" else 9
 
 
 _SPLIT_SQL = "CASE WHEN symbol % 20 < 14 THEN 'train' WHEN symbol % 20 < 17 THEN 'val' ELSE 'test' END"
