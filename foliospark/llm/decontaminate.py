@@ -89,9 +89,7 @@ def _offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, shard_bytes: int = 1 << 20) -> DataFrame:
     """Per document: key, n_words, hits (runs of word numbers), items (sorted ids), spans (character offsets)."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    items, shards = _items(benchmark, item, item_text, shard_bytes)
     kind = docs.schema[key].dataType.simpleString()
     state = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     for shard in range(shards):
@@ -102,6 +100,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return state.withColumnRenamed("key", key)
 
 
+def _items(benchmark: DataFrame, item: str = "item_id", item_text: str = "text", shard_bytes: int = 1 << 20) -> tuple[DataFrame, int]:
+    """Item ids and texts, and how many shards of bounded size they make."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    return items, max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+
+
 def _scan(state: DataFrame, items, window: int, kind: str, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = None
@@ -138,7 +142,25 @@ def is_contaminated() -> Column:
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are clean, with their columns; a key that repeats goes if one of its texts is contaminated."""
-    bad = find_passages(docs, benchmark).where(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents that are clean, with all their columns; each row is judged by its own text."""
+    items, shards = _items(benchmark)
+    if shards > 1:  # the hits of all shards are needed together
+        rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        bad = find_passages(rows, benchmark, key="__row", text=text, window=window).where(is_contaminated()).select("__row")
+        return rows.join(bad, "__row", "left_anti").drop("__row")
+    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = None
+        for batch in batches:
+            made = made or Windows(sent.value, window)
+            for part in slices(batch, text):
+                keep = []
+                for value in part.column(text).to_pylist():
+                    found = words(value)
+                    hit = sum(last - first + 1 for first, last in _merged(made.scan(found)[0]))
+                    keep.append(not hit or 20 * hit < len(found))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

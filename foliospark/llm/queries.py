@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, secret_scan, toxicity, url_tree
+from . import class_lm, decontaminate, html_crf, jaccard, packing, quality, secret_scan, token_store, toxicity, url_tree
 from .work import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 5)
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0))
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to shards, found by the index and read back."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under the class model of the documents that are not held out."""
+    fold = crc32_mod("doc_id", 7)
+    scored = class_lm.score_corpus(table(spark, sf_dir, "documents"), fold != 2)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the trained random field."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_crf.extract(pages.select(F.struct("page_id", "url").alias("page"), "html"), html_crf.trained(), key="page")
+    return found.select("page.page_id", "page.url", "text", F.length("text").cast("bigint").alias("n_chars"))
