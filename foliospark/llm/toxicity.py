@@ -29,8 +29,9 @@ from .work import slices
 SIZES = (3, 4, 5)
 BITS = 17
 WIDTH = 8
-BAG = 12
-STRIDE = 4
+BAG = 3
+STRIDE = 1
+RARE = 20.0
 
 
 @lru_cache(maxsize=1)
@@ -99,7 +100,7 @@ def worst_bags(values: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.n
     return best, where
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 3, epochs: int = 4, rate: float = 0.3, seed: int = 6) -> Model:
+def train(texts: list[str], toxic: list[int], rounds: int = 6, epochs: int = 6, rate: float = 0.3, seed: int = 6) -> Model:
     """Vectors and softmax from labelled texts."""
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
@@ -108,17 +109,18 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3, epochs: int = 4,
     order = np.argsort(owner, kind="stable")
     bucket, owner = bucket[order], owner[order]
     word_start = np.concatenate([[0], np.cumsum(count)])
-    # the first passages: by the log odds that texts of either label have an n-gram
+    # the first passages: by the log odds that texts of either label have an n-gram, drawn towards 0 for rare ones
     seen = np.unique(text[owner] * (1 << BITS) + bucket)
     having = [np.bincount(seen[y[seen >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS) for k in (0, 1)]
-    telling = Model(np.log((having[1] + 0.5) / (y.sum() + 1)) - np.log((having[0] + 0.5) / ((1 - y).sum() + 1)), 0.0)
+    share = y.mean()
+    model = Model(np.log((having[1] + RARE * share) / y.sum()) - np.log((having[0] + RARE * (1 - share)) / (1 - y).sum()), 0.0)
     counts = np.bincount(text, minlength=len(y))
     begin = np.cumsum(counts) - counts
     random = np.random.default_rng(seed)
-    vectors = (random.random((1 << BITS, WIDTH), np.float32) - 0.5) / WIDTH
-    softmax, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
-    past, past_soft = np.full(1 << BITS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32)
-    model = telling
+    # vectors start at 0, so n-grams that were never seen say nothing; the softmax starts with two opposite directions
+    vectors, direction = np.zeros((1 << BITS, WIDTH), np.float32), random.normal(0, 1, WIDTH).astype(np.float32)
+    softmax, bias = np.stack([-direction, direction], axis=1), np.zeros(2, np.float32)
+    past, past_soft = np.full(1 << BITS, 1e-8, np.float32), np.full((WIDTH, 2), 1e-2, np.float32)
     for _ in range(rounds):
         _, worst = worst_bags(model.words(bucket, owner, count), text, len(y))
         has = np.flatnonzero(counts > 0)
@@ -129,30 +131,30 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3, epochs: int = 4,
         label = y[bag_text]
         for _ in range(epochs):
             shuffled = random.permutation(len(bag_text))
-            for some in np.array_split(shuffled, max(1, len(shuffled) // 256)):
+            for some in np.array_split(shuffled, max(1, len(shuffled) // 128)):
                 sizes = bag_stop[some] - bag_start[some]
                 bag_of_word = np.repeat(np.arange(len(some)), sizes)
                 words = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bag_start[some], sizes)
-                n = count[words]
+                n = np.maximum(count[words], 1)
                 grams = bucket[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(word_start[words], n)]
-                share = np.repeat(1.0 / (np.maximum(n, 1) * sizes[bag_of_word]), n).astype(np.float32)
+                part = np.repeat((1.0 / (n * sizes[bag_of_word])).astype(np.float32), n)
                 bag = np.repeat(bag_of_word, n)
-                unique, inverse = np.unique(grams, return_inverse=True)
-                mix = np.zeros((len(some), len(unique)), np.float32)
-                np.add.at(mix, (bag, inverse), share)
-                mean = mix @ vectors[unique]
+                first = np.searchsorted(bag, np.arange(len(some)))
+                mean = np.add.reduceat(vectors[grams] * part[:, None], first)
                 logits = mean @ softmax + bias
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(some)), label[some]] -= 1
-                p *= (np.where(label[some] == 1, 1.0, 1.0) / len(some))[:, None].astype(np.float32)
-                grad_vectors = mix.T @ (p @ (softmax + (softmax == 0) * random.normal(0, 0.1, softmax.shape).astype(np.float32)).T)
-                grad_soft = mean.T @ p
-                past[unique] += (grad_vectors ** 2).mean(axis=1)
-                past_soft += grad_soft ** 2
-                vectors[unique] -= rate * grad_vectors / np.sqrt(past[unique])[:, None]
-                softmax -= rate * grad_soft / np.sqrt(past_soft)
-                bias -= rate * p.sum(axis=0)
+                to_bag = (p @ softmax.T).astype(np.float32)
+                order = np.argsort(grams, kind="stable")
+                unique, first = np.unique(grams[order], return_index=True)
+                step = np.add.reduceat(to_bag[bag[order]] * part[order][:, None], first)
+                past[unique] += (step ** 2).mean(axis=1)
+                vectors[unique] -= rate * step / np.sqrt(past[unique])[:, None]
+                step = mean.T @ p / len(some)
+                past_soft += step ** 2
+                softmax -= rate * step / np.sqrt(past_soft)
+                bias -= rate * p.mean(axis=0)
         model = Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
     return model
 
