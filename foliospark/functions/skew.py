@@ -8,11 +8,14 @@ in which no key with more than ``HOT_ROWS`` rows is ever shuffled to a single ta
   e.g. 200,000 for 10^12 rows, so the broadcast has a size bound whatever the key distribution;
 * rows of hot keys are spread over ``SALTS`` artificial sub-keys in the ordinary join, where they
   need no partner; all other rows join on their key, whose group is below the limit.
+
+Keys compare null-safely: rows without a key are a group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +34,14 @@ def attach(fact: DataFrame, summary: DataFrame, keys: Sequence[str], spread: Seq
     keys = list(keys)
     values = [c for c in summary.columns if c not in keys and c != count_col]
     packed = F.struct(*values)
-    hot = summary.filter(F.col(count_col) > hot_rows).select(*keys, packed.alias("_hot"))
-    cold = (summary.filter(F.col(count_col) <= hot_rows)
-            .select(*keys, F.lit(0).alias("_salt"), packed.alias("_cold")))
+    theirs = [F.col(k).alias(f"_key_{k}") for k in keys]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    hot = summary.filter(F.col(count_col) > hot_rows).select(*theirs, packed.alias("_hot"))
+    cold = summary.filter(F.col(count_col) <= hot_rows).select(*theirs, F.lit(0).alias("_zero"), packed.alias("_cold"))
     salt = F.when(F.col("_hot").isNotNull(),
                   F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1).otherwise(0)
-    joined = (fact.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", salt)
-              .join(cold, keys + ["_salt"], "left"))
+    salted = fact.join(F.broadcast(hot), same, "left").select(*fact.columns, "_hot", salt.alias("_salt"))
+    joined = salted.join(cold, same & (F.col("_salt") == F.col("_zero")), "left")
     return joined.select(*fact.columns,
                          *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 

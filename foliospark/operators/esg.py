@@ -308,14 +308,19 @@ def combined_risk(explained: DataFrame, esg: DataFrame) -> DataFrame:
 
 
 def top_bottom_performers(scored: DataFrame, top: int = 5, bottom: int = 3) -> DataFrame:
-    """Best and worst holdings by score (ties by holding id), k rows per portfolio from every map task."""
+    """Best and worst holdings by score (ties by holding id), k rows per portfolio and side from every map task.
+
+    Each row stands for both sides, so the scores are computed once; missing scores come last in top, first in bottom.
+    """
     cols = ["portfolio_id", "holding_id", "stock_name", "overall"]
-    def side(name, order, k):
-        w = Window.partitionBy("portfolio_id").orderBy(*order)
-        return (scored.select(*cols, F.row_number().over(w).alias("position")).filter(F.col("position") <= k)
-                .withColumn("side", F.lit(name)))
-    return side("top", [F.desc("overall"), F.asc("holding_id")], top).unionByName(
-        side("bottom", [F.asc("overall"), F.desc("holding_id")], bottom))
+    both = scored.select(*cols, F.explode(F.array(F.lit("top"), F.lit("bottom"))).alias("side"))
+    is_top = F.col("side") == "top"
+    w = Window.partitionBy("portfolio_id", "side").orderBy(
+        F.when(is_top, F.col("overall").isNull()).otherwise(F.col("overall").isNotNull()),
+        F.when(is_top, -F.col("overall")).otherwise(F.col("overall")),
+        F.when(is_top, F.col("holding_id")).asc(), F.when(~is_top, F.col("holding_id")).desc())
+    ranked = both.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= max(top, bottom))
+    return ranked.filter(F.col("position") <= F.when(is_top, top).otherwise(bottom)).select(*cols, "position", "side")
 
 
 def esg_table(scored: DataFrame) -> DataFrame:

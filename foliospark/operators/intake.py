@@ -69,14 +69,15 @@ def line_facts(lines: DataFrame, strict_totals: bool = True) -> DataFrame:
 
 
 # sections and headers, per file --------------------------------------------------------------------
-def find_sections(facts: DataFrame) -> DataFrame:
+def find_sections(facts: DataFrame, prefer_holdings: bool = True) -> DataFrame:
     """Per file: n_rows, and start, end and drop_title of the preferred section (null if it has none).
 
-    The last unrealised section, else the last one; it ends at the next section title.
+    The last unrealised section, else the last one (the first one without ``prefer_holdings``); it ends at the
+    next section title.
     """
     titles = facts.filter("section IS NOT NULL").select("file_id", "pos", "section", "commas")
     start = titles.groupBy("file_id").agg(
-        F.coalesce(F.max(F.when(F.col("section") == "unrealised", F.col("pos"))), F.max("pos")).alias("start"))
+        F.coalesce(F.max(F.when(F.col("section") == "unrealised", F.col("pos"))), F.max("pos") if prefer_holdings else F.min("pos")).alias("start"))
     chosen = titles.join(start, "file_id").groupBy("file_id", "start").agg(
         F.min(F.when(F.col("pos") > F.col("start"), F.col("pos"))).alias("end"),
         F.max(F.when(F.col("pos") == F.col("start"), F.col("commas"))).alias("c")
@@ -184,8 +185,8 @@ class BrokerFiles:
     then reads plain tables instead of repeating the ones before it.
     """
 
-    def __init__(self, lines: DataFrame, strict_totals: bool = True, hot_rows: int = skew.HOT_ROWS):
-        self.lines, self.strict_totals, self.hot_rows = lines, strict_totals, hot_rows
+    def __init__(self, lines: DataFrame, strict_totals: bool = True, hot_rows: int = skew.HOT_ROWS, prefer_holdings: bool = True):
+        self.lines, self.strict_totals, self.hot_rows, self.prefer_holdings = lines, strict_totals, hot_rows, prefer_holdings
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -193,7 +194,7 @@ class BrokerFiles:
 
     @cached_property
     def sections(self) -> DataFrame:
-        return cut_lineage(find_sections(self.facts))
+        return cut_lineage(find_sections(self.facts, self.prefer_holdings))
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -280,9 +281,12 @@ ROLE_PATTERNS = {
     "current_value": ["current value", "market value", "current_value", "market_value"],
     "invested_value": ["invested value", "invested", "cost", "invested_value"],
     "avg_price": ["avg cost", "avg. cost", "average cost", "avg_cost", "buy price"],
-    "pnl": ["p&l", "pnl", "profit loss", "gain loss", "profit/loss", "unrealized p&l", "unrealised p&l"],
-    "change_pct": ["%chg", "% chg", "change%", "change %", "% change"],
+    "pnl": ["p&l", "pnl", "profit loss", "gain loss", "profit/loss", "unrealized p&l", "unrealized profit/loss",
+            "unrealized profit / loss", "unrealised profit/loss", "unrealised p&l", "realized profit/loss",
+            "realised profit/loss", "profit & loss", "gain/loss", "profit / loss"],
+    "change_pct": ["%chg", "% chg", "change%", "change %", "day change%", "% change"],
 }
+# Headers of value and of name columns, in order of preference.
 VALUE_COLUMNS = [
     "Invested Value", "Current Value", "Closing value", "Closing Value", "closing value", "CLOSING VALUE", "Buy value",
     "Buy Value", "buy value", "BUY VALUE", "Market Value as of last trading day", "Overall Gain/Loss", "Sell Value",

@@ -18,6 +18,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import skew
+
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
@@ -68,7 +70,7 @@ def shapley_sampled(df: DataFrame, key: str, model: Model, cols: Sequence[str],
     Per row the attributions add up to f(row) - mean f(background rows used).  ``background`` is a small
     sample (it becomes a literal); orders and choices come from hashes, so a rerun gives the same result.
     """
-    back = [[float(r[c]) for c in cols] for r in background.select(*cols).limit(200).collect()]
+    back = [[float(r[c]) for c in cols] for r in background.select(*cols).collect()]
     d = len(cols)
     x = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     p = x.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
@@ -145,21 +147,26 @@ def attribution_record(attr: DataFrame, key: str, base: float) -> DataFrame:
 
 
 def portfolio_attribution(h: DataFrame, attr: DataFrame, base: float) -> DataFrame:
-    """Weighted sums of attributions per portfolio and feature.
+    """Weighted sums of attributions per portfolio and feature, all features ranked by size.
 
-    ``h``: portfolio_id, security_id, weight (fraction). Weights are summed to (portfolio, security) first.
+    ``h``: portfolio_id, security_id, weight (fraction). Weights are summed to (portfolio, security) first.  A
+    security's attributions are one array (a fixed, small number of features), joined once whatever the skew; one
+    more entry without a feature carries the weight that has attributions.
     """
     pos = h.groupBy("portfolio_id", "security_id").agg(F.sum("weight").alias("w"))
-    seen = attr.select("security_id").distinct()
-    cov = pos.join(seen, "security_id", "left_semi").groupBy("portfolio_id").agg(F.sum("w").alias("coverage"))
-    g = pos.join(attr, "security_id").groupBy("portfolio_id", "feature").agg(F.sum(F.col("w") * F.col("attribution")).alias("contribution"))
+    per = attr.groupBy("security_id").agg(F.collect_list(F.struct("feature", "attribution")).alias("entries"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(1.0).alias("attribution")))
+    x = skew.join_dimension(pos, per, "security_id", ["portfolio_id"]).filter("entries IS NOT NULL").select(
+        "portfolio_id", "w", F.explode(F.concat(whole, "entries")).alias("e"))
+    g = x.groupBy("portfolio_id", F.col("e.feature").alias("feature")).agg(F.sum(F.col("w") * F.col("e.attribution")).alias("contribution"))
     w = Window.partitionBy("portfolio_id")  # one row per feature
-    g = g.withColumn("total", F.sum("contribution").over(w)).join(cov, "portfolio_id")
+    g = g.withColumns({"coverage": F.max(F.when(F.col("feature").isNull(), F.col("contribution"))).over(w),
+                       "total": F.sum(F.when(F.col("feature").isNotNull(), F.col("contribution"))).over(w)}).filter("feature IS NOT NULL")
     rank = F.row_number().over(w.orderBy(F.desc(F.round(F.abs("contribution"), 9)), "feature"))
     return g.select("portfolio_id", "feature", F.round("contribution", 6).alias("contribution"), rank.alias("rank"),
                     F.round(F.col("coverage") * base, 6).alias("base"),
                     F.round(F.col("coverage") * base + F.col("total"), 6).alias("prediction"),
-                    F.round("coverage", 6).alias("coverage_weight")).filter(F.col("rank") <= 20)
+                    F.round("coverage", 6).alias("coverage_weight"))
 
 
 # Feature groups, the first one with a word in the feature's name wins.

@@ -108,15 +108,15 @@ def risk_components(h: DataFrame) -> DataFrame:
 
 def limit_breaches(h: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Holdings and sectors above the warning or critical weight of each risk profile."""
-    limits = F.broadcast(thresholds.groupBy("profile").pivot(
-        "name", ["concentration_warning", "concentration_critical", "sector_concentration_warning",
-                 "max_sector_exposure"]).agg(F.first("value")))
+    names = ["concentration_warning", "concentration_critical", "sector_concentration_warning", "max_sector_exposure"]
+    profiles = thresholds.groupBy("profile").pivot("name", names).agg(F.first("value")).collect()  # a risk profile is configuration
+    limits = F.array(*[F.struct(F.lit(p["profile"]).alias("profile"), *[F.lit(p[n]).cast("double").alias(n) for n in names]) for p in profiles])
     def judge(df, grain, item, warn, crit):
-        # the limits are a handful of rows; a holding only meets profiles whose warning it exceeds
-        j = df.join(limits, F.col("weight_pct") > F.col(warn))
-        return j.select("portfolio_id", "profile", F.lit(grain).alias("grain"), F.col(item).alias("item"),
+        # a row only meets the profiles whose warning it exceeds
+        j = df.withColumn("p", F.explode(F.filter(limits, lambda p: F.col("weight_pct") > p[warn])))
+        return j.select("portfolio_id", "p.profile", F.lit(grain).alias("grain"), F.col(item).alias("item"),
                         F.round("weight_pct", 4).alias("weight_pct"),
-                        F.when(F.col("weight_pct") > F.col(crit), "critical").otherwise("warning").alias("status"))
+                        F.when(F.col("weight_pct") > F.col("p")[crit], "critical").otherwise("warning").alias("status"))
     per_holding = (weights(h).withColumn("weight_pct", F.col("weight") * 100)
                    .select("portfolio_id", "holding_id", "weight_pct"))
     by_sector = h.groupBy("portfolio_id", "sector").agg(F.sum("value").alias("v"))

@@ -76,9 +76,9 @@ query("c7_categorize_asset", """
 def _normalize_sql(match):
     return rf"""
   WITH u AS (SELECT name, trim(name) AS s, upper(trim(name)) AS u FROM sql_names),
-  x AS (SELECT u.*, regexp_replace(u, ' +(LTD\.?|LIMITED)$', '') AS short, regexp_replace(u, '(EQ|BE|BZ)\.(NS|BO)$', '') AS base,
+  x AS (SELECT u.*, regexp_replace(u, '(EQ|BE|BZ)\.(NS|BO)$', '') AS base,
                regexp_extract(u, '\.(NS|BO)$') AS exchange FROM u),
-  e AS (SELECT name, arg_min(k.ticker, (CASE WHEN k.keyword = u THEN 0 ELSE 1 END, k.ord)) AS t FROM x JOIN lk_ticker_key k ON k.keyword = u OR k.keyword = short GROUP BY 1),
+  e AS (SELECT name, arg_min(k.ticker, k.ord) AS t FROM x JOIN lk_ticker_key k ON k.keyword = u GROUP BY 1),
   eb AS (SELECT name, arg_min(k.ticker, k.ord) AS t FROM x JOIN lk_ticker_key k ON k.keyword = base GROUP BY 1),
   c AS (SELECT name, arg_min(k.ticker, k.ord) AS t FROM x JOIN lk_ticker_key k ON {match} GROUP BY 1)
   SELECT x.name, CASE

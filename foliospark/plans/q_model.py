@@ -251,14 +251,13 @@ def _(spark, d):
 def _(spark, d):
     x, model = fitted(spark, d)
     back = M.shap_sample(x.filter("split = 'train'"), "symbol", 50)
-    rows = M.shap_sample(x.filter("split = 'val'"), "symbol", 50)
-    return M.shapley_sampled(rows, "symbol", model, MODEL_COLS, back, permutations=4)
+    return M.shapley_sampled(x.filter("split = 'val'"), "symbol", model, MODEL_COLS, back, permutations=4)
 
 
 @query("j16_local_surrogate")
 def _(spark, d):
     x, model = fitted(spark, d)
-    return M.local_surrogate(M.shap_sample(x.filter("split = 'val'"), "symbol", 50), "symbol", model, MODEL_COLS)
+    return M.local_surrogate(x.filter("split = 'val'"), "symbol", model, MODEL_COLS)
 
 
 @query("j24_shap_sample")
@@ -313,7 +312,7 @@ VIEWS["sql_pattr"] = """
          CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY round(abs(contribution), 9) DESC, feature) AS INT) AS rank,
          round(coverage * 52.5::DOUBLE, 6) AS base, round(coverage * 52.5::DOUBLE + total, 6) AS prediction, round(coverage, 6) AS coverage_weight FROM sql_pattr""")
 def _(spark, d):
-    return M.portfolio_attribution(P.weights(V.holdings(spark, d)), attributions(spark, d), 52.5)
+    return M.portfolio_attribution(P.weights(V.holdings(spark, d)), attributions(spark, d), 52.5).filter("rank <= 20")  # a report of the largest
 
 
 @query("e43_attribution_groups", """

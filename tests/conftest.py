@@ -22,4 +22,6 @@ def session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return session()
+    from foliospark.functions.storage import release
+    yield (made := session())
+    release(made)

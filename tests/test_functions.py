@@ -72,7 +72,7 @@ def test_attach_gives_the_same_with_hot_keys(spark, hot_rows):
     df = spark.createDataFrame(rows, "k string, x int")
     s = df.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("x").alias("total"))
     got = skew.attach(df, s, ["k"], ["x"], hot_rows=hot_rows)
-    want = {"big": sum(range(500)), "b": 3, "c": 3, None: None}
+    want = {"big": sum(range(500)), "b": 3, "c": 3, None: 4}
     out = got.collect()
     assert got.columns == ["k", "x", "total"] and len(out) == len(rows)
     assert all(r["total"] == want[r["k"]] for r in out)
@@ -115,3 +115,30 @@ def test_exact_medians_by_refinement(spark, case):
 def test_request_routing(spark):
     texts = ["Run a stress test of my portfolio in a recession", "loan approval for this applicant", "hello", "market risk of loan credit borrower"]
     assert one(spark, C.route_request, *texts) == ["stress", "credit", "credit", "credit"]
+
+
+def test_tickers_written_out(spark):
+    names = {
+        "Reliance Industries": "RELIANCE.NS", "RELIND": "RELIANCE.NS", "Tata Consultancy Services": "TCS.NS", "Hdfc Bank": "HDFCBANK.NS",
+        "Infosys": "INFY.NS", "State Bank": "SBIN.NS", "HUL": "HINDUNILVR.NS", "L&T": "LT.NS", "Larsen": "LT.NS", "M&M": "M&M.NS",
+        "Bajaj Auto": "BAJAJ-AUTO.NS", "Vedanta": "VEDL.NS", "SESGOA": "VEDL.NS", "TATIRO": "TATASTEEL.NS", "BPCLTD": "BPCL.NS",
+        "Bharat Petroleum": "BPCL.NS", "Indian Oil": "IOC.NS", "Oil and Natural Gas": "ONGC.NS", "Central Depository": "CDSL.NS",
+        "Satin Creditcare Network": "SATIN.NS", "SATINVEQ": "SATIN.NS", "EMCUREEQ": "EMCURE.NS", "GANDHAREQ": "GANDHAR.NS",
+        "SHRIRAMPP": "SHRIRAMPP.NS", "Gandhar Oil Refinery (India) Limited": "GANDHAR.NS",
+        "Central Depository Services (India) Ltd": "CDSL.NS", "Bharat Petroleum Corp Lt": "BPCL.NS", "Reliance Industries Ltd": "RELIANCE.NS"}
+    assert dict(zip(names, one(spark, C.normalize_ticker, *names))) == names
+    # names that no entry holds fall back to themselves
+    assert one(spark, C.normalize_ticker, "Castrol Oil", "Hindustan Oil Exploration", "Acme") == ["CASTROLOIL.NS", "HINDUSTANOILEXPLORATION.NS", "ACME.NS"]
+    # as plain containment the first entry in order wins, so LT is found in a longer name
+    assert one(spark, lambda c: C.normalize_ticker(c, strict=False), "Tata Motors Ltd", "Castrol Oil") == ["LT.NS", "CASTROLOIL.NS"]
+    assert len(L.TICKER_NAMES) == len(dict(L.TICKER_NAMES)) == 229
+
+
+def test_rows_without_a_key_are_a_group(spark):
+    from foliospark.functions import skew
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), (None, 5)], "k string, v int")
+    totals = rows.groupBy("k").agg(F.count("*").alias("n_rows"), F.sum("v").alias("t"))
+    for hot in (1, 2, 100):  # joined as hot and as ordinary groups
+        assert sorted(r["t"] for r in skew.attach(rows, totals, ["k"], ["v"], hot_rows=hot).collect()) == [3, 3, 12, 12, 12]
+    named = skew.map_distinct(rows, "k", "out", lambda c: F.coalesce(c, F.lit("none")), ["v"])
+    assert sorted(r["out"] for r in named.collect()) == ["a", "a", "none", "none", "none"]

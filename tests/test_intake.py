@@ -141,3 +141,16 @@ def test_value_methods(spark):
     assert got == {1: (5.0, "direct_current_value"), 2: (6.0, "qty_x_price"), 3: (8.0, "qty_x_date_price"), 4: (8.0, "estimated_qty_x_date_price"),
                    5: (7.0, "invested_plus_pnl"), 6: (10.5, "invested_x_change_pct"), 7: (12.0, "qty_x_avg_cost_with_change"), 8: (8.0, "qty_x_avg_cost"),
                    9: (7.0, "invested_fallback"), 10: (0.0, "no_calculation_possible")}
+
+
+def test_profit_header_spellings(spark):
+    from foliospark.operators import intake as I
+    for header in ["P&L", "pnl", "Profit Loss", "gain loss", "Profit/Loss", "Unrealized P&L", "Unrealized Profit/Loss", "Unrealized Profit / Loss",
+                   "Unrealised Profit/Loss", "Unrealised P&L", "Realized Profit/Loss", "Realised Profit/Loss", "Profit & Loss", "gain/loss", "Profit / Loss"]:
+        assert I.find_column(["Name", header, "Qty"], I.ROLE_PATTERNS["pnl"]) == header
+
+
+def test_first_section_without_preferred_holdings(spark):
+    from foliospark.operators import intake as I
+    facts = spark.createDataFrame([("f", 0, "realised", 1), ("f", 5, None, 3), ("f", 9, "realised", 1), ("f", 12, None, 3)], "file_id string, pos bigint, section string, commas int")
+    assert [I.find_sections(facts, p).first()["start"] for p in (True, False)] == [9, 0]

@@ -182,3 +182,50 @@ def test_encoders_and_detection(spark):
     got = X.align_dummies(new, [enc], ["sector_a", "sector_b", "sector_gone", "x"]).collect()
     assert [tuple(r) for r in got] == [(0, 0, 0, 1.0), (1, 0, 0, 1.0)]
     assert X.target_column(["a", "label", "z"]) == "label" and X.target_column(["a", "z"]) == "z"
+
+
+def test_holdings_without_a_name_keep_their_weight(spark):
+    from foliospark.functions import classify as C
+    h = holdings(spark, [("Infosys", 1, 100.0, "IT Services"), (None, 3, 100.0, "Other")])
+    w = {r["category"]: r["wt"] for r in P.category_weights(h, C.categorize_asset).collect()}
+    assert w == {"large_cap_stocks": 1.0}
+    s = S.impact_scatter(h, "recession_scenario").collect()
+    assert sum(r["exposure_pct"] for r in s) == pytest.approx(100.0) and {r["exposure_pct"] for r in s} == {25.0, 75.0}
+
+
+def test_groups_use_all_features(spark):
+    rows = [(i, f"sector_{n}" if n >= 20 else f"beta_{n}", 1.0, float(100 - n)) for i in (0, 1) for n in range(23)]
+    attr = spark.createDataFrame(rows, "security_id int, feature string, value double, attribution double")
+    h = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.25), (1, 9, 0.25)], "portfolio_id int, security_id int, weight double")
+    c = ML.portfolio_attribution(h, attr, 40.0)
+    assert c.count() == 23 and {r["base"] for r in c.collect()} == {30.0} and {r["coverage_weight"] for r in c.collect()} == {0.75}
+    total = 0.75 * sum(100 - n for n in range(23))
+    assert {r["prediction"] for r in c.collect()} == {30.0 + total}
+    g = {r["feature_group"]: r["contribution"] for r in ML.attribution_groups(c).collect()}
+    assert g["Sector"] == 0.75 * (80 + 79 + 78) and sum(g.values()) == pytest.approx(total)
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    from foliospark.sources import readers
+    (tmp_path / "a.csv").write_text("holding,price,qty\nA,10,2\n")
+    (tmp_path / "b c.csv").write_text('\ufeffqty,"holding",extra\n7,"B, Inc",x\n', encoding="utf-8")
+    rows = readers.read_holdings_csv(spark, str(tmp_path), "holding string, qty int, price double").collect()
+    assert sorted(map(tuple, rows)) == [("A", 2, 10.0), ("B, Inc", 7, None)]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "1.csv").write_text("symbol,sector,total_esg\nX,Banking,50\n")
+    (tmp_path / "t" / "2.csv").write_text("total_esg,sector,symbol,beta\n60,Power,Y,1.5\n")
+    got = {r["symbol"]: (r["sector"], r["total_esg"], r["beta"], r["imputed"]) for r in readers.read_esg_training(spark, str(tmp_path / "t")).collect()}
+    assert got == {"X": ("Banking", 50.0, None, False), "Y": ("Power", 60.0, 1.5, False)}
+
+
+def test_top_and_bottom_from_one_input(spark):
+    scored = spark.createDataFrame([(1, f"h{i}", "n", float(v)) for i, v in enumerate([5, 1, 5, 9, 3, 7, 1])], "portfolio_id int, holding_id string, stock_name string, overall double")
+    got = E.top_bottom_performers(scored, 3, 2)
+    rows = sorted((r["side"], r["position"], r["holding_id"]) for r in got.collect())
+    assert rows == [("bottom", 1, "h6"), ("bottom", 2, "h1"), ("top", 1, "h3"), ("top", 2, "h5"), ("top", 3, "h0")]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limits_need_no_nested_loop(spark):
+    t = spark.createDataFrame([(p, n, float(v)) for p, n, v in L.TABLES["risk_threshold"][1]], "profile string, name string, value double")
+    assert "NestedLoop" not in P.limit_breaches(holdings(spark), t)._jdf.queryExecution().executedPlan().toString()
