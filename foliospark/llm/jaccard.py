@@ -31,7 +31,9 @@ from .work import slices, stash
 
 CELLS = 1 << 18   # hash cells whose load orders the shingles
 PARTS = 16
-GROUPS = 256      # dimensions of the count vectors
+GROUPS = 256      # dimensions of the count vectors, one byte each; FULL stands for that many or more
+FULL = 255
+BITS = 1 << 22    # size of the filter that picks the documents whose sets are needed
 LEAF = 16
 BLOCK = 512
 PERCENT = 75
@@ -47,33 +49,46 @@ def _fingerprints(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.nd
     return out.view(np.int64)
 
 
+def _points(owner: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    counts = np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS)
+    return np.minimum(counts, FULL).astype(np.uint8).reshape(-1, GROUPS)
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Points as numbers; a full count bounds nothing, so it is as large as any."""
+    points = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int64)
+    points[points == FULL] = 1 << 40
+    return points
+
+
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - int(math.log2(CELLS)))).astype(np.int64)
 
 
 def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(key, n, class) of every document, class null without shingles; and the cells' loads of each task."""
+    """(key, n, class, point) of every document, class null without shingles; and the cells' loads of each task."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, seen = np.zeros(CELLS, np.uint32), set()
-        names = ["key", "n", "class", "part", "load"]
+        names = ["key", "n", "class", "point", "part", "load"]
         none = None
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 owner, hashes = shingles(part.column("text").to_pylist(), size)
                 n = np.bincount(owner, minlength=part.num_rows)
                 marks = _fingerprints(owner, hashes, n)
                 fresh = np.array([m not in seen and not seen.add(m) for m in marks.tolist()], bool)
                 load += np.bincount(_cells(hashes[fresh[owner]]), minlength=CELLS).astype(np.uint32)
                 keys, none = part.column("key"), part.column("key").type
-                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(marks, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(marks, mask=n == 0), pa.array([p.tobytes() for p in _points(owner, hashes, len(n))], pa.binary()),
+                                                  pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if none is not None:
             parts = np.split(load, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, none), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, none), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n bigint, class bigint, part int, load binary"), "classes")
-    return rows.where("part is null").select("key", "n", "class"), rows.where("part is not null").select("part", "load")
+    rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n bigint, class bigint, point binary, part int, load binary"), "classes")
+    return rows.where("part is null").select("key", "n", "class", "point"), rows.where("part is not null").select("part", "load")
 
 
 def cell_loads(loads: DataFrame) -> np.ndarray:
@@ -94,7 +109,7 @@ def class_keys(docs: DataFrame, text: str, size: int, percent: int, loads) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, seen = loads.value, set()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 owner, hashes = shingles(part.column("text").to_pylist(), size)
                 n = np.bincount(owner, minlength=part.num_rows)
                 marks = _fingerprints(owner, hashes, n)
@@ -111,23 +126,44 @@ def class_keys(docs: DataFrame, text: str, size: int, percent: int, loads) -> Da
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(class, n, point, shingles) of the wanted (class, key) rows; numbers are stored as bytes."""
+    """(class, shingles as bytes) of the wanted (class, doc) rows.
+
+    A filter of fixed size, built from hashes of the wanted keys, picks their texts and a few others while documents are
+    read, so texts are not shuffled; the join after it is exact.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 owner, hashes = shingles(part.column("text").to_pylist(), size)
                 n = np.bincount(owner, minlength=part.num_rows)
-                points = np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=part.num_rows * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
                 ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(n, pa.int64()), pa.array([p.tobytes() for p in points], pa.binary()),
-                                                  pa.array([hashes[e - c:e].tobytes() for e, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["class", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([hashes[e - c:e].tobytes() for e, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["doc", "shingles"])
 
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc").select("class", "text").dropDuplicates(["class"])
-    return texts.mapInArrow(run, "class bigint, n bigint, point binary, shingles binary")
+    bit = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    mask = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    filters = wanted.withColumn("bit", bit).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(mask).alias("mask"))  # at most BITS / 64 rows
+    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
+    picked = read.join(F.broadcast(filters), "word").where(F.col("mask").bitwiseAND(mask) != 0).select("doc", "text")
+    found = picked.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, shingles binary")
+    return found.join(wanted, "doc").select("class", "shingles").dropDuplicates(["class"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are as similar as asked for."""
+def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and summed minima allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = np.minimum(_unpacked(batch.column("x")), _unpacked(batch.column("y"))).sum(axis=1)
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * n))
+
+    x = points.select(F.col("class").alias("a"), "n", F.col("point").alias("x"))
+    y = points.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("point").alias("y"))
+    sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a stored table, of classes whose whole sets are as similar as asked for; also stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -139,11 +175,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda own, point, other: sets.select(F.col("class").alias(own), F.col("n").alias(f"n_{own}"), F.col(point).alias(other))
-    sized = pairs.join(side("a", "point", "p").select("a", "n_a"), "a").join(side("b", "point", "p").select("b", "n_b"), "b")
-    sized = sized.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
-    whole = sized.join(side("a", "shingles", "x").drop("n_a"), "a").join(side("b", "shingles", "y").drop("n_b"), "b").select("a", "b", "x", "y")
-    return whole.mapInArrow(run, "a bigint, b bigint")
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = stash(members.join(needed, "class").groupBy("class").agg(F.min("key").alias("doc")), "wanted")
+    sets = stash(class_sets(docs, wanted, key, text, size), "sets")
+    whole = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return stash(whole.mapInArrow(run, "a bigint, b bigint"), "linked")
 
 
 class Tree:
@@ -185,7 +221,7 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
     def compare(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
         block, cls, label, n = (t.column(c).to_numpy() for c in ("block", "class", "label", "n"))
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint32).reshape(len(n), GROUPS).astype(np.int64)
+        points = _unpacked(t.column("point"))
         left = np.flatnonzero(block == block.min())
         right = np.flatnonzero(block == block.max())
         tree, same, a, b = Tree(points[right], n[right]), block.min() == block.max(), [], []
@@ -225,10 +261,9 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, key: str
     window = Window.partitionBy("key")
     shared = stash(class_keys(docs, text, size, percent, order).withColumn("first", F.min("class").over(window)).withColumn("last", F.max("class").over(window))
                    .where("first <> last").select("key", "class", "first").distinct(), "keys")
-    wanted = members.join(shared.select("class").distinct(), "class").groupBy("class").agg(F.min("key").alias("doc"))
-    sets = stash(class_sets(docs, wanted, key, text, size), "sets")
+    points = stash(members.join(shared.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("point").alias("point")), "points")
     stars = shared.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    found = stash(linked(stars, sets, percent), "links")
+    found = linked(stash(possible(stars, points, percent), "pairs"), docs, members, key, text, size, percent)
     roots = components(found)
     labelled = shared.join(roots, shared["class"] == roots["node"], "left").select("key", "class", "first", F.coalesce("root", "class").alias("label"))
     # keys that still hold several components; keys with the same classes need only be looked at once
@@ -236,9 +271,9 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, key: str
     open_keys = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
                                              F.bit_xor(mark).alias("xor"), F.min("class").alias("least"), F.max("class").alias("most")).where("low <> high")
                  .groupBy("n", "sum", "xor", "least", "most").agg(F.min("key").alias("key")).where("n > 2").select("key"))  # two classes were compared as a star
-    rows = labelled.join(open_keys, "key").join(sets.select("class", "n", "point"), "class")
-    more = survivors(rows, percent).join(stars, ["a", "b"], "left_anti")
-    more = stash(linked(more, sets, percent), "links")
+    rows = labelled.join(open_keys, "key").join(points, "class")
+    more = stash(survivors(rows, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = linked(more, docs, members, key, text, size, percent)
     if more.isEmpty():
         return roots
     return components(found.union(more))
