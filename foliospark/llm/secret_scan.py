@@ -94,8 +94,8 @@ def step(p: Column) -> Column:
     return F.floor(-F.log10(F.greatest(p, F.lit(10.0 ** -LEAST))) * STEPS).cast("int")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Base spans and tested tokens of every document: key, base (kind, start, end), tokens (start, end, band, step)."""
+def scan(docs: DataFrame, kept: Column, text: str = "text") -> DataFrame:
+    """Base spans and tested tokens of every document: kept, base (start, rank, kind, end), tokens (start, end, band, step)."""
     value = F.coalesce(F.col(text), F.lit(""))
     def base(order: int, kind: str, pattern: str, group: int, least: int) -> Column:
         kept = F.filter(matches(value, pattern, group), lambda m: F.length(m["part"]) >= least)
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_columns:
     mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
     tokens = F.transform(F.filter(matches(value, TOKEN), lambda m: mixed(m["part"])), lambda m: F.struct(
         m["start"], m["end"], band(F.length(m["part"])).alias("band"), step(randomness(m["part"])).alias("step")))
-    return docs.select(*(docs.columns if keep_columns else [key]), F.sort_array(F.concat(*kinds)).alias("base"), tokens.alias("tokens"))
+    return docs.select(kept, F.sort_array(F.concat(*kinds)).alias("base"), tokens.alias("tokens"))
 
 
 def thresholds(scanned: DataFrame, rate: float = 0.1) -> dict[int, int]:
@@ -132,7 +132,7 @@ def spans(cleared: dict[int, int]) -> Column:
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = 0.1) -> DataFrame:
     """Per document: key, base and spans, arrays of (start, rank, kind, end) in order."""
-    scanned = stash(scan(docs, key, text), "secrets")
+    scanned = stash(scan(docs, F.col(key), text), "secrets")
     return scanned.select(key, "base", spans(thresholds(scanned, rate)).alias("spans"))
 
 
@@ -143,18 +143,17 @@ def written(found: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", rate: float = 0.1, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every secret replaced by `mask` and n_chars brought up to date where a text changed."""
-    scanned = stash(scan(docs, text=text, keep_columns=True), "secrets")
+    scanned = stash(scan(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text), "secrets")
     joined = lambda s: F.aggregate(s, F.array().cast("array<struct<start: bigint, end: bigint>>"), lambda a, x: F.when(  # noqa: E731  overlapping spans become one
         (F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(
             F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(
                 F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
-    value = F.col(text)
+    value = F.col("row")[text]
     cut = lambda s: F.concat(F.array_join(F.transform(s, lambda x, i: F.concat(
         F.substr(value, (F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0) + 1).cast("int"), (x["start"] - F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(0)).cast("int")), F.lit(mask))), ""),
         F.substr(value, (F.element_at(s, -1)["end"] + 1).cast("int")))
     changed = scanned.withColumn("spans", spans(thresholds(scanned, rate)))
     new = F.when(F.size("spans") > 0, let(joined(F.col("spans")), cut)).otherwise(value)
-    columns = {"__text": new}
-    out = changed.withColumns(columns)
-    chars = [F.when(F.size("spans") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
-    return out.select(*[F.col("__text").alias(text) if c == text else chars[0] if c == "n_chars" else F.col(c) for c in docs.columns])
+    done = changed.select("row", F.size("spans").alias("found"), new.alias("new"))
+    chars = F.when(F.col("found") > 0, F.length("new")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return done.select(*[(F.col("new") if c == text else chars if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
