@@ -90,10 +90,15 @@ def align_dummies(df: DataFrame, encoders: Sequence[EncodeCategories], columns:
     return x.select(*[F.col(f"`{c}`") if c in x.columns else F.lit(0).alias(c) for c in columns])
 
 
+def key_digest(key: str, seed: int) -> Column:
+    """MD5 of key and seed as text: the same in every engine."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def split_rows(df: DataFrame, key: str, test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:
     """train / val / test from a hash of the key: the same row always falls in the same part."""
-    b = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10000)) / 10000
-    return df.withColumn("split", F.when(b < 1 - test - val, "train").when(b < 1 - test, "val").otherwise("test"))
+    b = F.conv(F.substring(key_digest(key, seed), 1, 8), 16, 10).cast("bigint") % 10000
+    return df.withColumn("split", F.when(b < round(10000 * (1 - test - val)), "train").when(b < round(10000 * (1 - test)), "val").otherwise("test"))
 
 
 def sample_weight(df: DataFrame, label: str = "total_esg", imputed_weight: float = 0.5, drop_imputed: bool = False) -> DataFrame:

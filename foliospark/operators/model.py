@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
+from .features import key_digest
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -47,7 +48,7 @@ def feature_importance(spark, model: Model, cols: Sequence[str]) -> DataFrame:
 
 def shap_sample(df: DataFrame, key: str, n: int = 50, seed: int = 42) -> DataFrame:
     """A fixed random sample of n rows: those with the smallest hash."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(key_digest(key, seed), key).limit(n)
 
 
 # attributions -------------------------------------------------------------------------------------------

@@ -104,7 +104,11 @@ def _(spark, d):
     return X.align_dummies(f, [enc], [f"sector_{c}" for c in _CATS[:4]] + ["beta", "sector_New", "symbol"])
 
 
-@query("j6_split_rows")
+VIEWS["sql_split"] = """SELECT *, CASE WHEN b < 7000 THEN 'train' WHEN b < 8500 THEN 'val' ELSE 'test' END AS split, digest FROM (
+  SELECT *, md5(CAST(symbol AS VARCHAR) || ':42') AS digest, CAST('0x' || substr(md5(CAST(symbol AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 10000 AS b FROM features)"""
+
+
+@query("j6_split_rows", "SELECT split, count(*) AS rows FROM sql_split GROUP BY 1")
 def _(spark, d):
     return X.split_rows(V.features(spark, d), "symbol").groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -260,10 +264,12 @@ def _(spark, d):
     return M.local_surrogate(x.filter("split = 'val'"), "symbol", model, MODEL_COLS)
 
 
-@query("j24_shap_sample")
+@query("j24_shap_sample", f"""
+  SELECT symbol, {", ".join(COLS)}, round(CASE WHEN marketCap > 0 THEN ln(1 + marketCap) END, 9) AS marketCap_log FROM sql_split
+  WHERE total_esg IS NOT NULL AND split = 'val' ORDER BY digest, symbol LIMIT 50""")
 def _(spark, d):
     t = training_rows(spark, d)
-    return M.shap_sample(t.filter("split = 'val'"), "symbol", 50).select("symbol", *MODEL_COLS)
+    return M.shap_sample(t.filter("split = 'val'"), "symbol", 50).select("symbol", *COLS, F.round("marketCap_log", 9).alias("marketCap_log"))
 
 
 # linear attributions
@@ -295,9 +301,13 @@ def _(spark, d):
     return M.top_features(attributions(spark, d), "security_id", 3).select("security_id", "feature", F.round("attribution", 6).alias("attribution"), "rank")
 
 
-@query("j23_attribution_record")
+@query("j23_attribution_record", """
+  SELECT security_id, 52.5::DOUBLE AS base, feature, value, round(attribution, 6) AS shap, round(abs(attribution), 6) AS abs_shap FROM sql_attr""")
 def _(spark, d):
-    return M.attribution_record(attributions(spark, d), "security_id", 52.5)
+    record = "base double, features array<struct<feature: string, value: double, shap: double, abs_shap: double>>"
+    r = M.attribution_record(attributions(spark, d), "security_id", 52.5).select("security_id", F.from_json("record", record).alias("r"))
+    return r.select("security_id", "r.base", F.explode("r.features").alias("f")).select(
+        "security_id", "base", "f.feature", "f.value", F.round("f.shap", 6).alias("shap"), F.round("f.abs_shap", 6).alias("abs_shap"))
 
 
 VIEWS["sql_pattr"] = """
