@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions.quantiles import exact_medians, to_long
+from ..functions.storage import cut_lineage
 
 # Model inputs and the columns that never are.
 RAW_NUMERIC = ["marketCap", "trailingPE", "beta", "vol_30d", "ret_1m", "environment_score", "social_score", "governance_score"]
@@ -111,18 +112,18 @@ def sample_weight(df: DataFrame, label: str = "total_esg", imputed_weight: float
 # sector baselines -------------------------------------------------------------------------------------
 def sector_medians(df: DataFrame, cols: Sequence[str] = RAW_NUMERIC) -> DataFrame:
     """Exact medians per sector, and over all rows as sector Other."""
-    def wide(long, keys):
-        return long.groupBy(*keys).pivot("feature", list(cols)).agg(F.first("median")) if keys else (
-            long.groupBy().pivot("feature", list(cols)).agg(F.first("median")))
-    per = wide(exact_medians(df.filter("sector <> 'Other'"), ["sector"], cols), ["sector"])
-    return per.unionByName(wide(exact_medians(df, [], cols), []).withColumn("sector", F.lit("Other")))
+    # every row counts for its sector and for the group of all rows, so the input is read for both at once
+    groups = F.array_compact(F.array_distinct(F.array(F.col("sector"), F.lit("Other"))))
+    both = df.select(F.explode(groups).alias("sector"), *cols)
+    return exact_medians(both, ["sector"], cols).groupBy("sector").pivot("feature", list(cols)).agg(F.first("median"))
 
 
 def sector_mean_baseline(df: DataFrame, label: str = "total_esg") -> DataFrame:
     """Add ``y_proxy``: the mean label of the sector's real rows, else of all real rows, else 0."""
     real = df.filter(~F.coalesce("imputed", F.lit(False)))
-    means = real.groupBy("sector").agg(F.avg(label).alias("_m"))
-    overall = real.agg(F.avg(label)).first()[0]
+    means = cut_lineage(real.groupBy("sector").agg(F.avg(label).alias("_m"), F.count(label).alias("_n")))  # one row per sector
+    overall = means.agg(F.try_divide(F.sum(F.col("_m") * F.col("_n")), F.sum("_n"))).first()[0]
+    means = means.drop("_n")
     return df.join(skew.small_side(means), "sector", "left").withColumn(
         "y_proxy", F.coalesce("_m", F.lit(overall).cast("double"), F.lit(0.0))).drop("_m")
 
@@ -175,6 +176,7 @@ def fill_features(base: DataFrame, cached: DataFrame, provider: DataFrame, defau
     ``defaults`` is ``sector_medians`` output: one row per sector.
     """
     pack = lambda d, n: d.filter("marketCap IS NOT NULL").select("symbol", F.struct(*cols).alias(n))
+    defaults = cut_lineage(defaults)  # used three times below
     side = skew.small_side(defaults)
     own = side.select("sector", F.struct(*cols).alias("_own"))
     other = defaults.filter("sector = 'Other'").select(*cols).first()

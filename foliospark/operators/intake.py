@@ -149,7 +149,7 @@ def map_columns(cells: Column) -> dict[str, Column]:
     """Per canonical field the index of the first header cell spelled like one of its aliases (null if none)."""
     out = {}
     for field, aliases in L.COLUMN_ALIAS:
-        table = F.expr(_in_list(aliases.split("|")))
+        table = F.expr(_in_list(aliases))
         known = F.transform(cells, lambda c: F.array_contains(table, c))  # noqa: B023 (used at once)
         pos = F.array_position(known, True)
         out[field] = F.when(pos > 0, (pos - 1).cast("int"))
@@ -317,7 +317,7 @@ def resolve_columns(columns: list[str]) -> dict[str, str]:
     """Role -> header. The exact alias spellings come first; the fuzzy rule only fills what is left."""
     out = {}
     for field, aliases in L.COLUMN_ALIAS:
-        hit = next((c for c in columns if c in aliases.split("|")), None)
+        hit = next((c for c in columns if c in aliases), None)
         if hit:
             out[field] = hit
     for role, patterns in ROLE_PATTERNS.items():

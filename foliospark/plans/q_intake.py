@@ -56,7 +56,7 @@ for _, _b, _t in L.TABLES["broker_signature"][1]:
     _TOKENS.setdefault(_b, []).append(_t.lower())
 _BROKER = "CASE " + " ".join(
     "WHEN " + " + ".join(f"CAST(contains(h, {L.sql_literal(t)}) AS INT)" for t in ts) + f" >= {len(ts)} * 0.6 THEN '{b}'" for b, ts in _TOKENS.items()) + " ELSE 'Generic' END"
-_IDX = ", ".join(f"list_position(list_transform(header, lambda c: list_contains([{', '.join(L.sql_literal(a) for a in al.split('|'))}], c)), true) AS i_{f}"
+_IDX = ", ".join(f"list_position(list_transform(header, lambda c: list_contains([{', '.join(L.sql_literal(a) for a in al)}], c)), true) AS i_{f}"
                  for f, al in L.COLUMN_ALIAS)
 VIEWS["sql_mapping"] = f"""
   WITH h AS (SELECT m.file_id, max(m.cells) AS header FROM sql_marked m JOIN sql_headers x ON x.file_id = m.file_id AND x.header_pos = m.pos AND x.status = 'ok' GROUP BY 1)

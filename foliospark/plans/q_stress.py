@@ -213,16 +213,15 @@ def _(spark, d):
 
 
 @query("e9_scenario_ranges", """
-  SELECT i.scenario_key, count(DISTINCT i.sector) AS sectors, min(baseline_pct) AS min_impact, max(baseline_pct) AS max_impact,
-         count(DISTINCT portfolio_id) AS portfolios
-  FROM lk_scenario_impact i JOIN sql_contrib c USING (scenario_key) GROUP BY 1""".replace("i.sector", "i.sector").replace(
-      "min(baseline_pct)", "min(i.baseline_pct)").replace("max(baseline_pct)", "max(i.baseline_pct)"))
-def _(spark, d):
-    # the ranges of the catalogue, with the number of portfolios each scenario was run for
-    runs = S.scenario_contributions(composition(spark, d)).groupBy("scenario_key").agg(
-        F.count_distinct("portfolio_id").alias("portfolios"))
+  SELECT scenario_key, i.sectors, i.min_impact, i.max_impact, count(*) AS portfolios, min(impact_percentage) AS lowest, max(impact_percentage) AS highest
+  FROM sql_explained e JOIN (SELECT scenario_key, count(sector) AS sectors, min(baseline_pct) AS min_impact, max(baseline_pct) AS max_impact
+                             FROM lk_scenario_impact GROUP BY 1) i USING (scenario_key) GROUP BY ALL""")
+def _(spark, d):
+    # the ranges of the catalogue, and those of the impacts that portfolios get
+    runs = explained(spark, d).groupBy("scenario_key").agg(F.count(F.lit(1)).alias("portfolios"), F.min("impact_percentage").alias("lowest"),
+                                                           F.max("impact_percentage").alias("highest"))
     return runs.join(F.broadcast(S.scenario_ranges(spark)), "scenario_key").select(
-        "scenario_key", "sectors", "min_impact", "max_impact", "portfolios")
+        "scenario_key", "sectors", "min_impact", "max_impact", "portfolios", "lowest", "highest")
 
 
 @query("e11_concentration", """
