@@ -11,6 +11,7 @@ from ..functions import classify as C
 from ..functions import lookups as L
 from ..functions import ratings as R
 from ..functions import skew
+from ..functions.storage import cut_lineage
 
 
 # provider rows ---------------------------------------------------------------------------------
@@ -149,15 +150,15 @@ def historical_var(h: DataFrame, prices: DataFrame) -> DataFrame:
     portfolio has one row per day.  ``h``: portfolio_id, symbol, value.
     """
     pos = h.groupBy("portfolio_id", "symbol").agg(F.sum("value").alias("v"))
-    pos = pos.withColumn("tv", F.sum("v").over(Window.partitionBy("portfolio_id")))
+    totals = pos.groupBy("portfolio_id").agg(F.sum("v").alias("tv"))
     # a series is one row per day; as an array it can be joined to a symbol held by very many portfolios
     # (2,000 series of 30 years are some 200 MB, the most that is broadcast)
-    series = (daily_returns(prices).filter("ret IS NOT NULL").groupBy("symbol")
-              .agg(F.collect_list(F.struct("dt", "ret")).alias("series")))
+    series = cut_lineage(daily_returns(prices).filter("ret IS NOT NULL").groupBy("symbol")
+                         .agg(F.collect_list(F.struct("dt", "ret")).alias("series")))  # counted, then joined
     day = (skew.join_dimension(pos, series, "symbol", ["portfolio_id"], max_rows=2_000)
-           .select("portfolio_id", "tv", "v", F.explode("series").alias("x"))
-           .groupBy("portfolio_id", "tv", F.col("x.dt").alias("dt"))
-           .agg(F.sum(F.col("x.ret") * F.col("v") / F.col("tv")).alias("r")))
+           .select("portfolio_id", "v", F.explode("series").alias("x"))
+           .groupBy("portfolio_id", F.col("x.dt").alias("dt")).agg(F.sum(F.col("x.ret") * F.col("v")).alias("gain"))
+           .join(totals, "portfolio_id").withColumn("r", F.try_divide("gain", "tv")))
     g = day.groupBy("portfolio_id", "tv").agg(F.count(F.lit(1)).alias("days"), F.percentile("r", F.lit(0.05)).alias("p5"),
                                               F.percentile("r", F.lit(0.01)).alias("p1"))
     return g.select("portfolio_id", "days", F.round(F.abs(F.col("p5") * F.col("tv")), 2).alias("var_95"),

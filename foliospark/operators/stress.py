@@ -81,7 +81,7 @@ def scenario_contributions(comp: DataFrame, grid: DataFrame | None = None,
                            known_sectors: list[str] | None = None) -> DataFrame:
     """One unrounded row per portfolio, scenario and sector."""
     spark = comp.sparkSession
-    grid = default_grid(spark) if grid is None else grid
+    grid = F.broadcast(default_grid(spark)) if grid is None else skew.small_side(grid)
     known = L.MATRIX_SECTORS if known_sectors is None else known_sectors
     f = F.col("weight_pct") / 100
     hhi, factor = _hhi_factor(F.sum(f * f).over(_by_portfolio()))
@@ -89,7 +89,7 @@ def scenario_contributions(comp: DataFrame, grid: DataFrame | None = None,
                     hhi.alias("hhi"), factor.alias("diversification_factor"),
                     F.when(F.col("sector").isin(known), F.col("sector")).otherwise("Other").alias("matrix_sector"))
     j = (c.join(F.broadcast(L.lookup(spark, "sector_beta")), "sector", "left")
-         .join(F.broadcast(grid), "matrix_sector"))
+         .join(grid, "matrix_sector"))
     beta = F.coalesce("beta", F.lit(1.0))
     return j.select("portfolio_id", "scenario_key", "sector", "weight_frac", "portfolio_value", "hhi",
                     "diversification_factor", "baseline_pct", beta.alias("beta"),
