@@ -32,6 +32,7 @@ WIDTH = 8
 BAG = 3
 STRIDE = 1
 RARE = 20.0
+CHUNK = 100
 
 
 @lru_cache(maxsize=1)
@@ -105,13 +106,23 @@ def train(texts: list[str], toxic: list[int], rounds: int = 6, epochs: int = 6,
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), 60.0 if len(y) and y[0] else -60.0)
-    text, bucket, owner, count = words_and_grams(texts)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    word_start = np.concatenate([[0], np.cumsum(count)])
+    parts, having = [], np.zeros((2, 1 << BITS))
+    for at in range(0, len(texts), CHUNK):  # n-grams in the order of their words, some texts at a time
+        text, bucket, owner, count = words_and_grams(texts[at:at + CHUNK])
+        seen = np.unique(text[owner] * (1 << BITS) + bucket)
+        for k in (0, 1):
+            having[k] += np.bincount(seen[y[at + (seen >> BITS)] == k] & ((1 << BITS) - 1), minlength=1 << BITS)
+        parts.append((text + at, bucket[np.argsort(owner, kind="stable")], count.astype(np.int32)))
+    text, bucket, count = (np.concatenate(p) for p in zip(*parts, strict=True))
+    lengths = [len(p[1]) for p in parts]
+    counts_of = [p[2] for p in parts]
+    del parts
+    word_start = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+
+    def word_values(model: Model) -> np.ndarray:
+        return np.concatenate([model.words(bucket[e - n:e], np.repeat(np.arange(len(c)), c), c) for e, n, c in zip(np.cumsum(lengths), lengths, counts_of, strict=True)])
+
     # the first passages: by the log odds that texts of either label have an n-gram, drawn towards 0 for rare ones
-    seen = np.unique(text[owner] * (1 << BITS) + bucket)
-    having = [np.bincount(seen[y[seen >> BITS] == k] & ((1 << BITS) - 1), minlength=1 << BITS) for k in (0, 1)]
     share = y.mean()
     model = Model(np.log((having[1] + RARE * share) / y.sum()) - np.log((having[0] + RARE * (1 - share)) / (1 - y).sum()), 0.0)
     counts = np.bincount(text, minlength=len(y))
@@ -122,7 +133,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 6, epochs: int = 6,
     softmax, bias = np.stack([-direction, direction], axis=1), np.zeros(2, np.float32)
     past, past_soft = np.full(1 << BITS, 1e-8, np.float32), np.full((WIDTH, 2), 1e-2, np.float32)
     for _ in range(rounds):
-        _, worst = worst_bags(model.words(bucket, owner, count), text, len(y))
+        _, worst = worst_bags(word_values(model), text, len(y))
         has = np.flatnonzero(counts > 0)
         other = has[y[has] == 0]  # of clean texts also a passage at random
         bag_start = np.concatenate([worst[has], begin[other] + (random.random(len(other)) * np.maximum(1, counts[other] - BAG)).astype(np.int64)])
@@ -160,7 +171,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 6, epochs: int = 6,
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        most_docs: int = 2500, most_chars: int = 20_000) -> Model:
+        most_docs: int = 2000, most_chars: int = 8_000) -> Model:
     """The model of the labelled documents that `learn` (a condition on the key) allows."""
     marked = labels.where(F.col(label).isNotNull() & learn).groupBy(key).agg(F.max(label).alias("toxic"))
     texts = docs.where(learn & F.col(text).isNotNull() & (F.length(text) <= most_chars)).select(F.col(key), F.col(text).alias("text"))
