@@ -31,7 +31,7 @@ from .work import slices, stash
 UNITS = 800
 SHAPES = 150
 CLASSES = 48
-COMMON = 150_000
+COMMON = 150_000         # at most
 HELD = 300_000           # words that a task counts before it hands the counts on
 BETA, DELTA = 0.1, 0.1   # added to transition and word counts
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -173,10 +173,25 @@ class Model:
     distinct: int
 
 
+def common_words(counts: DataFrame, most: int = COMMON) -> DataFrame:
+    """The words above the lowest count step that leaves at most `most` of them; steps are sixteenths of a doubling.
+
+    A sorted limit would bring that many words of every task to the driver.
+    """
+    step = F.floor(F.log2("count") * 16).cast("int")
+    least, held = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):  # a thousand at most
+        held += row["words"]
+        if held > most:
+            break
+        least = row["step"]
+    return counts.where(step >= least if least is not None else F.lit(False)).select("word", "shape", "count")
+
+
 def fit(docs: DataFrame, counts: DataFrame, text: str = "text") -> Model:
     """The model of the training documents; counts: their word_counts."""
     ends = docs.count()
-    top = counts.orderBy(F.desc("count"), "word").limit(COMMON).select("word", "shape", "count").collect()  # a fixed number of words
+    top = sorted(common_words(counts).collect(), key=lambda r: (-r["count"], r["word"]))
     encoded = [(r["word"].encode("utf-8", "surrogatepass"), r["shape"], r["count"]) for r in top]
     units = {w: 1 + i for i, (w, _, _) in enumerate(encoded[:UNITS])}
     bigrams = unit_bigrams(docs, units, text)
