@@ -33,6 +33,7 @@ CELLS = 1 << 18   # hash cells whose load orders the shingles
 PARTS = 16
 GROUPS = 256      # dimensions of the count vectors, one byte each; FULL stands for that many or more
 FULL = 255
+FINE = 2048       # finer groups, one bit each, for the last bound before whole sets are compared
 BITS = 1 << 22    # size of the filter that picks the documents whose sets are needed
 LEAF = 16
 BLOCK = 512
@@ -50,15 +51,28 @@ def _fingerprints(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.nd
 
 
 def _points(owner: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    """For each text its group counts, then the bits of the fine groups that have a shingle."""
     counts = np.bincount(owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64), minlength=rows * GROUPS)
-    return np.minimum(counts, FULL).astype(np.uint8).reshape(-1, GROUPS)
+    fine = np.zeros((rows, FINE), bool)
+    fine[owner, ((hashes >> np.uint64(20)) % np.uint64(FINE)).astype(np.int64)] = True
+    return np.concatenate([np.minimum(counts, FULL).astype(np.uint8).reshape(-1, GROUPS), np.packbits(fine, axis=1)], axis=1)
 
 
-def _unpacked(column: pa.Array) -> np.ndarray:
-    """Points as numbers; a full count bounds nothing, so it is as large as any."""
-    points = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int64)
-    points[points == FULL] = 1 << 40
-    return points
+def _bytes(column: pa.Array) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def _counts(points: np.ndarray) -> np.ndarray:
+    """Group counts as numbers; a full one bounds nothing, so it is as large as any."""
+    counts = points[:, :GROUPS].astype(np.int64)
+    counts[counts == FULL] = 1 << 40
+    return counts
+
+
+def _fine_bound(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many shingles two sets can share: all but those whose fine group is empty in the other set."""
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -149,15 +163,17 @@ def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: in
 
 
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and summed minima allow a link."""
+    """The pairs (a, b) of classes whose sizes and fine groups allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = np.minimum(_unpacked(batch.column("x")), _unpacked(batch.column("y"))).sum(axis=1)
-            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * n))
-
-    x = points.select(F.col("class").alias("a"), "n", F.col("point").alias("x"))
-    y = points.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("point").alias("y"))
+            if batch.num_rows:
+                n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+                bound = _fine_bound(_bytes(batch.column("x")), _bytes(batch.column("y")), n, m)
+                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * (n + m)))
+
+    fine = F.substring("point", GROUPS + 1, FINE // 8)
+    x = points.select(F.col("class").alias("a"), "n", fine.alias("x"))
+    y = points.select(F.col("class").alias("b"), F.col("n").alias("m"), fine.alias("y"))
     sized = pairs.join(x, "a").join(y, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -221,13 +237,15 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
     def compare(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
         block, cls, label, n = (t.column(c).to_numpy() for c in ("block", "class", "label", "n"))
-        points = _unpacked(t.column("point"))
+        raw = _bytes(t.column("point").combine_chunks())
+        points, fine = _counts(raw), raw[:, GROUPS:]
         left = np.flatnonzero(block == block.min())
         right = np.flatnonzero(block == block.max())
         tree, same, a, b = Tree(points[right], n[right]), block.min() == block.max(), [], []
         for q in left:
             near = right[tree.near(points[q], int(n[q]), percent)]
             near = near[label[near] != label[q]]
+            near = near[(100 + percent) * _fine_bound(fine[near], fine[q][None, :], n[near], n[q]) >= percent * (n[near] + n[q])]
             near = cls[near[cls[near] > cls[q]]] if same else cls[near]
             a += [cls[q]] * len(near)
             b += near.tolist()
@@ -291,6 +309,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest key."""
-    kept = near_duplicates(docs, key, text).where(F.col("component_id") == F.col(key)).select(key).distinct()
-    return docs.join(kept, key)
+    """One document of each group of linked ones, that with the smallest key; rows that share a key or have none stay as they are."""
+    rows = near_duplicates(docs, key, text)
+    dropped = rows.groupBy(key).agg(F.bool_and(F.col("component_id") != F.col(key)).alias("other")).where("other").select(key)
+    return docs.join(dropped, key, "left_anti")
