@@ -4,7 +4,9 @@ Rules name a host with its subdomains and a path prefix; the longest fitting rul
 templates is learnt per host.  Digits and long hexadecimal runs of a segment become placeholders, and equal shapes are
 counted first, so that the tree grows on counts and not on URLs.  Then the tree is built level by level: below a node, the
 branches of a segment with many different values, and labelled branches whose share of blocked pages does not
-differ significantly from that of their siblings, are merged into a wildcard; others keep their text.  A template is rejected when its share
+differ significantly from that of their siblings, are merged into a wildcard; others keep their text.  Unlabelled branches share the
+wildcard of labelled ones only when at least `SIBLINGS` labelled branches, and the share `AGREE` of all labelled ones, were
+merged into it; else they have a wildcard of their own.  A template is rejected when its share
 of blocked labelled pages, smoothed towards `prior`, reaches `least`; templates without labels are therefore allowed.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule and is judged with the empty host;
@@ -21,6 +23,8 @@ from .work import stash
 LEVELS = 6          # segments that get a tree level of their own; the rest of a longer path is one last segment
 MANY = 20           # different values of a segment that make it variable
 SIMILAR = 1.96      # standard errors
+SIBLINGS = 5        # labelled branches that must agree before unlabelled ones are judged by them
+AGREE = 0.8
 WEIGHT = 4.0        # pages that the prior counts for
 PRIOR = 0.25
 LEAST = 0.8
@@ -64,8 +68,11 @@ def templates(pages: DataFrame, prior: float = PRIOR, weight: float = WEIGHT) ->
         rest, pooled = F.col("all_labelled") - F.col("labelled"), (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
         gap = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - F.try_divide(F.col("all_blocked") - F.col("blocked"), rest))
         similar = F.coalesce(gap <= SIMILAR * F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest))), F.lit(False))
-        merged = (F.col("branches") > 1) & (similar | ((F.col("branches") > MANY) & ((F.col("labelled") == 0) | (rest == 0))))
-        named = branches.join(nodes, ["host", "template"]).select("host", "template", "segment", F.when(merged, "*").otherwise(F.col("segment")).alias("named"))
+        marked = branches.join(nodes, ["host", "template"]).withColumn("similar", similar)
+        agreed = marked.groupBy("host", "template").agg(F.count_if("similar").alias("agreeing"), F.count_if(F.col("labelled") > 0).alias("tagged"))
+        evident = (F.col("agreeing") >= SIBLINGS) & (F.col("agreeing") >= AGREE * F.col("tagged"))
+        wild = F.when(F.col("similar") & (F.col("branches") > 1), "*").when((F.col("branches") > MANY) & (F.col("labelled") == 0), F.when(evident, "*").otherwise("?"))
+        named = marked.join(agreed, ["host", "template"]).select("host", "template", "segment", F.coalesce(wild, "segment").alias("named"))
         tree = (tree.join(named, ["host", "template", "segment"], "left")
                 .withColumn("template", F.when(F.col("named").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "named"))).drop("segment", "named"))
         tree = stash(tree, "templates")

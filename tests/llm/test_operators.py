@@ -319,6 +319,15 @@ def test_url_rules_and_tree(spark):
     found = {(r["template"]): r["purity"] for r in url_tree.templates(shaped).collect()}
     assert found["/ads/*/{n}"] > 0.8 and found["/news/{n}"] < 0.3
 
+def test_url_tree_needs_evidence_for_unlabelled_siblings(spark):
+    # one blocked branch among 30 that nobody labelled says nothing about them; ten that agree do
+    rows = [("a", f"/bad/{i}", 1) for i in range(40)] + [("a", f"/{chr(97 + i % 26)}{chr(97 + i // 26)}/1", None) for i in range(30)]
+    rows += [("b", f"/{chr(97 + i % 26)}{chr(97 + i // 26)}/1", 1 if i < 10 else None) for i in range(40) for _ in range(4)]
+    shaped = spark.createDataFrame(rows, "host string, path string, blocked int").withColumn("shape", url_tree.shape(F.col("path")))
+    found = {(r["host"], r["shape"][0]): r["purity"] for r in url_tree.templates(shaped).collect()}
+    assert found["a", "bad"] >= url_tree.LEAST and all(p < url_tree.LEAST for (h, s), p in found.items() if h == "a" and s != "bad")
+    assert all(p >= url_tree.LEAST for (h, _), p in found.items() if h == "b")
+
 
 def test_class_model(spark, docs, none):
     fold = work.crc32_mod("doc_id", 7)
