@@ -364,6 +364,33 @@ def test_probabilities_add_up(spark):
     assert all(np.isclose((10 ** model.unit)[model.cls == c].sum(), 1) for c in set(model.cls))
 
 
+def test_words_beyond_the_seed_get_classes_of_their_own(spark):
+    # after 400 frequent words a... come 400 frequent words b...; words c... stand like the former, words d... like the latter, with like endings
+    rng, texts = np.random.default_rng(8), []
+    for i in range(1200):
+        line = []
+        for _ in range(20):
+            line += [f"a{rng.integers(400):03d}xy", f"b{rng.integers(400):03d}xy"]
+        line[2 * (i % 20)] = f"c{i % 120:03d}xy"
+        line[1 + 2 * (i * 7 % 20)] = f"d{i % 120:03d}xy"
+        texts.append(" ".join(line))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = class_lm.word_counts(rows)
+    model, words = class_lm.fit_words(rows, counts)
+    named = {r["word"]: r["class"] for r in words.join(counts.select("key", "word"), "key").collect()}
+    of = lambda first: {c for w, (c, _) in model.common.items() if w[:1] == first}
+    assert len(named) == 240 and not of(b"a") & of(b"b")
+    assert {named[w] for w in named if w[0] == "c"} <= of(b"a") and {named[w] for w in named if w[0] == "d"} <= of(b"b")
+    for c in range(1, class_lm.CLASSES):  # the words of a class and its shapes add up to one
+        held = [10 ** e for e, (k, n) in zip(model.emit, model.common.values(), strict=True) if k == c and n >= class_lm.LEAST]
+        shapes = 10 ** model.unit[1 + class_lm.UNITS:][model.cls[1 + class_lm.UNITS:] == c]
+        assert not held or sum(held) + shapes.sum() == pytest.approx(1)
+    # the classes of words that are not sent to the tasks are joined, with the same scores
+    score = lambda most: {r.doc_id: r.score for r in class_lm.score_corpus(rows, F.col("doc_id") % 7 != 2, most=most).collect()}
+    sent, joined = score(class_lm.COMMON), score(850)
+    assert not class_lm.fit_words(rows, counts, most=850)[0].whole and joined == pytest.approx(sent)
+
+
 def plain_pipeline(spark, sf_dir):
     """Documents after the four filtering stages, by plain versions; the model's scores are taken as they are."""
     import corpus_pipeline
