@@ -225,11 +225,11 @@ def training_rows(spark, d):
 MODEL_COLS = COLS + ["marketCap_log"]
 
 
-def fitted(spark, d, rounds=15):
+def fitted(spark, d):
     t = training_rows(spark, d)
     scaler = X.ImputeScale().fit(t.filter("split = 'train'"), MODEL_COLS)
     x = scaler.transform(t)
-    return x, M.train_esg(x, MODEL_COLS, rounds=rounds)
+    return x, M.train_esg(x, MODEL_COLS)
 
 
 @query("j8_train_esg")

@@ -146,6 +146,20 @@ def test_model_beats_sector_baseline(spark, trained):
     assert r["test"]["mae_gain"] > 0 and r["test"]["rmse_gain"] > 0
 
 
+def test_training_stops_by_patience(spark, trained):
+    import inspect
+    from foliospark.plans import q_model
+    given = {k: p.default for k, p in inspect.signature(ML.train_esg).parameters.items()}
+    assert (given["rounds"], given["step"], given["patience"]) == (2000, 0.05, 50)
+    assert "rounds" not in inspect.signature(q_model.fitted).parameters
+    df = trained[0]
+    whole = ML.train_esg(df, ["a", "b"], rounds=24, max_depth=2, step=0.9, patience=24)
+    errors = whole.evaluateEachIteration(ML.assemble(df.filter("split = 'val'"), ["a", "b"]).withColumnRenamed("total_esg", "label"), "squared")
+    assert whole.getNumTrees == len(errors) and min(errors) == errors[-1]  # ends at its best round
+    noise = df.withColumn("total_esg", F.expr("(symbol * 7919 % 103) / 1.0D"))  # nothing to learn
+    assert ML.train_esg(noise, ["a", "b"], rounds=64, max_depth=3, step=0.9, patience=4).getNumTrees < 20
+
+
 def test_sampled_attributions_add_up(spark, trained):
     df, model = trained
     rows = df.limit(5)
