@@ -11,7 +11,8 @@ are compared once.  In each key the classes are first compared with the smallest
 without listing their pairs; then R-trees compare, in blocks, the classes of keys that still hold different components.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; fewer words than a
-shingle make one shingle; equal and repeated rows are one class; an empty table gives no rows; extra columns are not read.
+shingle make one shingle; equal and repeated rows are one class; rows are compared by their texts whatever their keys, null and
+repeated ones too; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -80,12 +81,12 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(key, n, class, point) of every document, class null without shingles; and the cells' loads of each task."""
+    """(key, n, class, point, mark) of every document, class null without shingles, mark a hash of its text; and the cells' loads of each task."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load, seen = np.zeros(CELLS, np.uint32), set()
-        names = ["key", "n", "class", "point", "part", "load"]
+        names = ["key", "n", "class", "point", "mark", "part", "load"]
         none = None
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -95,14 +96,14 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame,
                 fresh = np.array([m not in seen and not seen.add(m) for m in marks.tolist()], bool)
                 load += np.bincount(_cells(hashes[fresh[owner]]), minlength=CELLS).astype(np.uint32)
                 keys, none = part.column("key"), part.column("key").type
-                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(marks, mask=n == 0), pa.array([p.tobytes() for p in _points(owner, hashes, len(n))], pa.binary()),
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(marks, mask=n == 0), pa.array([p.tobytes() for p in _points(owner, hashes, len(n))], pa.binary()), part.column("mark"),
                                                   pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if none is not None:
             parts = np.split(load, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, none), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, none), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n bigint, class bigint, point binary, part int, load binary"), "classes")
-    return rows.where("part is null").select("key", "n", "class", "point"), rows.where("part is not null").select("part", "load")
+    rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, f"key {kind}, n bigint, class bigint, point binary, mark bigint, part int, load binary"), "classes")
+    return rows.where("part is null").select("key", "n", "class", "point", "mark"), rows.where("part is not null").select("part", "load")
 
 
 def cell_loads(loads: DataFrame) -> np.ndarray:
@@ -139,27 +140,29 @@ def class_keys(docs: DataFrame, text: str, size: int, percent: int, loads) -> Da
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, class bigint")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(class, shingles as bytes) of the wanted (class, doc) rows.
+def class_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFrame:
+    """(class, shingles as bytes) of the wanted (class, mark) rows; mark: the hash of one text of the class.
 
-    A filter of fixed size, built from hashes of the wanted keys, picks their texts and a few others while documents are
-    read, so texts are not shuffled; the join after it is exact.
+    A filter of fixed size, built from the marks, picks those texts and a few others while documents are read, so texts are
+    not shuffled.  What is picked is dealt by the class of the text itself, so keys play no part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 owner, hashes = shingles(part.column("text").to_pylist(), size)
                 n = np.bincount(owner, minlength=part.num_rows)
-                ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([hashes[e - c:e].tobytes() for e, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], ["doc", "shingles"])
+                marks, ends = _fingerprints(owner, hashes, n), np.cumsum(n)
+                fresh = [i for i, m in enumerate(marks.tolist()) if n[i] and m not in seen and not seen.add(m)]
+                yield pa.RecordBatch.from_arrays([pa.array(marks[fresh]), pa.array([hashes[ends[i] - n[i]:ends[i]].tobytes() for i in fresh], pa.binary())], ["class", "shingles"])
 
-    bit = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    bit = F.pmod("mark", F.lit(BITS))
     mask = F.expr("shiftleft(1L, cast(bit % 64 as int))")
     filters = wanted.withColumn("bit", bit).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(mask).alias("mask"))  # at most BITS / 64 rows
-    read = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
-    picked = read.join(F.broadcast(filters), "word").where(F.col("mask").bitwiseAND(mask) != 0).select("doc", "text")
-    found = picked.mapInArrow(run, f"doc {docs.schema[key].dataType.simpleString()}, shingles binary")
-    return found.join(wanted, "doc").select("class", "shingles").dropDuplicates(["class"])
+    read = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark")).withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
+    picked = read.join(F.broadcast(filters), "word").where(F.col("mask").bitwiseAND(mask) != 0).select("text")
+    found = picked.mapInArrow(run, "class bigint, shingles binary")
+    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +181,7 @@ def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b), a stored table, of classes whose whole sets are as similar as asked for; also stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +195,8 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, key: str, text
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = stash(members.join(needed, "class").groupBy("class").agg(F.min("key").alias("doc")), "wanted")
-    sets = stash(class_sets(docs, wanted, key, text, size), "sets")
+    wanted = stash(members.join(needed, "class").groupBy("class").agg(F.min("mark").alias("mark")), "wanted")
+    sets = stash(class_sets(docs, wanted, text, size), "sets")
     whole = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return stash(whole.mapInArrow(run, "a bigint, b bigint"), "linked")
 
@@ -272,7 +275,7 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """(node, root): classes that are linked, by whatever chain, with the smallest class of their component."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(cell_loads(loads))
@@ -281,7 +284,7 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, key: str
                    .where("first <> last").select("key", "class", "first").distinct(), "keys")
     points = stash(members.join(shared.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("point").alias("point")), "points")
     stars = shared.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    found = linked(stash(possible(stars, points, percent), "pairs"), docs, members, key, text, size, percent)
+    found = linked(stash(possible(stars, points, percent), "pairs"), docs, members, text, size, percent)
     roots = components(found)
     labelled = shared.join(roots, shared["class"] == roots["node"], "left").select("key", "class", "first", F.coalesce("root", "class").alias("label"))
     # keys that still hold several components; keys with the same classes need only be looked at once
@@ -291,7 +294,7 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, key: str
                  .groupBy("n", "sum", "xor", "least", "most").agg(F.min("key").alias("key")).where("n > 2").select("key"))  # two classes were compared as a star
     rows = labelled.join(open_keys, "key").join(points, "class")
     more = stash(survivors(rows, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = linked(more, docs, members, key, text, size, percent)
+    more = linked(more, docs, members, text, size, percent)
     if more.isEmpty():
         return roots
     return components(found.union(more))
@@ -300,7 +303,7 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, key: str
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links)."""
     members, loads = classes(docs, key, text, size)
-    roots = stash(link_classes(docs, members, loads, key, text, size, percent), "roots")
+    roots = stash(link_classes(docs, members, loads, text, size, percent), "roots")
     first = members.where("class is not null").groupBy("class").agg(F.min("key").alias("first"))
     first = first.join(roots, first["class"] == roots["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     least = first.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -309,7 +312,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of linked ones, that with the smallest key; rows that share a key or have none stay as they are."""
-    rows = near_duplicates(docs, key, text)
-    dropped = rows.groupBy(key).agg(F.bool_and(F.col("component_id") != F.col(key)).alias("other")).where("other").select(key)
-    return docs.join(dropped, key, "left_anti")
+    """One document of each group of linked ones, that with the smallest key: its rows if the key repeats, and one row where all keys are null."""
+    rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__row", text).join(rows.select("__row", F.col(key).alias("key")), "__row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__row")).alias("first"))
+    kept = found.join(first, "component_id").where((F.col("key") == F.col("first.key")) | (F.col("__row") == F.col("first.__row"))).select("__row")
+    return rows.join(kept, "__row", "left_semi").drop("__row")

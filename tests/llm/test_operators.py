@@ -216,6 +216,28 @@ def test_jaccard(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_jaccard_with_repeated_and_null_ids(spark):
+    words = [[f"w{i}x{j}" for j in range(60)] for i in range(30)]
+    changed = lambda w, *at: " ".join("new" + x if i in at else x for i, x in enumerate(w))
+    # per chain: the text, a copy one word away without an id (the bridge, twice), one two words away, and another text under the same id
+    texts, rows = [], []
+    for i, w in enumerate(words):
+        for doc, t in ((i, changed(w)), (None, changed(w, 30)), (None, changed(w, 30)), (100 + i, changed(w, 30, 31, 32, 33)), (i, " ".join(f"z{i}y{j}" for j in range(40)))):
+            texts.append(t)
+            rows.append((doc, t, len(rows)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(4)
+    _, roots = plain_components(texts)
+    for r in jaccard.near_duplicates(table, "n").collect():
+        assert r.component_id == roots[r.n]
+    got = jaccard.near_duplicates(table).collect()
+    assert len(got) == len(rows) and sorted(r.component_id for r in got) == sorted(rows[x][0] for x in roots)
+    kept = jaccard.keep_one(table)
+    assert kept.columns == table.columns
+    kept = [r.n for r in kept.collect()]
+    assert sorted(roots[n] for n in kept) == sorted(set(roots))
+    assert all(rows[n][0] is not None for n in kept)
+
+
 def test_tree_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 4, (700, 32))
