@@ -9,7 +9,7 @@ The automaton is sent to the tasks only when the items' texts are within `shard_
 shards of that size, scanned one after the other over a stored table that carries the hits found so far.
 
 Defined results: a null or empty text, or one without words, has no hits and is clean; items without words match nothing;
-repeated items and repeated windows count once per item id; an empty benchmark leaves all documents clean; the input's other
+repeated items and repeated windows count once per item id, all items without an id as one item, null and last in the list; an empty benchmark leaves all documents clean; the input's other
 columns are not read.
 """
 
@@ -43,7 +43,7 @@ class _Numbers(dict):
 class Windows:
     """The automaton over the windows of some items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         import ahocorasick
         self.numbers, owners = _Numbers(), {}
         for item, text in items:
@@ -58,7 +58,7 @@ class Windows:
             self.automaton.make_automaton()
         self.any = bool(owners)
 
-    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Runs (first, last) of hit words, and the items with an occurring window."""
         runs, items = [], set()
         if not self.any:
@@ -93,7 +93,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     kind = docs.schema[key].dataType.simpleString()
     state = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard) if shards > 1 else items
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard) if shards > 1 else items
         state = _scan(state, docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()]), window, kind, last=shard == shards - 1)
         if shard < shards - 1:
             state = stash(state, "passages")
@@ -102,7 +102,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def _items(benchmark: DataFrame, item: str = "item_id", item_text: str = "text", shard_bytes: int = 1 << 20) -> tuple[DataFrame, int]:
     """Item ids and texts, and how many shards of bounded size they make."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
     return items, max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
 
@@ -122,7 +122,7 @@ def _scan(state: DataFrame, items, window: int, kind: str, last: bool) -> DataFr
                     runs = _merged(runs + [(h["first"], h["last"]) for h in old])
                     counts.append(len(found))
                     hits.append([{"first": a, "last": b} for a, b in runs])
-                    found_items.append(sorted(who | set(old_items)))
+                    found_items.append(sorted(who | set(old_items), key=lambda i: (i is None, i or "")))
                     spans.append([{"start": a, "end": b} for a, b in _offsets(value, runs)] if last else [])
                 columns = [part.column("key")] + [part.column("text")] * (not last) + [
                     pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),

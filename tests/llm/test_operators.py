@@ -127,6 +127,17 @@ def test_quality(spark, docs, none):
     assert quality.judge(none, labels).count() == 0
 
 
+def test_passages_of_items_without_an_id(spark):
+    line = lambda name: " ".join(f"{name}{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, line("a")), (2, line("b") + " " + line("c")), (3, line("d"))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, line("a")), (None, line("b")), ("x", line("c")), ("y", None)], "item_id string, text string")
+    for shard_bytes in (1 << 20, 60):
+        found = {r.doc_id: r for r in decontaminate.find_passages(docs, items, shard_bytes=shard_bytes).withColumn("n_hit", decontaminate.n_hit()).collect()}
+        assert [found[i]["n_hit"] for i in (1, 2, 3)] == [20, 40, 0]
+        assert [found[i]["items"] for i in (1, 2, 3)] == [[None], ["x", None], []]
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()] == [3]
+
+
 def test_binomial_tail_and_certified_rate(spark):
     rows = spark.createDataFrame([(0, 100), (1, 100), (5, 400), (30, 100)], "k bigint, n bigint").select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.05).alias("p")).collect()
     for r in rows:
