@@ -126,6 +126,13 @@ def _(spark, d):
     return c.select("portfolio_id", "sector", F.round("weight_frac", 6).alias("weight_frac"), "baseline_pct", "beta")
 
 
+@query("d2_join_all_scenarios", """
+  SELECT portfolio_id, scenario_key, sector, round(weight_frac, 6) AS weight_frac, baseline_pct, beta FROM sql_contrib""")
+def _(spark, d):
+    c = S.scenario_contributions(composition(spark, d))
+    return c.select("portfolio_id", "scenario_key", "sector", F.round("weight_frac", 6).alias("weight_frac"), "baseline_pct", "beta")
+
+
 @query("d3_cross_scenarios", """
   SELECT portfolio_id, scenario_key, count(*) AS sectors, round(sum(weight_frac), 6) AS weight_sum
   FROM sql_contrib GROUP BY 1, 2""")
