@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, html_crf, jaccard, packing, quality, secret_scan, token_store, toxicity, url_tree
+from . import class_lm, decontaminate, html_crf, jaccard, merkle, packing, quality, secret_scan, token_store, toxicity, url_tree
 from .work import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,53 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = html_crf.extract(pages.select(F.struct("page_id", "url").alias("page"), "html"), html_crf.trained(), key="page")
     return found.select("page.page_id", "page.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; the text of every third one is altered and must be found out."""
+    altered = F.when(crc32_mod("doc_id", 3) == 0, F.translate("text", _UPPER, _SMALL)).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"text": altered})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _written(text: str) -> str:
+    columns = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+# crc32 of the decimal id, bit by bit: eight shifts for each digit
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda s, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384), xor(s, b)), 4294967295))"""
+
+
+def _tree(name: str, start: str) -> str:
+    """Recursive tables of a tree: name (part, lvl, idx, n, node), and name_s with the siblings left and right of each node."""
+    return f"""{name} AS ({start} UNION ALL
+      SELECT part, lvl + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY part, lvl, idx // 8),
+  {name}_s AS (SELECT a.part, a.lvl, a.idx, coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+                      coalesce(string_agg(b.node, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+               FROM {name} a LEFT JOIN {name} b ON a.part = b.part AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 AND a.idx <> b.idx WHERE a.n > 1 GROUP BY 1, 2, 3)"""
+
+
+def _folds(name: str, tree: str, start: str) -> str:
+    return f"""{name} AS ({start} UNION ALL
+      SELECT place, f.part, f.lvl + 1, f.idx // 8, sha256(l || h || r), proof || l || r FROM {name} f JOIN {tree}_s s ON s.part = f.part AND s.lvl = f.lvl AND s.idx = f.idx)"""
+
+
+SQL["op13_merkle_manifest"] = f"""
+  WITH RECURSIVE c AS (SELECT doc_id, coalesce('1' || lang, '0') AS part, {_written('text')} AS leaf,
+                              {_written(f"CASE WHEN {_CRC} % 3 = 0 THEN translate(text, '{_UPPER}', '{_SMALL}') ELSE text END")} AS new FROM documents),
+  d AS (SELECT *, row_number() OVER (ORDER BY part, doc_id NULLS FIRST, leaf) AS place, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+               count(*) OVER (PARTITION BY part) AS n FROM c),
+  {_tree("t", "SELECT part, 0 AS lvl, idx, n, leaf AS node FROM d")},
+  e AS (SELECT part, lvl, node, row_number() OVER (ORDER BY encode(part)) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+  {_tree("u", "SELECT 0 AS part, 0 AS lvl, idx, n, node FROM e")},
+  {_folds("f", "t", "SELECT place, part, 0 AS lvl, idx, new AS h, '' AS proof FROM d")},
+  {_folds("g", "u", "SELECT place, 0 AS part, 0 AS lvl, e.idx, h, proof FROM f JOIN e ON e.part = f.part AND e.lvl = f.lvl")},
+  x AS (SELECT node AS root, lvl FROM u WHERE n = 1)
+  SELECT doc_id, leaf, e.node AS subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+  FROM d JOIN e ON e.part = d.part JOIN x ON true JOIN g ON g.place = d.place AND g.lvl = x.lvl"""
