@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, html_crf, jaccard, merkle, packing, quality, secret_scan, token_store, toxicity, url_tree
-from .work import crc32_mod, table
+from . import alignment, class_lm, decontaminate, html_crf, jaccard, merkle, packing, quality, secret_scan, simhash, token_store, toxicity, url_tree
+from .work import crc32_mod, stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -167,3 +167,19 @@ SQL["op13_merkle_manifest"] = f"""
   x AS (SELECT node AS root, lvl FROM u WHERE n = 1)
   SELECT doc_id, leaf, e.node AS subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
   FROM d JOIN e ON e.part = d.part JOIN x ON true JOIN g ON g.place = d.place AND g.lvl = x.lvl"""
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' ids of every document aligned by common byte ends, with the counts of linked pairs over all documents."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
+    aligned = stash(aligned.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256").withColumn("row", F.monotonically_increasing_id()), "aligned")
+    return alignment.score(aligned, alignment.pair_counts(aligned), "row").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of those that differ in at most two bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
