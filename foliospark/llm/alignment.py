@@ -1,8 +1,8 @@
 """Alignment of the token ids that two tokenizers give for the same text, and how usual each linked pair of ids is in the corpus.
 
 The ids of a text become cumulative byte ends, each kept in a dictionary from end to index.  The ends that both dictionaries have,
-sorted, slice both id lists into groups.  Inside a group every two tokens whose byte ranges overlap are linked: one token against
-the other side's all, or, as no end inside is shared, step by step along the ends of both sides.
+sorted, slice both id lists into groups.  Inside a slice every two tokens whose byte ranges overlap are linked: as no end inside is
+shared, there is one link for each stretch between two neighbouring ends of either side.
 
 A pair's count is the number of rows that hold it linked.  Tasks sum counts before the shuffle.  Rows are scored by the counts of the
 most usual pairs, sent to the tasks (at most COMMON pairs), and the links of all other pairs are joined with theirs.
@@ -14,8 +14,11 @@ several pairs, which then all are best; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from .work import slices, stash
 COMMON = 1 << 18   # pairs whose counts are sent to tasks
 FLUSH = 1 << 22    # links held before a task sums them
 SHIFT = 1 << 16    # a pair's number: first id x SHIFT + second id, in 32 bits
+NOTHING = (0, 0, 0, "", b"")
 
 
 class FirstTokens:
@@ -44,7 +48,7 @@ class FirstTokens:
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(self.encoder.ids(" " + t), "<u4")[:-1].tolist() for t in texts]
+        return [array("I", self.encoder.ids(" " + t)[:-4]).tolist() for t in texts]
 
 
 class SecondTokens:
@@ -60,53 +64,90 @@ class SecondTokens:
         return self.model.encode(texts, num_threads=1)
 
 
+Aligned = tuple[int, int, int, str, bytes]  # numbers of first ids, second ids and groups, groups as text, sorted numbers of the linked pairs
+
+
 class Aligner:
-    def __init__(self, first: str, second: str):
+    """Both tokenizers.  A text without longer white space is cut before its spaces: there the first one's splitting pattern ends, and
+    so does the second if no piece has a space behind another character.  Each different word is aligned once while it is among the
+    last `most` to twice as many.  Words and uncut texts are aligned together: written one after the other, all end at shared ends."""
+
+    UNCUT = re.compile("^\\s|\\s$| \\s|[\x1c-\x1f\u2581]")  # also what is white space to one library only, and the mark of a space
+
+    def __init__(self, first: str, second: str, most: int = 200_000, longest: int = 64):
         self.sides = FirstTokens(first), SecondTokens(second)
         if max(len(side.bytes) for side in self.sides) > SHIFT:
             raise ValueError(f"vocabularies of at most {SHIFT} ids")
+        self.most, self.longest, self.held, self.old = most, longest, {}, {}
         self.sizes = [np.array([len(b) for b in side.bytes]) for side in self.sides]
-        self.written = [[str(i) for i in range(len(side.bytes))] for side in self.sides]
-
-    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
-        """For each text (number of first ids, of second ids, of groups, groups as text, numbers of the linked pairs)."""
-        kept = [i for i, t in enumerate(texts) if t]
-        out = [(0, 0, 0, "", np.zeros(0, np.uint32))] * len(texts)
-        for i, a, b in zip(kept, *[side.ids([texts[i] for i in kept]) for side in self.sides], strict=True):
-            whole = b" " + texts[i].encode()
-            if all(b"".join(map(side.bytes.__getitem__, ids)) == whole for side, ids in zip(self.sides, (a, b), strict=True)):
-                out[i] = self._groups(a, b)
+        self.written = [np.array([[f"{i}{sign}" for i in range(len(side.bytes))] for sign in signs], object) for side, signs in zip(self.sides, (",|", ",;"), strict=True)]
+        self.cuts = self.sides[0].encoder.pattern is not None and not any(b" " in b.lstrip(b" ") for b in self.sides[1].bytes)
+
+    def align(self, texts: list[str | None]) -> list[Aligned]:
+        """What the tokens of each text give; nothing for texts whose tokens do not give back the space and the text."""
+        parts = [([t] if not self.cuts or self.UNCUT.search(t) else t.split(" ")) if t else [] for t in texts]
+        known = self._known({word for words in parts for word in words})
+        out = [self._joined([known[word] for word in words]) for words in parts]
+        failed = [i for i, words in enumerate(parts) if len(words) > 1 and out[i] is NOTHING]
+        for i, found in zip(failed, self.whole([texts[i] for i in failed]), strict=True):
+            out[i] = found
+        return out
+
+    def _known(self, words: set[str]) -> dict[str, Aligned]:
+        """The alignments of some words, of those held or new."""
+        known = {w: found for w in words if (found := self.held.get(w) or self.old.get(w))}
+        new = [w for w in words if w not in known]
+        fresh = dict(zip(new, self.whole(new), strict=True))
+        if len(self.held) >= self.most:
+            self.held, self.old = {}, self.held
+        self.held.update((w, f) for w, f in fresh.items() if len(w) <= self.longest)
+        known.update(fresh)
+        return known
+
+    def _joined(self, found: list[Aligned]) -> Aligned:
+        if not found or NOTHING in found:
+            return NOTHING
+        if len(found) == 1:
+            return found[0]
+        a, b, groups, written, pairs = zip(*found, strict=True)
+        return sum(a), sum(b), sum(groups), ";".join(written), np.sort(_numbers(b"".join(pairs))).tobytes()
+
+    def whole(self, texts: list[str]) -> list[Aligned]:
+        """The same for texts that are not cut."""
+        given = list(zip(range(len(texts)), *[side.ids(texts) for side in self.sides], strict=True))
+        a_bytes, b_bytes = (side.bytes for side in self.sides)
+        given = [(i, a, b) for i, a, b in given if b"".join([a_bytes[x] for x in a]) == b" " + texts[i].encode() == b"".join([b_bytes[y] for y in b])]
+        out = [NOTHING] * len(texts)
+        if given:
+            for (i, a, b), (groups, written, pairs) in zip(given, self._groups([a for _, a, _ in given], [b for _, _, b in given]), strict=True):
+                out[i] = (len(a), len(b), groups, written, pairs)
         return out
 
-    def _groups(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, np.ndarray]:
+    def _groups(self, left: list[list[int]], right: list[list[int]]) -> Iterator[tuple[int, str, bytes]]:
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (left, right))
         a_ends, b_ends = (size[ids].cumsum() for size, ids in zip(self.sizes, (a, b), strict=True))
-        a_at, b_at = dict(zip(a_ends.tolist(), range(1, len(a) + 1), strict=True)), dict(zip(b_ends.tolist(), range(1, len(b) + 1), strict=True))
+        a_at, b_at = (dict(zip(ends.tolist(), range(1, len(ends) + 1), strict=True)) for ends in (a_ends, b_ends))
         common = sorted(a_at.keys() & b_at.keys())
-        a_text, b_text = self.written
-        groups, pairs, i, j = [], [], 0, 0
-        for end in common:
-            k, m = a_at[end], b_at[end]
-            if k == i + 1 and m == j + 1:
-                x, y = a[i], b[j]
-                groups.append(a_text[x] + "|" + b_text[y])
-                pairs.append(x * SHIFT + y)
-            else:
-                left, right = a[i:k], b[j:m]
-                groups.append(",".join([a_text[x] for x in left]) + "|" + ",".join([b_text[y] for y in right]))
-                if len(left) == 1 or len(right) == 1:
-                    pairs += [x * SHIFT + y for x in left for y in right]
-                else:
-                    p, q = i, j
-                    while p < k and q < m:
-                        pairs.append(a[p] * SHIFT + b[q])
-                        if a_ends[p] < b_ends[q]:
-                            p += 1
-                        elif a_ends[p] > b_ends[q]:
-                            q += 1
-                        else:
-                            p, q = p + 1, q + 1
-            i, j = k, m
-        return len(a), len(b), len(common), ";".join(groups), np.array(pairs, np.uint32)
+        a_cuts, b_cuts = (np.array([at[end] for end in common]) for at in (a_at, b_at))
+        # groups as text: a slice's first ids, then its second ones; the last of each has another sign behind it
+        a_sign, b_sign = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_sign[a_cuts - 1] = b_sign[b_cuts - 1] = 1
+        a_place = np.arange(len(a)) + np.repeat(np.concatenate([[0], b_cuts[:-1]]), np.diff(a_cuts, prepend=0))
+        b_place = np.arange(len(b)) + np.repeat(a_cuts, np.diff(b_cuts, prepend=0))
+        signs = np.empty(len(a) + len(b), object)
+        signs[a_place], signs[b_place] = self.written[0][a_sign, a], self.written[1][b_sign, b]
+        # links of a slice: one for each stretch between two ends of either side
+        ends = np.sort(np.concatenate([a_ends, b_ends]))
+        ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]
+        pairs = a[np.searchsorted(a_ends, ends)] * SHIFT + b[np.searchsorted(b_ends, ends)]
+        a_lasts, b_lasts = (np.cumsum([len(ids) for ids in side]) for side in (left, right))
+        text = np.searchsorted(a_ends[a_lasts - 1], ends)
+        links = np.sort((text.astype(np.uint64) << np.uint64(32)) | pairs.astype(np.uint64)).astype(np.uint32)
+        counts, groups = np.bincount(text, minlength=len(left)), np.diff(np.searchsorted(a_cuts, a_lasts, "right"), prepend=0)
+        begin, link = 0, 0
+        for end, n, g in zip((a_lasts + b_lasts).tolist(), counts.tolist(), groups.tolist(), strict=True):
+            yield g, "".join(signs[begin:end].tolist())[:-1], links[link:link + n].tobytes()
+            begin, link = end, link + n
 
 
 @lru_cache(maxsize=2)
@@ -125,8 +166,8 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
                 found = aligner(first, second).align(part.column("text").to_pylist())
                 counts = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), *counts, pa.array([len(f[4]) for f in found], pa.int64()), pa.array([f[3] for f in found], pa.string()),
-                     pa.array([np.sort(f[4]).tobytes() for f in found], pa.binary())], ["key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
+                    [part.column("key"), *counts, pa.array([len(f[4]) // 4 for f in found], pa.int64()), pa.array([f[3] for f in found], pa.string()),
+                     pa.array([f[4] for f in found], pa.binary())], ["key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
 
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
         run, f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs binary")
@@ -165,7 +206,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def common_from(counts: DataFrame, most: int) -> int:
     """The smallest power of two that at most `most` pairs reach in count."""
     by_step = counts.groupBy(F.floor(F.log2("count")).alias("step")).agg(F.count("*").alias("n")).collect()  # at most 63 rows
-    total, step = 0, 63
+    total, step = 0, 62
     for r in sorted(by_step, key=lambda r: -r["step"]):
         total += r["n"]
         if total > most:
