@@ -1,82 +1,118 @@
 """The ESG regression model and explanations of its scores.
 
-Training and scoring are Spark ML.  Explanations build every perturbed input as rows and score them in one
-``transform``; the sums that follow are grouped, so the cost is rows x permutations x features whatever
-the number of rows, spread over all tasks.
+A model is trained once for its inputs and parameters and kept in the shared folder (``stored_model``).  Trees are explained
+exactly (``Boosted.explain``).  For any other model, explanations build every perturbed input as rows and score them in one
+``transform``; the sums that follow are grouped, spread over all tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkContext
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions.storage import shared_dir
-from .features import key_digest
+from .boosting import Boosted, fit, from_nodes
+from .features import EncodeCategories, ImputeScale, key_digest
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def train_esg(df: DataFrame, cols: Sequence[str], label: str = "total_esg", rounds: int = 2000, max_depth: int = 5,
-              step: float = 0.05, seed: int = 42, patience: int = 50) -> Model:
+def train_esg(df: DataFrame, cols: Sequence[str], label: str = "total_esg", rounds: int = 2000, leaves: int = 31, step: float = 0.05,
+              patience: int = 50, most_rows: int = 50_000) -> Boosted:
     """Boosted trees with weights, up to the round with the least error on the validation part (``split`` = val).
 
-    Training ends after ``patience`` rounds without a smaller error, or at ``rounds``.  Spark's own early stop knows no
-    patience, so the number of rounds doubles until that many follow the best one; equal seeds give equal first trees.
-    Without validation rows all rounds are made.
+    Training ends after ``patience`` rounds without a smaller error, or at ``rounds``.  Every round continues the one before, so
+    no tree is grown twice.  At most ``most_rows`` rows of each part are fitted, those with the smallest hashes.
     """
+    return fit(df, cols, label, F.xxhash64(label, *cols), rounds, step, patience, leaves, most_rows=most_rows)
+
+
+@dataclass
+class EsgModel:
+    """A fitted pipeline: median fill and scaling of numbers, 0/1 columns of a category, and trees on both."""
+    scaler: ImputeScale
+    encoder: EncodeCategories
+    trees: Boosted
+
+    @property
+    def cols(self) -> list[str]:
+        return self.trees.cols
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return self.encoder.transform(self.scaler.transform(df))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return predict_esg(self.prepare(df), self.trees, self.cols)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Nodes as a table; the rest as one JSON value, written last, so that a folder with it is whole."""
+        facts = {"base": self.trees.base, "cols": self.cols, "numbers": self.scaler.cols, "median": self.scaler.median, "mean": self.scaler.mean, "std": self.scaler.std,
+                 "category": self.encoder.column, "values": self.encoder.values}
+        self.trees.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def saved(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/facts/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def load_model(spark: SparkSession, path: str) -> EsgModel:
+    facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+    scaler, encoder = ImputeScale(), EncodeCategories()
+    scaler.cols, scaler.median, scaler.mean, scaler.std = facts["numbers"], facts["median"], facts["mean"], facts["std"]
+    encoder.column, encoder.values = facts["category"], facts["values"]
+    encoder.names = [f"{encoder.column}_{v}" for v in encoder.values]
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas()  # at most rounds x (2 leaves - 1) rows
+    return EsgModel(scaler, encoder, from_nodes(nodes, facts["cols"], facts["base"]))
+
+
+def train_model(df: DataFrame, numbers: Sequence[str], category: str, label: str = "total_esg", **how) -> EsgModel:
+    """Fit the whole pipeline on the rows with ``split`` train (and val, which only ends the training)."""
+    train = df.filter("split = 'train'")
+    scaler, encoder = ImputeScale().fit(train, numbers), EncodeCategories().fit(train, category)
+    x = encoder.transform(scaler.transform(df))
+    return EsgModel(scaler, encoder, train_esg(x, [*numbers, *encoder.names], label, **how))
+
+
+def input_digest(df: DataFrame, cols: Sequence[str], *more) -> str:
+    """A name for these columns of these rows, whatever their order, and for the given parameters."""
+    mark = F.xxhash64(*cols)
+    facts = df.agg(F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark), F.sum(F.xxhash64(mark, F.lit(1)).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((list(cols), tuple(map(str, facts)), more)).encode()).hexdigest()[:32]
+
+
+def stored_model(df: DataFrame, numbers: Sequence[str], category: str, label: str = "total_esg", **how) -> EsgModel:
+    """The model of these rows and parameters: loaded from the shared folder if it was trained before, else trained and kept there."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:  # cuts the lineage of hundreds of rounds
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    x = assemble(df.filter("split <> 'test'"), cols).persist()
-    val = x.filter("split = 'val'")
-    tried = min(rounds, 2 * patience) if not val.isEmpty() else rounds
-    while True:
-        gbt = GBTRegressor(featuresCol="features", labelCol=label, weightCol="weight", maxIter=tried, maxDepth=max_depth, stepSize=step, seed=seed)
-        model = gbt.fit(x.filter("split <> 'val'"))
-        best, least = tried, float("inf")
-        for i, error in enumerate([] if val.isEmpty() else model.evaluateEachIteration(val, "squared"), 1):
-            if error < least:
-                best, least = i, error
-            elif i - best >= patience:
-                break
-        if tried == rounds or best + patience <= tried:
-            break
-        tried = min(rounds, 2 * tried)
-    x.unpersist()
-    return first_rounds(model, best)
-
-
-def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model of the first trees alone."""
-    java, sc = model._java_obj, SparkContext._active_spark_context
-    kind = sc._jvm.org.apache.spark.ml.regression
-    trees, weights = sc._gateway.new_array(kind.DecisionTreeRegressionModel, rounds), sc._gateway.new_array(sc._jvm.double, rounds)
-    for i in range(rounds):
-        trees[i], weights[i] = java.getTree(i), float(java.treeWeights()[i])
-    cut = kind.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
-    return GBTRegressionModel(cut)
-
-
-def predict_esg(df: DataFrame, model: Model, cols: Sequence[str]) -> DataFrame:
+    path = f"{shared_dir(spark)}/esg-model-{input_digest(df, [*numbers, category, label, 'weight', 'split'], sorted(how.items()))}"
+    if not saved(spark, path):
+        train_model(df, numbers, category, label, **how).save(spark, path)
+    return load_model(spark, path)
+
+
+def predict_esg(df: DataFrame, model: Model | Boosted, cols: Sequence[str]) -> DataFrame:
     """Add ``prediction`` within 0..100."""
     y = model.transform(assemble(df, cols)).drop("features")
     return y.withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("prediction"))))
 
 
-def feature_importance(spark, model: Model, cols: Sequence[str]) -> DataFrame:
-    rows = sorted(zip(cols, [float(v) for v in model.featureImportances.toArray()]), key=lambda r: -r[1])
+def feature_importance(spark: SparkSession, model: Boosted) -> DataFrame:
+    """Features by their share in the fall of the training error."""
+    rows = sorted(model.importance().items(), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)], "feature string, importance double, rank int")
 
 

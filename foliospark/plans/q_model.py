@@ -226,42 +226,88 @@ MODEL_COLS = COLS + ["marketCap_log"]
 
 
 def fitted(spark, d):
+    """Prepared rows and the stored model; the first query of these inputs trains it."""
     t = training_rows(spark, d)
-    scaler = X.ImputeScale().fit(t.filter("split = 'train'"), MODEL_COLS)
-    x = scaler.transform(t)
-    return x, M.train_esg(x, MODEL_COLS)
+    model = M.stored_model(t, MODEL_COLS, "sector")
+    return model.prepare(t), model
+
+
+def judged(spark, d):
+    x, model = fitted(spark, d)
+    return X.model_vs_baseline(X.sector_mean_baseline(M.predict_esg(x, model.trees, model.cols)), "total_esg", "prediction", "y_proxy")
+
+
+VIEWS["sql_labelled"] = "SELECT * FROM sql_split WHERE total_esg IS NOT NULL"
+VIEWS["sql_proxy"] = """
+  SELECT l.*, coalesce(m.m, (SELECT avg(total_esg) FROM sql_labelled WHERE NOT imputed)) AS y_proxy FROM sql_labelled l
+  LEFT JOIN (SELECT sector, avg(total_esg) AS m FROM sql_labelled WHERE NOT imputed GROUP BY 1) m USING (sector)"""
 
 
 @query("j8_train_esg")
 def _(spark, d):
-    x, model = fitted(spark, d)
-    y = X.sector_mean_baseline(M.predict_esg(x, model, MODEL_COLS))
-    return X.model_vs_baseline(y, "total_esg", "prediction", "y_proxy")
+    return judged(spark, d)
+
+
+@query("j8_train_facts", """
+  SELECT split, round(avg(abs(total_esg - y_proxy)), 6) AS baseline_mae, round(sqrt(avg((total_esg - y_proxy) * (total_esg - y_proxy))), 6) AS baseline_rmse, true AS better
+  FROM sql_proxy GROUP BY 1""")
+def _(spark, d):
+    return judged(spark, d).select("split", "baseline_mae", "baseline_rmse", ((F.col("mae_gain") > 0) & (F.col("rmse_gain") > 0)).alias("better"))
 
 
 @query("j9_predict_esg")
 def _(spark, d):
     x, model = fitted(spark, d)
-    return M.predict_esg(x, model, MODEL_COLS).select("symbol", "split", F.round("prediction", 6).alias("prediction"))
+    return M.predict_esg(x, model.trees, model.cols).select("symbol", "split", F.round("prediction", 6).alias("prediction"))
+
+
+@query("j9_predict_facts", "SELECT symbol, split, true AS within, true AS near FROM sql_labelled")
+def _(spark, d):
+    # every score lies within 0..100, and within 30 points of its label (labels span over 50)
+    x, model = fitted(spark, d)
+    p = F.col("prediction")
+    return M.predict_esg(x, model.trees, model.cols).select("symbol", "split", p.between(0, 100).alias("within"), (F.abs(p - F.col("total_esg")) < 30).alias("near"))
 
 
 @query("j12_feature_importance")
 def _(spark, d):
-    _, model = fitted(spark, d)
-    return M.feature_importance(spark, model, MODEL_COLS)
+    return M.feature_importance(spark, fitted(spark, d)[1].trees)
 
 
-@query("j15_shapley_sampled")
+@query("j12_importance_facts", f"""
+  SELECT CAST({len(MODEL_COLS)} + count(DISTINCT coalesce(sector, '{X.UNKNOWN}')) AS BIGINT) AS features, 1.0::DOUBLE AS total, true AS pillar_first FROM sql_labelled WHERE split = 'train'""")
 def _(spark, d):
+    found = M.feature_importance(spark, fitted(spark, d)[1].trees)
+    return found.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                     F.min_by(F.col("feature").isin(*X.PILLARS), "rank").alias("pillar_first"))
+
+
+def explained(spark, d, split="val"):
     x, model = fitted(spark, d)
-    back = M.shap_sample(x.filter("split = 'train'"), "symbol", 50)
-    return M.shapley_sampled(x.filter("split = 'val'"), "symbol", model, MODEL_COLS, back, permutations=4)
+    rows = x.filter(F.col("split") == split) if split else x
+    return model, rows, model.trees.explain(rows, "symbol")
+
+
+@query("j15_shapley_sampled")
+def _(spark, d):
+    # the trees are at hand, so their attributions are exact instead of sampled
+    return explained(spark, d)[2].select("symbol", "feature", "attribution")
+
+
+@query("j15_attribution_facts", f"""
+  SELECT symbol, CAST({len(MODEL_COLS)} + (SELECT count(DISTINCT coalesce(sector, '{X.UNKNOWN}')) FROM sql_labelled WHERE split = 'train') AS BIGINT) AS features, true AS adds_up
+  FROM sql_labelled WHERE split = 'val'""")
+def _(spark, d):
+    model, rows, parts = explained(spark, d)
+    sums = parts.groupBy("symbol").agg(F.count(F.lit(1)).alias("features"), F.sum("attribution").alias("s"))
+    return model.trees.score(rows).join(sums, "symbol").select(
+        "symbol", "features", (F.abs(F.col("s") + F.lit(model.trees.expected()) - F.col("prediction")) < 1e-9).alias("adds_up"))
 
 
 @query("j16_local_surrogate")
 def _(spark, d):
     x, model = fitted(spark, d)
-    return M.local_surrogate(x.filter("split = 'val'"), "symbol", model, MODEL_COLS)
+    return M.local_surrogate(x.filter("split = 'val'"), "symbol", model.trees, model.cols)
 
 
 @query("j24_shap_sample", f"""
@@ -408,3 +454,55 @@ def _(spark, d):
     top = M.top_features(attributions(spark, d), "security_id", 3)
     rejected = V.features(spark, d).filter("total_esg < 55").select(F.col("symbol").alias("security_id"))
     return K.model_adverse_notice(rejected, top, "security_id")
+
+
+# attributions of the stored model, with its own base
+def model_attributions(spark, d):
+    model, _, parts = explained(spark, d, None)
+    return model, parts.withColumnRenamed("symbol", "security_id")
+
+
+VIEWS["sql_model_cover"] = """
+  SELECT portfolio_id, round(sum(CASE WHEN security_id IN (SELECT symbol FROM sql_labelled) THEN w ELSE 0 END), 6) AS coverage_weight
+  FROM (SELECT portfolio_id, security_id, value / sum(value) OVER (PARTITION BY portfolio_id) AS w FROM holdings) GROUP BY 1
+  HAVING bool_or(security_id IN (SELECT symbol FROM sql_labelled))"""
+
+
+@query("e42_model_attribution", "SELECT portfolio_id, coverage_weight, true AS adds_up FROM sql_model_cover")
+def _(spark, d):
+    """Base and contributions of every portfolio against the weighted scores of its securities."""
+    model, parts = model_attributions(spark, d)
+    w, base = P.weights(V.holdings(spark, d)), model.trees.expected()
+    whole = M.portfolio_attribution(w, parts, base).groupBy("portfolio_id").agg(
+        F.first("coverage_weight").alias("coverage_weight"), F.first("base").alias("base"), F.first("prediction").alias("prediction"), F.sum("contribution").alias("sum"))
+    scores = model.trees.score(model.prepare(training_rows(spark, d))).select(F.col("symbol").alias("security_id"), F.col("prediction").alias("score"))
+    scored = w.groupBy("portfolio_id", "security_id").agg(F.sum("weight").alias("w")).join(scores, "security_id").groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("score")).alias("weighted"))
+    near = lambda a, b: F.abs(F.col(a) - b) < 1e-4
+    return whole.join(scored, "portfolio_id").select("portfolio_id", "coverage_weight", (near("prediction", F.col("weighted")) & near("prediction", F.col("base") + F.col("sum"))).alias("adds_up"))
+
+
+@query("e43_model_groups", """
+  SELECT portfolio_id, g AS feature_group, g IN ('Other') AS empty FROM sql_model_cover
+  JOIN (VALUES ('ESG Components'), ('Sector'), ('Market Cap'), ('Financial Metrics'), ('Market Behavior'), ('Other')) n(g) ON true""")
+def _(spark, d):
+    model, parts = model_attributions(spark, d)
+    found = M.attribution_groups(M.portfolio_attribution(P.weights(V.holdings(spark, d)), parts, model.trees.expected()))
+    return found.select("portfolio_id", "feature_group", ((F.col("feature_group") == "Other") & (F.col("contribution") == 0)).alias("empty"))
+
+
+@query("g5_model_features", "SELECT symbol AS security_id, 3::BIGINT AS features, true AS falling FROM sql_labelled")
+def _(spark, d):
+    top = M.top_features(model_attributions(spark, d)[1], "security_id", 3)
+    size = F.round(F.abs("attribution"), 9)
+    at = lambda k: F.max(F.when(F.col("rank") == k, size))
+    return top.groupBy("security_id").agg(F.count(F.lit(1)).alias("features"), ((at(1) >= at(2)) & (at(2) >= at(3))).alias("falling"))
+
+
+@query("j23_model_record", "SELECT symbol AS security_id, true AS adds_up FROM sql_labelled")
+def _(spark, d):
+    model, parts = model_attributions(spark, d)
+    kind = "base double, features array<struct<feature: string, value: double, shap: double, abs_shap: double>>"
+    r = M.attribution_record(parts, "security_id", model.trees.expected()).select("security_id", F.from_json("record", kind).alias("r"))
+    scores = model.trees.score(model.prepare(training_rows(spark, d))).select(F.col("symbol").alias("security_id"), "prediction")
+    total = F.aggregate("r.features", F.col("r.base"), lambda s, f: s + f["shap"])
+    return r.join(scores, "security_id").select("security_id", (F.abs(total - F.col("prediction")) < 1e-6).alias("adds_up"))

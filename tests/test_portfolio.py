@@ -1,3 +1,8 @@
+import math
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,7 +141,7 @@ def trained(spark):
     df = spark.range(600).selectExpr("id AS symbol", "(id * 37 % 101) / 10.0D AS a", "(id * 53 % 97) / 10.0D AS b", "1.0D AS weight",
                                      "if(id % 10 < 3, 'A', 'B') AS sector", "false AS imputed")
     df = X.split_rows(df.withColumn("total_esg", F.expr("20 + 3 * a + 2 * b")), "symbol")
-    return df, ML.train_esg(df, ["a", "b"], rounds=20, max_depth=4, step=0.3)
+    return df, ML.train_esg(df, ["a", "b"], rounds=20, leaves=16, step=0.3)
 
 
 def test_model_beats_sector_baseline(spark, trained):
@@ -146,18 +151,73 @@ def test_model_beats_sector_baseline(spark, trained):
     assert r["test"]["mae_gain"] > 0 and r["test"]["rmse_gain"] > 0
 
 
-def test_training_stops_by_patience(spark, trained):
-    import inspect
-    from foliospark.plans import q_model
-    given = {k: p.default for k, p in inspect.signature(ML.train_esg).parameters.items()}
-    assert (given["rounds"], given["step"], given["patience"]) == (2000, 0.05, 50)
-    assert "rounds" not in inspect.signature(q_model.fitted).parameters
-    df = trained[0]
-    whole = ML.train_esg(df, ["a", "b"], rounds=24, max_depth=2, step=0.9, patience=24)
-    errors = whole.evaluateEachIteration(ML.assemble(df.filter("split = 'val'"), ["a", "b"]).withColumnRenamed("total_esg", "label"), "squared")
-    assert whole.getNumTrees == len(errors) and min(errors) == errors[-1]  # ends at its best round
-    noise = df.withColumn("total_esg", F.expr("(symbol * 7919 % 103) / 1.0D"))  # nothing to learn
-    assert ML.train_esg(noise, ["a", "b"], rounds=64, max_depth=3, step=0.9, patience=4).getNumTrees < 20
+def test_training_continues_and_stops_by_patience():
+    from foliospark.operators import boosting as B
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 50, (600, 3)).astype(float)
+    cuts, val, ones = [np.arange(49.0)] * 3, np.arange(600) % 5 == 0, np.ones(600)
+    grown, plain = [], B.grow
+    for y, patience in ((x @ [1.0, 2.0, 0.0], 200), (rng.normal(size=600), 4)):
+        grown.clear()
+        B.grow = lambda *a: grown.append(1) or plain(*a)
+        try:
+            base, trees = B.boost(x, y, ones, val, cuts, 120, 0.1, patience, 8, 20)
+        finally:
+            B.grow = plain
+        again = B.boost(x, y, ones, val, cuts, len(trees), 0.1, patience, 8, 20)
+        assert again == (base, trees)  # a shorter training is the beginning of a longer one
+        assert len(grown) == (120 if patience == 200 else len(trees) + patience)  # every round grows one tree, up to patience after the best
+    assert len(trees) < 40  # nothing to learn
+
+
+def boosted(leaves=8, rounds=6):
+    from foliospark.operators import boosting as B
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 40, (900, 4)).astype(float)
+    y = x[:, 0] + np.where(x[:, 1] > 20, x[:, 2], 0) + rng.normal(size=900)
+    cuts = [np.arange(39.0)] * 4
+    base, trees = B.boost(x, y, np.ones(900), np.zeros(900, bool), cuts, rounds, 0.3, 5, leaves, 20)
+    rows = [(t, i, n[0], float(cuts[n[0]][n[1]]) if n[0] >= 0 else 0.0, *n[2:]) for t, nodes in enumerate(trees) for i, n in enumerate(nodes)]
+    return B.from_nodes(pd.DataFrame(rows, columns=[c.split()[0] for c in B.NODE_SCHEMA.split(", ")]), list("abcd"), base), x, y
+
+
+def test_tree_attributions_equal_all_subsets():
+    model, x, y = boosted()
+    def known(t, i, row, s):
+        f = model.feature[t, i]
+        if f < 0:
+            return model.value[t, i]
+        low, high = model.lower[t, i], model.upper[t, i]
+        if f in s:
+            return known(t, low if row[f] <= model.threshold[t, i] else high, row, s)
+        return (model.cover[t, low] * known(t, low, row, s) + model.cover[t, high] * known(t, high, row, s)) / model.cover[t, i]
+    value = lambda row, s: model.base + sum(known(t, 0, row, s) for t in range(model.trees))
+    rows = np.concatenate([x[:4], [[np.nan, 3.0, 50.0, -1.0]]])
+    found = model.attributions(rows)
+    for row, parts in zip(rows, found, strict=True):
+        for j in range(4):
+            rest = [i for i in range(4) if i != j]
+            want = sum(math.factorial(n) * math.factorial(3 - n) / 24 * (value(row, {*s, j}) - value(row, set(s))) for n in range(4) for s in combinations(rest, n))
+            assert parts[j] == pytest.approx(want, abs=1e-9)
+    assert found.sum(axis=1) == pytest.approx(model.predict(rows) - model.expected(), abs=1e-9)
+    assert np.mean((model.predict(x) - y) ** 2) < 0.2 * np.var(y) and sum(model.importance().values()) == pytest.approx(1.0)
+
+
+def test_stored_model_is_trained_once(spark, monkeypatch):
+    from pyspark.sql import Row
+    rows = spark.createDataFrame([Row(symbol=i, a=float(i % 17), b=float(i % 23) if i % 9 else None, sector=[None, "x", "y & z"][i % 3], weight=1.0,
+                                      total_esg=40.0 + i % 17 + 5 * (i % 3), split=["train", "train", "val", "test"][i % 4]) for i in range(400)])
+    first = ML.stored_model(rows, ["a", "b"], "sector", rounds=30)
+    monkeypatch.setattr(ML, "train_model", None)  # training again would fail
+    again = ML.stored_model(rows.repartition(5), ["a", "b"], "sector", rounds=30)
+    assert again.cols == first.cols == ["a", "b", f"sector_{X.UNKNOWN}", "sector_x", "sector_y & z"]
+    score = lambda m: sorted(tuple(r) for r in m.predict(rows).select("symbol", "prediction").collect())
+    assert score(again) == score(first) and len(set(p for _, p in score(first))) > 20
+    with pytest.raises(TypeError):
+        ML.stored_model(rows.where("symbol <> 7"), ["a", "b"], "sector", rounds=30)  # other rows, another model
+    parts = again.trees.explain(again.prepare(rows), "symbol").groupBy("symbol").agg(F.sum("attribution").alias("s"), F.count("*").alias("n"))
+    for r in again.trees.score(again.prepare(rows)).join(parts, "symbol").collect():
+        assert r["n"] == 5 and r["s"] + again.trees.expected() == pytest.approx(r["prediction"], abs=1e-9)
 
 
 def test_sampled_attributions_add_up(spark, trained):
