@@ -7,8 +7,8 @@ for all points below it.  Pairs whose bound reaches the overlap that the thresho
 So that no task sees all points, a pair is only looked for where both documents share a key: a document's keys are its
 n - ceil(t n) + 1 shingles that come first in one order of all shingles, so linked documents share one.  The order puts
 shingles of crowded hash cells (passages that many documents share) last.  Documents with the same set are one class and
-are compared once.  In each key the classes are first compared with the smallest one alone, which joins groups of near copies
-without listing their pairs; then R-trees compare, in blocks, the classes of keys that still hold different components.
+are compared once.  In each key the classes are first compared with single ones (the smallest, then pivots), round by round, which joins
+groups of near copies without listing their pairs; then R-trees compare, in blocks, the classes of keys that still hold different components.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; fewer words than a
 shingle make one shingle; equal and repeated rows are one class; rows are compared by their texts whatever their keys, null and
@@ -38,6 +38,7 @@ FINE = 2048       # finer groups, one bit each, for the last bound before whole
 BITS = 1 << 22    # size of the filter that picks the documents whose sets are needed
 LEAF = 16
 BLOCK = 512
+PIVOTS = 2        # rounds of pivots before the trees
 PERCENT = 75
 
 
@@ -275,29 +276,76 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+class Links:
+    """Links verified so far and the labels (node, root) they give; pairs inside a label need no verification."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, points: DataFrame, text: str, size: int, percent: int):
+        self.docs, self.members, self.points, self.text, self.size, self.percent = docs, members, points, text, size, percent
+        self.found, self.roots = None, None
+
+    def label(self, classes: DataFrame, column: str = "class") -> DataFrame:
+        """Adds the label of a class."""
+        if self.roots is None:
+            return classes.withColumn("label", F.col(column))
+        joined = classes.join(self.roots, classes[column] == self.roots["node"], "left")
+        return joined.select(*classes.columns, F.coalesce("root", column).alias("label"))
+
+    def open(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) between different labels."""
+        other = self.label(self.label(pairs, "a").withColumnRenamed("label", "label_a"), "b")
+        return other.where("label <> label_a").select("a", "b")
+
+    def verify(self, pairs: DataFrame) -> bool:
+        """Compare the pairs' whole sets and join the labels of linked ones; whether there were any."""
+        links = linked(stash(possible(pairs.select("a", "b"), self.points, self.percent), "pairs"), self.docs, self.members, self.text, self.size, self.percent)
+        if links.isEmpty():
+            return False
+        self.found = links if self.found is None else self.found.union(links)
+        self.roots = components(self.found)
+        return True
+
+
 def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(node, root): classes that are linked, by whatever chain, with the smallest class of their component."""
+    """(node, root): classes that are linked, by whatever chain, with the smallest class of their component.
+
+    Near copies share many keys, so pairs are verified in rounds, and what a round links needs no further pair: first every class
+    with the smallest class of all its keys; then all stars that are left; then, in keys that still hold several labels, one class of
+    each label with a pivot that changes from round to round; at last the R-trees.
+    """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(cell_loads(loads))
     window = Window.partitionBy("key")
     shared = stash(class_keys(docs, text, size, percent, order).withColumn("first", F.min("class").over(window)).withColumn("last", F.max("class").over(window))
                    .where("first <> last").select("key", "class", "first").distinct(), "keys")
     points = stash(members.join(shared.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("point").alias("point")), "points")
-    stars = shared.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    found = linked(stash(possible(stars, points, percent), "pairs"), docs, members, text, size, percent)
-    roots = components(found)
-    labelled = shared.join(roots, shared["class"] == roots["node"], "left").select("key", "class", "first", F.coalesce("root", "class").alias("label"))
-    # keys that still hold several components; keys with the same classes need only be looked at once
-    mark = F.xxhash64("class")
-    open_keys = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
-                                             F.bit_xor(mark).alias("xor"), F.min("class").alias("least"), F.max("class").alias("most")).where("low <> high")
-                 .groupBy("n", "sum", "xor", "least", "most").agg(F.min("key").alias("key")).where("n > 2").select("key"))  # two classes were compared as a star
-    rows = labelled.join(open_keys, "key").join(points, "class")
-    more = stash(survivors(rows, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = linked(more, docs, members, text, size, percent)
-    if more.isEmpty():
-        return roots
-    return components(found.union(more))
+    links = Links(docs, members, points, text, size, percent)
+    stars = stash(shared.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "stars")
+    links.verify(stars.groupBy("b").agg(F.min("a").alias("a")))
+    links.verify(links.open(stars))
+
+    def open_rows() -> DataFrame:
+        """The classes of keys that hold several labels; keys with the same classes need only be looked at once."""
+        labelled = links.label(shared)
+        mark = F.xxhash64("class")
+        keys = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
+                                            F.bit_xor(mark).alias("xor"), F.min("class").alias("least"), F.max("class").alias("most")).where("low <> high")
+                .groupBy("n", "sum", "xor", "least", "most").agg(F.min("key").alias("key")).where("n > 2").select("key"))  # two classes were compared as a star
+        return stash(labelled.join(keys, "key").select("key", "class", "label"), "open")
+
+    rows = open_rows()
+    for i in range(PIVOTS):
+        mixed_class = F.struct(F.xxhash64("class", F.lit(i)).alias("mark"), "class", "label")
+        each = rows.groupBy("key", "label").agg(F.min(mixed_class).alias("one"))
+        pivot = rows.groupBy("key").agg(F.min(mixed_class).alias("pivot"))
+        pairs = each.join(pivot, "key").where("label <> pivot.label").select(
+            F.least("one.class", "pivot.class").alias("a"), F.greatest("one.class", "pivot.class").alias("b")).distinct()
+        if not links.verify(pairs.join(stars, ["a", "b"], "left_anti")):
+            break
+        rows = open_rows()
+    links.verify(survivors(rows.join(points, "class"), percent).join(stars, ["a", "b"], "left_anti"))
+    if links.roots is None:
+        return spark.createDataFrame([], "node bigint, root bigint")
+    return links.roots
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -312,9 +360,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of linked ones, that with the smallest key: its rows if the key repeats, and one row where all keys are null."""
-    rows = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__row", text).join(rows.select("__row", F.col(key).alias("key")), "__row")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__row")).alias("first"))
-    kept = found.join(first, "component_id").where((F.col("key") == F.col("first.key")) | (F.col("__row") == F.col("first.__row"))).select("__row")
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    """One row of each group of linked ones: that with the smallest key that is not null; of rows with equal keys any one."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, row, text).join(rows.select(row, F.col(key).alias("key")), row)
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", row)).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

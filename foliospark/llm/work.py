@@ -40,11 +40,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate folders made so far (results that were not written yet need them)."""
+def made() -> list[str]:
+    """The intermediate folders made so far."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, folders: list[str] | None = None) -> int:
+    """Delete intermediate folders, all that were made so far or those given (results that were not written yet need them)."""
     jvm, gone = spark.sparkContext._jvm, 0
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for name in made() if folders is None else folders:
+        if name in _MADE:
+            _MADE.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return gone
 

@@ -223,7 +223,9 @@ def test_jaccard(spark, docs, none):
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id for r in kept.collect() if r.doc_id is not None))
     _, roots = plain_components(TEXTS)
-    assert ids == sorted([i for i, r in enumerate(roots) if r == i] + [3]) and kept.where("doc_id is null").count() == 1
+    assert ids == sorted([i for i, r in enumerate(roots) if r == i]) and kept.where("doc_id is null").count() == 1
+    clash = jaccard.keep_one(docs.withColumn("__row", F.lit(7)))
+    assert clash.columns == [*docs.columns, "__row"] and clash.select("__row").distinct().collect()[0][0] == 7 and clash.count() == kept.count()
     assert jaccard.near_duplicates(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
@@ -452,9 +454,28 @@ def test_pipeline(spark):
             own = pieces[pieces.doc_id == key].sort_values("start")
             assert lengths[key] == len(ids) // 4
             assert all(zlib.crc32(ids[4 * p.start:4 * (p.start + p.length)]) == p.ids_crc32 for p in own.itertuples())
+        assert b"".join(p.ids for p in own.itertuples()) == ids or plain_secrets(text)
     assert work.release(spark) > 0
 
 
+def test_pipeline_on_odd_tables(spark, docs, none, tmp_path):
+    """Null keys and texts, empty and long texts, repeated rows, extra columns; then no documents at all."""
+    import corpus_pipeline
+    clash = docs.withColumn("__row", F.lit("x")).withColumn("score", F.lit(1.0))
+    for name, table in (("some", clash), ("none", none)):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        for other in ("labels", "benchmark"):
+            work.table(spark, SF, other).write.parquet(str(folder / f"{other}.parquet"))
+        pieces = corpus_pipeline.run(spark, str(folder)).toPandas()
+        assert name == "some" or not len(pieces)
+        if name == "some":
+            kept = set(pieces.doc_id.dropna().astype(int))
+            _, roots = plain_components(TEXTS)
+            assert kept == {i for i, r in enumerate(roots) if r == i} and pieces.doc_id.isna().any()
+            assert (pieces.groupby(pieces.doc_id.fillna(-1)).length.sum() == pieces.groupby(pieces.doc_id.fillna(-1)).doc_tokens.first()).all()
+
+
 def test_digests(spark):
     """Digest columns of the queries, on the smallest tables."""
     from foliospark.llm import queries
