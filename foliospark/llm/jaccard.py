@@ -38,7 +38,6 @@ FINE = 2048       # finer groups, one bit each, for the last bound before whole
 BITS = 1 << 22    # size of the filter that picks the documents whose sets are needed
 LEAF = 16
 BLOCK = 512
-PIVOTS = 2        # rounds of pivots before the trees
 PERCENT = 75
 
 
@@ -290,14 +289,10 @@ class Links:
         joined = classes.join(self.roots, classes[column] == self.roots["node"], "left")
         return joined.select(*classes.columns, F.coalesce("root", column).alias("label"))
 
-    def open(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) between different labels."""
-        other = self.label(self.label(pairs, "a").withColumnRenamed("label", "label_a"), "b")
-        return other.where("label <> label_a").select("a", "b")
-
     def verify(self, pairs: DataFrame) -> bool:
         """Compare the pairs' whole sets and join the labels of linked ones; whether there were any."""
-        links = linked(stash(possible(pairs.select("a", "b"), self.points, self.percent), "pairs"), self.docs, self.members, self.text, self.size, self.percent)
+        pairs = stash(pairs, "pairs")  # its size is known then, and small ones are not joined by shuffling points
+        links = linked(stash(possible(pairs, self.points, self.percent), "pairs"), self.docs, self.members, self.text, self.size, self.percent)
         if links.isEmpty():
             return False
         self.found = links if self.found is None else self.found.union(links)
@@ -309,45 +304,41 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, text: st
     """(node, root): classes that are linked, by whatever chain, with the smallest class of their component.
 
     Near copies share many keys, so pairs are verified in rounds, and what a round links needs no further pair: first every class
-    with the smallest class of all its keys; then all stars that are left; then, in keys that still hold several labels, one class of
-    each label with a pivot that changes from round to round; at last the R-trees.
+    with the smallest and the largest class of each of its keys (class numbers are hashes, so both are random); then the same with
+    two other pivots in the keys that still hold several labels; at last the R-trees.
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(cell_loads(loads))
     window = Window.partitionBy("key")
     shared = stash(class_keys(docs, text, size, percent, order).withColumn("first", F.min("class").over(window)).withColumn("last", F.max("class").over(window))
-                   .where("first <> last").select("key", "class", "first").distinct(), "keys")
+                   .where("first <> last").distinct(), "keys")
     points = stash(members.join(shared.select("class").distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("point").alias("point")), "points")
     links = Links(docs, members, points, text, size, percent)
-    stars = stash(shared.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "stars")
-    links.verify(stars.groupBy("b").agg(F.min("a").alias("a")))
-    links.verify(links.open(stars))
-
-    def open_rows() -> DataFrame:
-        """The classes of keys that hold several labels; keys with the same classes need only be looked at once."""
-        labelled = links.label(shared)
-        mark = F.xxhash64("class")
-        keys = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
-                                            F.bit_xor(mark).alias("xor"), F.min("class").alias("least"), F.max("class").alias("most")).where("low <> high")
-                .groupBy("n", "sum", "xor", "least", "most").agg(F.min("key").alias("key")).where("n > 2").select("key"))  # two classes were compared as a star
-        return stash(labelled.join(keys, "key").select("key", "class", "label"), "open")
-
-    rows = open_rows()
-    for i in range(PIVOTS):
-        mixed_class = F.struct(F.xxhash64("class", F.lit(i)).alias("mark"), "class", "label")
-        each = rows.groupBy("key", "label").agg(F.min(mixed_class).alias("one"))
-        pivot = rows.groupBy("key").agg(F.min(mixed_class).alias("pivot"))
-        pairs = each.join(pivot, "key").where("label <> pivot.label").select(
-            F.least("one.class", "pivot.class").alias("a"), F.greatest("one.class", "pivot.class").alias("b")).distinct()
-        if not links.verify(pairs.join(stars, ["a", "b"], "left_anti")):
-            break
-        rows = open_rows()
+    ends = F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("class").alias("b")), F.struct(F.col("class").alias("a"), F.col("last").alias("b"))))
+    stars = stash(shared.select("first", "class", "last").distinct().select(ends.alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "stars")
+    links.verify(stars)
+    rows = open_rows(links.label(shared.select("key", "class")))
+    pivot = F.struct(F.xxhash64("class").alias("mark"), "class", "label")
+    pivots = rows.groupBy("key").agg(F.array(F.min(pivot), F.max(pivot)).alias("pivots"))
+    pairs = rows.join(pivots, "key").select("class", "label", F.explode("pivots").alias("p")).where("label <> p.label")
+    links.verify(pairs.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    rows = open_rows(links.label(rows.select("key", "class")))
     links.verify(survivors(rows.join(points, "class"), percent).join(stars, ["a", "b"], "left_anti"))
     if links.roots is None:
         return spark.createDataFrame([], "node bigint, root bigint")
     return links.roots
 
 
+def open_rows(labelled: DataFrame) -> DataFrame:
+    """The rows (key, class, label), stored, of keys of more than two classes with several labels; keys with the same classes count once."""
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    rows = stash(labelled.join(several, "key").select("key", "class", "label"), "open")
+    mark = F.xxhash64("class")
+    once = (rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.min("class").alias("least"), F.max("class").alias("most"))
+            .groupBy("n", "sum", "xor", "least", "most").agg(F.min("key").alias("key")).select("key"))
+    return stash(rows.join(once, "key").select("key", "class", "label"), "open")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links)."""
     members, loads = classes(docs, key, text, size)
