@@ -38,7 +38,7 @@ class FirstTokens:
     """Ids and bytes of tokens by a byte-level file of the tokenizers library, read as plain text."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path)
+        self.encoder = Encoder(path, 50_000)
         self.encoder.tokenizer.encode_special_tokens = True
         self.encoder.special = []
         byte = {letter: b for b, letter in enumerate(byte_letters())}
@@ -48,7 +48,10 @@ class FirstTokens:
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [array("I", self.encoder.ids(" " + t)[:-4]).tolist() for t in texts]
+        pattern, words = self.encoder.pattern, self.encoder.words.__getitem__
+        if pattern is None or any(map(self.encoder.odd.search, texts)):
+            return [array("I", self.encoder.ids(" " + t)[:-4]).tolist() for t in texts]
+        return [array("I", b"".join(map(words, pattern.findall(" " + t)))).tolist() for t in texts]
 
 
 class SecondTokens:
@@ -74,7 +77,7 @@ class Aligner:
 
     UNCUT = re.compile("^\\s|\\s$| \\s|[\x1c-\x1f\u2581]")  # also what is white space to one library only, and the mark of a space
 
-    def __init__(self, first: str, second: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, first: str, second: str, most: int = 300_000, longest: int = 64):
         self.sides = FirstTokens(first), SecondTokens(second)
         if max(len(side.bytes) for side in self.sides) > SHIFT:
             raise ValueError(f"vocabularies of at most {SHIFT} ids")
@@ -114,15 +117,32 @@ class Aligner:
 
     def whole(self, texts: list[str]) -> list[Aligned]:
         """The same for texts that are not cut."""
-        given = list(zip(range(len(texts)), *[side.ids(texts) for side in self.sides], strict=True))
-        a_bytes, b_bytes = (side.bytes for side in self.sides)
-        given = [(i, a, b) for i, a, b in given if b"".join([a_bytes[x] for x in a]) == b" " + texts[i].encode() == b"".join([b_bytes[y] for y in b])]
+        if not texts:
+            return []
+        spelt = [b" " + t.encode() for t in texts]
+        ids = [side.ids(texts) for side in self.sides]
+        kept = range(len(texts))
+        if not self._same(spelt, ids):  # some tokens do not give their text back: look at each text
+            kept = [i for i in kept if self._same([spelt[i]], [[side[i]] for side in ids])]
+            ids = [[side[i] for i in kept] for side in ids]
         out = [NOTHING] * len(texts)
-        if given:
-            for (i, a, b), (groups, written, pairs) in zip(given, self._groups([a for _, a, _ in given], [b for _, _, b in given]), strict=True):
+        if len(kept):
+            for i, a, b, (groups, written, pairs) in zip(kept, *ids, self._groups(*ids), strict=True):
                 out[i] = (len(a), len(b), groups, written, pairs)
         return out
 
+    def _same(self, spelt: list[bytes], ids: list[list[list[int]]]) -> bool:
+        """Whether the tokens of both sides give back each of the texts."""
+        whole, ends = b"".join(spelt), np.cumsum([len(s) for s in spelt])
+        for side, size, given in zip(self.sides, self.sizes, ids, strict=True):
+            flat = list(chain.from_iterable(given))
+            if b"".join(map(side.bytes.__getitem__, flat)) != whole:
+                return False
+            lasts = np.cumsum([len(i) for i in given]) - 1
+            if not flat or (lasts < 0).any() or not np.array_equal(size[flat].cumsum()[lasts], ends):
+                return False
+        return True
+
     def _groups(self, left: list[list[int]], right: list[list[int]]) -> Iterator[tuple[int, str, bytes]]:
         a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (left, right))
         a_ends, b_ends = (size[ids].cumsum() for size, ids in zip(self.sizes, (a, b), strict=True))
