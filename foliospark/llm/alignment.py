@@ -37,7 +37,8 @@ NOTHING = (0, 0, 0, "", b"")
 class FirstTokens:
     """Ids and bytes of tokens by a byte-level file of the tokenizers library, read as plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, longest: int = 64):
+        self.longest = longest
         self.encoder = Encoder(path, 50_000)
         self.encoder.tokenizer.encode_special_tokens = True
         self.encoder.special = []
@@ -51,7 +52,13 @@ class FirstTokens:
         pattern, words = self.encoder.pattern, self.encoder.words.__getitem__
         if pattern is None or any(map(self.encoder.odd.search, texts)):
             return [array("I", self.encoder.ids(" " + t)[:-4]).tolist() for t in texts]
-        return [array("I", b"".join(map(words, pattern.findall(" " + t)))).tolist() for t in texts]
+        return [array("I", b"".join(map(words, pattern.findall(" " + t)))).tolist() if len(t) > self.longest else self._new(pattern.findall(" " + t)) for t in texts]
+
+    def _new(self, words: list[str]) -> list[int]:
+        """Ids of words that hardly come again, so that no table keeps them."""
+        table = self.encoder.words
+        spelt = [w.translate(table.ascii) if w.isascii() else "".join([table.letters[b] for b in w.encode()]) for w in words]
+        return [token.id for w in spelt for token in table.model.tokenize(w)]
 
 
 class SecondTokens:
@@ -78,7 +85,7 @@ class Aligner:
     UNCUT = re.compile("^\\s|\\s$| \\s|[\x1c-\x1f\u2581]")  # also what is white space to one library only, and the mark of a space
 
     def __init__(self, first: str, second: str, most: int = 300_000, longest: int = 64):
-        self.sides = FirstTokens(first), SecondTokens(second)
+        self.sides = FirstTokens(first, longest), SecondTokens(second)
         if max(len(side.bytes) for side in self.sides) > SHIFT:
             raise ValueError(f"vocabularies of at most {SHIFT} ids")
         self.most, self.longest, self.held, self.old = most, longest, {}, {}
@@ -164,10 +171,10 @@ class Aligner:
         text = np.searchsorted(a_ends[a_lasts - 1], ends)
         links = np.sort((text.astype(np.uint64) << np.uint64(32)) | pairs.astype(np.uint64)).astype(np.uint32)
         counts, groups = np.bincount(text, minlength=len(left)), np.diff(np.searchsorted(a_cuts, a_lasts, "right"), prepend=0)
-        begin, link = 0, 0
-        for end, n, g in zip((a_lasts + b_lasts).tolist(), counts.tolist(), groups.tolist(), strict=True):
-            yield g, "".join(signs[begin:end].tolist())[:-1], links[link:link + n].tobytes()
-            begin, link = end, link + n
+        begin, link, signs, links = 0, 0, signs.tolist(), links.tobytes()
+        for end, last, g in zip((a_lasts + b_lasts).tolist(), (4 * np.cumsum(counts)).tolist(), groups.tolist(), strict=True):
+            yield g, "".join(signs[begin:end])[:-1], links[link:last]
+            begin, link = end, last
 
 
 @lru_cache(maxsize=2)
