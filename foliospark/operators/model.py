@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
@@ -165,10 +164,36 @@ def shapley_sampled(df: DataFrame, key: str, model: Model, cols: Sequence[str],
     return g.select(key, F.get(F.array(*[F.lit(c) for c in cols]), F.col("f")).alias("feature"), "attribution")
 
 
+def solve(matrix: Column, d: int) -> Column:
+    """The solution of d equations, given as rows of d + 1 numbers with a positive definite left side, by elimination."""
+    def eliminate(m: Column, k: Column) -> Column:
+        scaled = F.transform(F.get(m, k), lambda v: v / F.get(F.get(m, k), k))
+        others = lambda p: F.transform(m, lambda r, i: F.when(i == k, p).otherwise(F.zip_with(r, p, lambda v, q: v - F.get(r, k) * q)))
+        return F.get(F.transform(F.array(scaled), others), 0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), matrix, eliminate, lambda m: F.transform(m, lambda r: F.get(r, d)))
+
+
+def weighted_ridge(rows: DataFrame, key: str, x: str, y: str, weight: str, d: int, ridge: float = 1.0) -> DataFrame:
+    """Per key ``beta``, the d weights of a ridge fit of ``y`` on the array ``x`` with an intercept.
+
+    The weighted sums of all products are combined in the tasks that make the rows, so one row per key and task is shuffled,
+    and a key may have any number of rows.  Rows without ``y`` do not count; a null key is a key; a key without any weight has nulls.
+    """
+    sums = {"sw": "w", "sy": "w * y"} | {f"x{i}": f"w * get(x, {i})" for i in range(d)} | {f"y{i}": f"w * get(x, {i}) * y" for i in range(d)}
+    sums |= {f"x{i}_{j}": f"w * get(x, {i}) * get(x, {j})" for i in range(d) for j in range(i, d)}
+    total = rows.where(F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(weight).alias("w"))
+    total = total.groupBy("key").agg(*[F.expr(f"sum({v}) AS {c}") for c, v in sums.items()])
+    centred = lambda both, one, other: f"{both} - try_divide({one} * {other}, sw)"
+    lines = [[centred(f"x{min(i, j)}_{max(i, j)}", f"x{i}", f"x{j}") + (f" + double({ridge})" if i == j else "") for j in range(d)] + [centred(f"y{i}", f"x{i}", "sy")]
+             for i in range(d)]
+    matrix = F.expr(f"array({', '.join(f'array({", ".join(line)})' for line in lines)})")  # as text: thousands of column calls take the driver seconds
+    return total.select(F.col("key").alias(key), F.when(F.col("sw") > 0, solve(matrix, d)).alias("beta"))
+
+
 def local_surrogate(df: DataFrame, key: str, model: Model, cols: Sequence[str], samples: int = 200, top: int = 3,
                     seed: int = 42) -> DataFrame:
-    """Weights of a linear model fitted around each row: noise on the inputs, one scoring pass, then a
-    weighted ridge fit per row over its ``samples`` perturbations (a fixed, small group)."""
+    """Weights of a linear model fitted around each row: noise on the inputs, one scoring pass, then a weighted ridge fit
+    over the ``samples`` perturbations of each key by column expressions.  Of equal weights the earlier column comes first."""
     d = len(cols)
     x = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     s = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
@@ -178,24 +203,14 @@ def local_surrogate(df: DataFrame, key: str, model: Model, cols: Sequence[str],
     s = s.withColumn("n", noise)
     scale = lambda v: F.when(v != 0, F.abs(v) * 0.5).otherwise(0.5)
     inputs = F.zip_with("x", "n", lambda v, n: v + n * scale(v))
-    scored = model.transform(s.withColumn("features", array_to_vector(inputs))).select(key, "n", "prediction")
     width = 0.75 * np.sqrt(d)
-    names = list(cols)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.stack(pdf["n"].to_numpy())
-        w = np.sqrt(np.exp(-(a ** 2).sum(axis=1) / width ** 2))
-        y = pdf["prediction"].to_numpy()
-        ym = (w @ y) / w.sum()
-        am = (w @ a) / w.sum()
-        aw = (a - am) * np.sqrt(w)[:, None]
-        b = np.linalg.solve(aw.T @ aw + np.eye(a.shape[1]), aw.T @ ((y - ym) * np.sqrt(w)))
-        best = np.argsort(-np.abs(b))[:top]
-        return pd.DataFrame({key: pdf[key].iloc[0], "feature": [names[i] for i in best], "weight": b[best],
-                             "rank": np.arange(1, len(best) + 1, dtype="int32")})
-
-    kind = dict(df.dtypes)[key]
-    return scored.groupBy(key).applyInPandas(fit, f"{key} {kind}, feature string, weight double, rank int")
+    near = F.exp(-F.aggregate("n", F.lit(0.0), lambda a, n: a + n * n) / (2 * width ** 2))
+    scored = model.transform(s.withColumn("features", array_to_vector(inputs))).select(key, "n", "prediction", near.alias("w"))
+    fitted = weighted_ridge(scored, key, "n", "prediction", "w", d)
+    names = F.array(*[F.lit(c) for c in cols])
+    ranked = F.slice(F.sort_array(F.transform("beta", lambda b, i: F.struct((-F.abs(b)).alias("a"), i.alias("i"), b.alias("b")))), 1, top)
+    return fitted.select(key, F.posexplode(ranked)).select(
+        key, F.get(names, F.col("col.i")).alias("feature"), F.col("col.b").alias("weight"), (F.col("pos") + 1).alias("rank"))
 
 
 def global_importance(attr: DataFrame) -> DataFrame:

@@ -249,6 +249,22 @@ def test_local_surrogate_signs(spark, trained):
     assert len(w) == 8 and all(r["weight"] > -0.5 for r in w) and sum(r["weight"] for r in w) > 0
 
 
+def test_weighted_ridge_equals_plain_fit(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=5).tolist(), float(rng.normal() * 10), float(rng.random())) for k in (1, 2, None) for _ in range(40)]
+    df = spark.createDataFrame([*rows, (1, [9.0] * 5, None, 1.0), (7, [1.0] * 5, 3.0, 0.0)], "k int, x array<double>, y double, w double").repartition(5)
+    fitted = ML.weighted_ridge(df, "k", "x", "y", "w", 5)
+    assert "Pandas" not in fitted._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["beta"] for r in fitted.collect()}
+    assert set(got) == {1, 2, None, 7} and got[7] is None
+    for k in (1, 2, None):
+        x, y, w = (np.array([r[i] for r in rows if r[0] == k]) for i in (1, 2, 3))
+        xc, yc = x - w @ x / w.sum(), y - w @ y / w.sum()
+        want = np.linalg.solve(xc.T @ (xc * w[:, None]) + np.eye(5), xc.T @ (yc * w))
+        assert got[k] == pytest.approx(want.tolist(), abs=1e-9)
+    assert ML.weighted_ridge(df.limit(0), "k", "x", "y", "w", 5).count() == 0
+
+
 def test_encoders_and_detection(spark):
     df = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", 3.0)], "sector string, x double")
     enc = X.EncodeCategories().fit(df, "sector")
