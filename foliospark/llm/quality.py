@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
 Base measurements come from whole texts by column expressions.  Beyond the fixed base rule, each rule compares one ratio with
-a cutoff.  Cutoffs are chosen on labelled documents: for every stratum (band of document length), rule and candidate, the good
-documents that the cutoff would reject are counted, and the exact binomial tail P(X <= rejected | n, limit) tests whether the
-true rate of false rejection exceeds the rule's share of the limit.  With Bonferroni's correction over all candidates, each
-chosen cutoff keeps that rate below its share, so all rules together keep it below `limit`, with probability 1 - `error`.  The
-lowest certified cutoff of each stratum and rule is taken; a rule without one stays off, however few labels there are.
+a cutoff.  Cutoffs are chosen on labelled documents, for every stratum (band of document length) by itself.  Step i of a fixed
+sequence takes every rule at its i-th loosest cutoff; the good documents that any of them would reject are counted, and the
+exact binomial tail P(X <= rejected | n, limit) tests whether the joint rate of false rejection exceeds `limit`.  Steps are
+tested from the loosest to the strictest until the first one fails, which needs no correction within a stratum; the strata share
+`error` equally.  So with probability 1 - `error` at least, no stratum loses more than `limit` of its good documents.  The last
+step before a failure is taken; a stratum without one stays off, however few labels there are.  `certify` is the stricter
+choice of each rule by itself, with Bonferroni's correction over all candidates (`joint=False`).
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows are measured row by row; documents
 without labels and labels without documents do not enter the choice; extra columns are not read; with no labels only the
-base rule rejects.
+base rule rejects; a ratio equal to its cutoff is kept, and documents of equal ratios are treated alike.
 """
 
 from __future__ import annotations
@@ -102,11 +104,47 @@ def certify(measured: DataFrame, labels: DataFrame, key: str = "doc_id", good: C
     return rows.withColumn("p", binomial_tail(F.col("rejected"), F.col("n"), limit / len(CUTOFFS))).where(F.col("p") <= error / tests)
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: float = 0.02, error: float = 0.05) -> DataFrame:
-    """Measurements of every document with base_failed and kept."""
-    measured = stash(measure(docs, key, text), "quality")
-    lowest = certify(measured, labels, key, limit=limit, error=error).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+def steps() -> list[dict[str, float]]:
+    """The cutoffs of each step: the i-th loosest of every rule, or its strictest where it has fewer."""
+    loosest = {r: sorted(cs, reverse=True) for r, cs in CUTOFFS.items()}
+    return [{r: cs[min(i, len(cs) - 1)] for r, cs in loosest.items()} for i in range(max(map(len, CUTOFFS.values())))]
+
+
+def rejected_by(step: dict[str, float]) -> Column:
+    """Any rule's ratio lies above its cutoff."""
     value, fires = ratios(), F.lit(False)
+    for r, cutoff in step.items():
+        fires = fires | F.coalesce(value[r] > cutoff, F.lit(False))
+    return fires
+
+
+def certify_steps(measured: DataFrame, labels: DataFrame, key: str = "doc_id", good: Column | None = None, limit: float = 0.02, error: float = 0.05) -> DataFrame:
+    """All certified steps: stratum, step (from 0), n (good labelled documents), rejected, p."""
+    good = F.col("quality") == 1 if good is None else good
+    chosen, sequence = labels.where(good).select(F.col(key)).distinct(), steps()
+    counts = [F.count_if(rejected_by(s)).alias(f"s{i}") for i, s in enumerate(sequence)]
+    per_stratum = measured.where(~base_failed()).join(chosen, key).groupBy(stratum().alias("stratum")).agg(F.count("*").alias("n"), *counts)
+    tested = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"s{i}").alias("rejected"), binomial_tail(F.col(f"s{i}"), F.col("n"), limit).alias("p")) for i in range(len(sequence))])
+    level = error / (len(BANDS) + 1)
+    passed = let(tested, lambda t: F.filter(t, lambda x, i: F.forall(F.slice(t, 1, i + 1), lambda y: y["p"] <= level)))
+    return per_stratum.select("stratum", "n", F.explode(passed).alias("c")).select("stratum", "c.step", "n", "c.rejected", "c.p")
+
+
+def fires(measured: DataFrame, labels: DataFrame, key: str, limit: float, error: float, joint: bool) -> Column:
+    """The certified cutoffs as one condition on the measurements."""
+    out = F.lit(False)
+    if joint:
+        last = certify_steps(measured, labels, key, limit=limit, error=error).groupBy("stratum").agg(F.max("step").alias("step"))
+        for row in last.collect():  # at most one row for each stratum
+            out = out | ((stratum() == row["stratum"]) & rejected_by(steps()[row["step"]]))
+        return out
+    lowest = certify(measured, labels, key, limit=limit, error=error).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
     for row in lowest.collect():  # at most one for each of the few strata and rules
-        fires = fires | ((stratum() == row["stratum"]) & F.coalesce(value[row["rule"]] > row["cutoff"], F.lit(False)))
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~fires)
+        out = out | ((stratum() == row["stratum"]) & rejected_by({row["rule"]: row["cutoff"]}))
+    return out
+
+
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: float = 0.02, error: float = 0.05, joint: bool = True) -> DataFrame:
+    """Measurements of every document with base_failed and kept."""
+    measured = stash(measure(docs, key, text), "quality")
+    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~fires(measured, labels, key, limit, error, joint))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -150,6 +151,44 @@ def test_binomial_tail_and_certified_rate(spark):
     assert not [r for r in found if r["rule"] == "symbol_ratio" and r["cutoff"] < 1 and r["stratum"] == 0 and r["rejected"] > 0]
 
 
+def test_steps_against_plain_sequence(spark):
+    rng = random.Random(3)
+    # good texts: a few with many symbols, so that strict steps fail; bad ones: half symbols; equal texts at a boundary
+    def text(i, bad):
+        n = rng.choice([40, 150, 400])
+        marked = n // 2 if bad else n // 4 if i % 40 == 0 else n // 10 if i % 7 == 0 else 0
+        return " ".join(("a#" if j < marked else "plain") + str(rng.randrange(10**6)) for j in range(n))
+    rows = [(i, text(i, i % 5 == 4), int(i % 5 != 4)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = docs.select("doc_id", "quality").union(docs.select("doc_id", "quality").limit(50))  # repeated labels count once
+    judged = {r.doc_id: r for r in quality.judge(docs.drop("quality"), labels).collect()}
+
+    def ratio(i):
+        words = rows[i][1].split()
+        chars, marks = sum(map(len, words)), sum(len(re.findall(r"[!-/:-@\[-`{-~]", w)) for w in words)
+        repeat, lines = plain_measures(rows[i][1])[4], 1
+        return {"symbol_ratio": sum(w.count("#") for w in words) / len(words), "duplicate_line_ratio": 0 / lines, "repeat_ratio": repeat / len(words),
+                "capital_ratio": 0.0, "mark_ratio": marks / chars, "mean_word": chars / len(words)}
+    band = lambda i: sum(len(rows[i][1].split()) >= b for b in quality.BANDS)
+    ratios = [ratio(i) for i in range(len(rows))]
+    out = lambda i, s: any(ratios[i][r] > c for r, c in s.items())
+    want, last = {}, {}
+    for b in range(4):
+        good = [i for i in range(len(rows)) if rows[i][2] and band(i) == b]
+        for k, s in enumerate(quality.steps()):
+            x, n = sum(out(i, s) for i in good), len(good)
+            p = sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(x + 1))
+            if not good or x > n * 0.02 or p > 0.05 / 4:
+                break
+            want[b, k], last[b] = (n, x), s
+    found = quality.certify_steps(quality.measure(docs), labels).collect()
+    assert {(r.stratum, r.step): (r.n, r.rejected) for r in found} == want and want
+    for i in range(len(rows)):
+        assert judged[i].kept == (not (band(i) in last and out(i, last[band(i)])))
+    assert sum(judged[i].kept for i in range(len(rows)) if rows[i][2]) >= 0.98 * 2400
+    assert all(r.kept == (not r.base_failed) for r in quality.judge(docs, labels.limit(0)).collect())
+
+
 def plain_secrets(text):
     patterns = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16))
     return sorted((m.start(), o, k, m.end()) for o, (k, p, g, least) in enumerate(patterns) for m in re.finditer(p, text or "") if len(m.group(g)) >= least)
