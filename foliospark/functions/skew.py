@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 SALTS = 4096
+BROADCAST_ROWS = 200_000  # of a table shown to be small
 
 
 def attach(fact: DataFrame, summary: DataFrame, keys: Sequence[str], spread: Sequence[str],
@@ -46,7 +47,7 @@ def attach(fact: DataFrame, summary: DataFrame, keys: Sequence[str], spread: Seq
                          *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is shown to be small, else as it is.
 
     For tables a caller supplies (benchmarks, custom scenarios): at most ``max_rows + 1`` rows are read to
@@ -55,7 +56,7 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, key: str, spread: Sequence[str], max_rows: int = 200_000,
+def join_dimension(fact: DataFrame, dim: DataFrame, key: str, spread: Sequence[str], max_rows: int = BROADCAST_ROWS,
                    hot_rows: int = HOT_ROWS, dim_rows: int | None = None) -> DataFrame:
     """Left join ``dim`` (one row per key) to ``fact``, whatever the size of dim and the skew of the key.
 

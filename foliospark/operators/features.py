@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
@@ -81,6 +81,51 @@ class EncodeCategories:
         return df.withColumns({n: F.when(v == x, 1).otherwise(0) for n, x in zip(self.names, self.values)})
 
 
+class CategoryIndex:
+    """One-hot encoding for any number of categories: an index table, joined, and a sparse vector per row.
+
+    ``table`` is (value, index) over the distinct training values in their order, blanks as a category of their own.  It is
+    sorted by ranges; a task numbers its own values, and only the number of values per task is summed over tasks.
+    """
+
+    def fit(self, train: DataFrame, column: str) -> CategoryIndex:
+        self.column = column
+        values = train.groupBy(F.coalesce(column, F.lit(UNKNOWN)).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+        part = (values.repartitionByRange("value").sortWithinPartitions("value")
+                .select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+        part = cut_lineage(part)
+        per_part = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per task
+        before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        start = per_part.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+        self.table = cut_lineage(part.join(F.broadcast(start), "part").select("value", (F.col("start") + F.col("place")).cast("int").alias("index")))
+        self.size = self.table.count()
+        return self
+
+    def transform(self, df: DataFrame, out: str, spread: Sequence[str], offset: int = 0, size: int | None = None) -> DataFrame:
+        """Add ``out``: struct(size, indices, values); unseen values have no index.  ``offset`` and ``size`` place it in a wider layout."""
+        x = df.withColumn("_value", F.coalesce(self.column, F.lit(UNKNOWN)))
+        index = self.table.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+        j = skew.join_dimension(x, index, "_value", spread, dim_rows=self.size)
+        indices = F.array_compact(F.array(F.col("_index") + offset))
+        vector = F.struct(F.lit(self.size if size is None else size).alias("size"), indices.alias("indices"),
+                          F.transform(indices, lambda _: F.lit(1.0)).alias("values"))
+        return j.select(*df.columns, vector.alias(out))
+
+
+def align_sparse(df: DataFrame, encoders: Sequence[CategoryIndex], numbers: Sequence[str], out: str, spread: Sequence[str]) -> DataFrame:
+    """One sparse vector in the training layout: the numbers first, then each encoder's categories; missing ones and zeros have no index."""
+    size = len(numbers) + sum(e.size for e in encoders)
+    offset, x = len(numbers), df
+    for i, e in enumerate(encoders):
+        x = e.transform(x, f"_part{i}", spread, offset, size)
+        offset += e.size
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    filled = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), number(c).alias("v")) for i, c in enumerate(numbers)]), lambda p: p["v"] != 0) if numbers else None
+    parts = [F.col(f"_part{i}") for i in range(len(encoders))]
+    joined = lambda field, own: F.concat(*([F.transform(filled, lambda p: p[own])] if numbers else []), *[p[field] for p in parts])
+    return x.select(*df.columns, F.struct(F.lit(size).alias("size"), joined("indices", "i").alias("indices"), joined("values", "v").alias("values")).alias(out))
+
+
 def target_column(columns: Sequence[str]) -> str:
     return next((c for c in ("Approval_Status", "target", "label", "class", "y") if c in columns), columns[-1])
 

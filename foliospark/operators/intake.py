@@ -216,9 +216,10 @@ class BrokerFiles:
 def upload_report(files: BrokerFiles) -> DataFrame:
     """Broker, mapped columns, row count and three sample names per file (or why it could not be read)."""
     w = Window.partitionBy("file_id").orderBy("pos", "stock_name")
-    sample = (files.rows.select("file_id", "pos", "stock_name", F.row_number().over(w).alias("rn")).filter("rn <= 3")
+    rows = cut_lineage(files.rows.select("file_id", "pos", "stock_name"))  # read for the sample and for the count
+    sample = (rows.select("file_id", "pos", "stock_name", F.row_number().over(w).alias("rn")).filter("rn <= 3")
               .groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rn", "stock_name"))).alias("s")))
-    n = files.rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows_parsed"))
+    n = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows_parsed"))
     mapped = F.concat_ws(", ", *[F.when(F.col("i_" + f).isNotNull(), F.concat(F.lit(f + "="), F.get("header", F.col("i_" + f))))
                                  for f in FIELDS])
     m = files.mapping.select("file_id", "broker", mapped.alias("columns_mapped"))

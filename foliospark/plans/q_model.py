@@ -104,6 +104,31 @@ def _(spark, d):
     return X.align_dummies(f, [enc], [f"sector_{c}" for c in _CATS[:4]] + ["beta", "sector_New", "symbol"])
 
 
+# categories numbered in their order: those of the training rows (all but Power), blanks as one of them
+_INDEX = f"""WITH c AS (SELECT symbol, beta, coalesce({_SECT}, '{X.UNKNOWN}') AS v FROM features),
+  i AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT v FROM c WHERE v <> 'Power'))"""
+
+
+@query("j5_sparse_categories", f"""{_INDEX}
+  SELECT symbol, CAST((SELECT max(n) FROM i) AS INT) AS size, CAST(coalesce(i, -1) AS INT) AS position FROM c LEFT JOIN i USING (v)""")
+def _(spark, d):
+    f = V.features(spark, d).select("symbol", F.expr(_SECT).alias("sector"))
+    enc = X.CategoryIndex().fit(f.filter("sector IS NULL OR sector <> 'Power'"), "sector")
+    return enc.transform(f, "x", ["symbol"]).select("symbol", "x.size", F.coalesce(F.get("x.indices", F.lit(0)), F.lit(-1)).alias("position"))
+
+
+@query("j17_sparse_align", f"""{_INDEX}
+  SELECT symbol, CAST((SELECT max(n) FROM i) + 2 AS INT) AS size, concat_ws(',', CASE WHEN coalesce(beta, 0) <> 0 THEN '0' END, CAST(i + 2 AS VARCHAR)) AS places,
+    CASE WHEN coalesce(beta, 0) <> 0 THEN beta ELSE 0 END + CASE WHEN i IS NULL THEN 0 ELSE 1 END AS total FROM c LEFT JOIN i USING (v)""")
+def _(spark, d):
+    # the training layout has a number that the new rows lack
+    f = V.features(spark, d).select("symbol", "beta", F.expr(_SECT).alias("sector"))
+    enc = X.CategoryIndex().fit(f.filter("sector IS NULL OR sector <> 'Power'"), "sector")
+    x = X.align_sparse(f, [enc], ["beta", "gone"], "x", ["symbol"])
+    return x.select("symbol", "x.size", F.array_join(F.col("x.indices").cast("array<string>"), ",").alias("places"),
+                    F.aggregate("x.values", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
 VIEWS["sql_split"] = """SELECT *, CASE WHEN b < 7000 THEN 'train' WHEN b < 8500 THEN 'val' ELSE 'test' END AS split, digest FROM (
   SELECT *, md5(CAST(symbol AS VARCHAR) || ':42') AS digest, CAST('0x' || substr(md5(CAST(symbol AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 10000 AS b FROM features)"""
 

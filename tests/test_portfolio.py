@@ -274,6 +274,36 @@ def test_encoders_and_detection(spark):
     assert X.target_column(["a", "label", "z"]) == "label" and X.target_column(["a", "z"]) == "z"
 
 
+def test_many_categories_are_joined(spark):
+    train = spark.range(300_000).select((F.col("id") % 250_000).cast("string").alias("c"), F.lit(1.0).alias("x"))
+    enc = X.CategoryIndex().fit(train.union(spark.createDataFrame([(None, 0.0)], "c string, x double")), "c")
+    order = sorted([str(i) for i in range(250_000)] + [X.UNKNOWN])
+    assert enc.size == len(order)
+    new = spark.createDataFrame([("7", 2.0), (None, 0.0), ("new", None), ("249999", 1.0), ("7", 3.0)], "c string, x double")
+    got = X.align_sparse(new, [enc], ["x", "gone"], "v", ["x"])
+    want = sorted((c, x, ([0] if x else []) + ([order.index(c or X.UNKNOWN) + 2] if c != "new" else [])) for c, x in [("7", 2.0), ("", 0.0), ("new", 0.0), ("249999", 1.0), ("7", 3.0)])
+    assert sorted((r.c or "", r.x or 0.0, r.v["indices"]) for r in got.collect()) == want
+    assert {r.v["size"] for r in got.collect()} == {250_003} and len(got.columns) == 3
+    assert X.CategoryIndex().fit(train.limit(0), "c").transform(new, "v", ["x"]).filter("size(v.indices) > 0").count() == 0
+
+
+def test_headers_of_many_files(spark, tmp_path):
+    from foliospark.sources import readers
+    for i in range(40):
+        (tmp_path / f"{i}.csv").write_text(f"qty,name\n{i},n{i}\n\n" if i % 2 else f'name,"unit, price", qty\r\n"n""{i}",1.5,{i}\r\nshort\r\n')
+    (tmp_path / "empty.csv").write_text("")
+    df = readers.read_holdings_csv(spark, str(tmp_path), "name string, qty int, `unit, price` double")
+    rows = df.collect()
+    assert sorted(r.qty for r in rows if r.qty is not None) == list(range(40)) and len(rows) == 60
+    assert {(r.name, r["unit, price"]) for r in rows if r.qty == 7} == {("n7", None)} and {r["unit, price"] for r in rows if r.qty == 8} == {1.5}
+    assert "Union" not in df._jdf.queryExecution().analyzed().toString()
+    (tmp_path / "twice.csv").write_text("qty,qty\n1,2\n")
+    with pytest.raises(ValueError, match="repeats"):
+        readers.read_holdings_csv(spark, str(tmp_path), "qty int")
+    with pytest.raises(ValueError, match="total_esg"):
+        readers.read_esg_training(spark, str(tmp_path / "1.csv"))
+
+
 def test_holdings_without_a_name_keep_their_weight(spark):
     from foliospark.functions import classify as C
     h = holdings(spark, [("Infosys", 1, 100.0, "IT Services"), (None, 3, 100.0, "Other")])
