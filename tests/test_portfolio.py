@@ -1,3 +1,4 @@
+import datetime
 import math
 from itertools import combinations
 
@@ -287,6 +288,42 @@ def test_many_categories_are_joined(spark):
     assert X.CategoryIndex().fit(train.limit(0), "c").transform(new, "v", ["x"]).filter("size(v.indices) > 0").count() == 0
 
 
+def test_compacted_snapshots(spark, tmp_path):
+    from foliospark.operators.market import latest_snapshot
+    from foliospark.sources.snapshots import SnapshotStore
+    store, history = SnapshotStore(spark, str(tmp_path / "store"), buckets=8), []
+    with pytest.raises(FileNotFoundError):
+        store.latest()
+
+    def land(rows):
+        history.extend(rows)
+        store.append(spark.createDataFrame(rows, "ticker string, provider string, fact_id long, fetch_ts timestamp_ntz, e double, s double, g double, overall double"))
+
+    def same():
+        want = latest_snapshot(spark.createDataFrame(history, "ticker string, provider string, fact_id long, fetch_ts timestamp_ntz, e double, s double, g double, overall double"))
+        got = store.latest()
+        assert sorted((str(r.ticker), r.provider, r.fact_id) for r in got.collect()) == sorted((str(r.ticker), r.provider, r.fact_id) for r in want.collect())
+        return got
+    day = lambda n: datetime.datetime(2024, 1, n)
+    land([(f"t{i % 30}", "p", i, day(1 + i % 5), 1.0, None, 2.0, 3.0) for i in range(200)])
+    land([(None, "p", 900, day(2), 1.0, 1.0, 1.0, 1.0), ("t1", "a", 901, day(5), 1.0, 1.0, 1.0, 1.0)])
+    same()
+    assert store.compact() == 2 and store.compact() == 0
+    assert all("/landed/" not in f for f in same().inputFiles())
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "current").glob("bucket=*/*.parquet")}
+    land([("t3", "p", 902, day(9), 1.0, 1.0, 1.0, 1.0), ("t4", "p", 903, day(1), 1.0, 1.0, 1.0, 1.0)])  # newer, and older than what is there
+    assert len({f.split("/landed/")[1].split("/")[0] for f in same().inputFiles() if "/landed/" in f}) == 1
+    # one that dies before its mark is repeated without harm; an append without its end does not count
+    (tmp_path / "store" / "landed" / "batch=0").mkdir()
+    assert store.compact() == 1
+    for mark in list((tmp_path / "store" / "folded").iterdir())[1:]:
+        mark.rename(tmp_path / mark.name)
+    assert store.compact() >= 1
+    assert all("/landed/" not in f for f in same().inputFiles())
+    kept = [f for f in before if f.exists()]
+    assert kept and len(kept) < len(before)  # buckets without a new row were not written again
+
+
 def test_headers_of_many_files(spark, tmp_path):
     from foliospark.sources import readers
     for i in range(40):
