@@ -1,4 +1,5 @@
 import datetime
+import json
 import math
 from itertools import combinations
 
@@ -288,6 +289,33 @@ def test_many_categories_are_joined(spark):
     assert X.CategoryIndex().fit(train.limit(0), "c").transform(new, "v", ["x"]).filter("size(v.indices) > 0").count() == 0
 
 
+def test_company_documents_are_cut_into_entries(spark, tmp_path):
+    from foliospark.sources import readers
+    docs = {
+        "plain": {f"t{i}": {"E": i, "S": i + 0.5, "tier": 'Go"od, [x]'} for i in range(50)} | {"_about": {"E": 1}},
+        "indented name": {"ab": {"E": 1.0, "G": None}, "quo\\te": {"total": 9}},
+        "inner": {"in1": {"E": 3, "more": {"S": 1}}, "in2": {"S": 4}},
+        "brace": {"br}1": {"E": 5, "tier": "a}, {b"}, "br2": {"E": 6}},
+        "empty": {}, "none": {"n1": {}},
+    }
+    for name, doc in docs.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=2 if " " in name else None) + "\n", encoding="utf-8")
+    want = sorted((k.upper(), v.get("E", 50.0), v.get("S", 50.0), v.get("tier", "Average")) for d in docs.values() for k, v in d.items() if not k.startswith("_"))
+    assert sorted((r.ticker, r.e, r.s, r.tier) for r in readers.read_company_esg(spark, str(tmp_path)).collect()) == want
+    # one document of many splits
+    big = tmp_path / "big"
+    big.mkdir()
+    (big / "one.json").write_text(json.dumps({f"k{i}": {"E": i % 100, "tier": "x" * 20} for i in range(60_000)}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        df = readers.read_company_esg(spark, str(big))
+        assert df.rdd.getNumPartitions() > 8
+        assert df.count() == 60_000 and df.select("ticker").distinct().count() == 60_000 and df.agg(F.sum("e")).first()[0] == 600 * 4950
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_compacted_snapshots(spark, tmp_path):
     from foliospark.operators.market import latest_snapshot
     from foliospark.sources.snapshots import SnapshotStore
