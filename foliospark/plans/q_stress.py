@@ -57,6 +57,15 @@ from .sql_views import VIEWS  # noqa: E402
 VIEWS.update(sql_comp=COMP, sql_contrib=CONTRIB, sql_impact=IMPACT, sql_explained=EXPLAINED)
 
 
+def stress_views(prefix: str, holdings: str) -> None:
+    """The same views over other holdings (portfolio_id, sector, value), named sql_<prefix>_..."""
+    for name, text in (("comp", COMP), ("contrib", CONTRIB), ("impact", IMPACT), ("explained", EXPLAINED)):
+        text = text.replace("FROM holdings", f"FROM {holdings}")
+        for other in ("comp", "contrib", "impact"):
+            text = text.replace(f"sql_{other}", f"sql_{prefix}_{other}")
+        VIEWS[f"sql_{prefix}_{name}"] = text
+
+
 def explained(spark, d):
     return S.stress(V.holdings(spark, d))
 
@@ -477,3 +486,18 @@ def _(spark, d):
     h = V.holdings(spark, d).withColumn("sector", F.when(F.col("security_id") % 3 != 0, F.col("sector")))
     comp = S.sector_composition(S.with_given_or_inferred_sector(h))
     return comp.select("portfolio_id", "sector", F.round("weight_pct", 6).alias("weight_pct"))
+
+
+VIEWS["sql_inferred_holdings"] = """
+  WITH n AS (SELECT DISTINCT stock_name FROM holdings),
+  k AS (SELECT stock_name, c.ord, c.sector, sum(c.weight) AS sc FROM n JOIN lk_sector_keyword c ON contains(upper(stock_name), c.keyword) GROUP BY ALL),
+  w AS (SELECT n.stock_name, coalesce((SELECT arg_min(o.sector, o.ord) FROM lk_company_sector o WHERE contains(upper(n.stock_name), o.keyword)),
+               (SELECT arg_max(k.sector, (k.sc, -k.ord)) FROM k WHERE k.stock_name = n.stock_name), 'Other') AS inferred FROM n)
+  SELECT portfolio_id, CASE WHEN security_id % 3 = 0 THEN inferred ELSE sector END AS sector, value FROM holdings JOIN w USING (stock_name)"""
+stress_views("inferred", "sql_inferred_holdings")
+
+
+@query("e6_stress_of_inferred", "SELECT * FROM sql_inferred_explained")
+def _(spark, d):
+    h = V.holdings(spark, d).withColumn("sector", F.when(F.col("security_id") % 3 != 0, F.col("sector")))
+    return S.stress(S.with_given_or_inferred_sector(h))
