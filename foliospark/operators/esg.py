@@ -266,14 +266,14 @@ def esg_recommendations(esg: DataFrame, coverage: DataFrame, breakdown: DataFram
     covt = R.amount(cov, 1)
     text = F.concat_ws(
         "\n",
-        F.when(cov < 50, F.concat(F.lit("ESG data coverage is only "), covt, F.lit("%. Consider focusing on larger, better-documented holdings.")))
-        .when(cov < 80, F.concat(F.lit("ESG data available for "), covt, F.lit("% of portfolio. Some scores are estimated using sector proxies."))),
-        F.when(o < 40, "Portfolio has LOW ESG rating. Major improvements needed:\n- Divest from bottom-rated ESG holdings\n- Increase allocation to 4 and 5 star ESG companies")
-        .when(o < 60, "Portfolio has AVERAGE ESG rating. Improvement opportunities:\n- Gradually shift allocation toward higher-rated ESG holdings\n- Engage with low-performers on ESG improvements")
-        .when(o < 80, "Portfolio has STRONG ESG rating. Maintain and enhance:\n- Monitor for any ESG deterioration in holdings\n- Consider upgrading remaining 3 star holdings to 4 stars or more")
-        .otherwise("Portfolio has LEADER ESG rating. Maintain excellence:\n- Continue ESG leadership and monitoring\n- Share ESG best practices with investees"),
-        F.when(F.col("low_sectors").isNotNull(), F.concat(F.lit("Low ESG performance in sectors: "), F.col("low_sectors"),
-                                                          F.lit("\n- Consider sector rotation toward ESG-friendly sectors"))))
+        F.when(cov < 50, F.concat(F.lit(L.ESG_ADVICE["coverage_low_start"]), covt, F.lit(L.ESG_ADVICE["coverage_low_end"])))
+        .when(cov < 80, F.concat(F.lit(L.ESG_ADVICE["coverage_some_start"]), covt, F.lit(L.ESG_ADVICE["coverage_some_end"]))),
+        F.when(o < 40, L.ESG_ADVICE["rating_low"])
+        .when(o < 60, L.ESG_ADVICE["rating_average"])
+        .when(o < 80, L.ESG_ADVICE["rating_strong"])
+        .otherwise(L.ESG_ADVICE["rating_leader"]),
+        F.when(F.col("low_sectors").isNotNull(), F.concat(F.lit(L.ESG_ADVICE["sectors_low_start"]), F.col("low_sectors"),
+                                                          F.lit(L.ESG_ADVICE["sectors_low_end"]))))
     return j.select("portfolio_id", text.alias("recommendations"))
 
 
