@@ -13,8 +13,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import product
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BINS = 255
+PART = 8192  # rows scored together
+TABLE = 10  # conditions of a leaf up to which all patterns are worked out
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, lower int, upper int, value double, cover double, gain double"
 
 
@@ -34,7 +36,9 @@ def cut_points(train: DataFrame, cols: Sequence[str], bins: int = BINS) -> list[
 
 
 def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1).astype(np.int32)
+    """(feature, row): the number of the feature's cut points below a value, NaN above all; one byte each for up to 255 cut points."""
+    kind = np.min_scalar_type(max((len(c) for c in cuts), default=0))
+    return np.stack([np.searchsorted(c, x[:, f], "left").astype(kind) for f, c in enumerate(cuts)])
 
 
 def best_split(sums: np.ndarray, owner: np.ndarray, least: int) -> tuple[float, int, int]:
@@ -52,22 +56,30 @@ def best_split(sums: np.ndarray, owner: np.ndarray, least: int) -> tuple[float,
     return float(gain[at] - all_g * all_g / all_w), int(owner[fits[at]]), int(fits[at])
 
 
-def grow(places: np.ndarray, owner: np.ndarray, gradient: np.ndarray, weight: np.ndarray, leaves: int, least: int, step: float) -> tuple[list[list], list[tuple[int, np.ndarray]]]:
+def grow(codes: np.ndarray, owner: np.ndarray, gradient: np.ndarray, weight: np.ndarray, leaves: int, least: int, step: float) -> tuple[list[list], list[tuple[int, np.ndarray]]]:
     """One tree: nodes [feature, place, lower, upper, value, cover, gain], and the rows of each leaf.
 
-    ``places`` holds, for each row and feature, the feature's start and the bin.
+    ``codes`` holds, for each feature and row, the bin within the feature; places count the bins of all features.
     """
-    d, bins = places.shape[1], len(owner)
+    bins = len(owner)
+    starts = np.searchsorted(owner, np.arange(len(codes) + 1))
 
     def sums(rows: np.ndarray) -> np.ndarray:
-        flat = places[rows].ravel()
-        return np.stack([np.bincount(flat, np.repeat(v, d), bins) for v in (gradient[rows], weight[rows])] + [np.bincount(flat, minlength=bins)])
+        g, w, out = gradient[rows], weight[rows], np.empty((3, bins))
+        if len(rows) < 1000:  # all features at once; more rows feature by feature, which stays in the processor's cache
+            flat = (codes[:, rows].astype(np.intp) + starts[:-1, None]).ravel()
+            return np.stack([np.bincount(flat, np.tile(v, len(codes)), bins) for v in (g, w)] + [np.bincount(flat, minlength=bins)])
+        for own, begin, end in zip(codes, starts, starts[1:]):
+            places = own[rows].astype(np.intp)
+            for line, of in enumerate((g, w, None)):
+                out[line, begin:end] = np.bincount(places, of, end - begin)
+        return out
 
     def leaf(rows: np.ndarray) -> list:
         w = float(weight[rows].sum())
         return [-1, 0, -1, -1, -step * float(gradient[rows].sum()) / w, w, 0.0]
 
-    rows = np.arange(len(places))
+    rows = np.arange(len(gradient))
     nodes, held, queue = [leaf(rows)], {0: (rows, sums(rows))}, []
 
     def offer(i: int) -> None:
@@ -79,7 +91,7 @@ def grow(places: np.ndarray, owner: np.ndarray, gradient: np.ndarray, weight: np
     while queue and len(held) < leaves:
         gain, i, feature, place = heapq.heappop(queue)
         rows, total = held.pop(i)
-        below = places[rows, feature] <= place
+        below = codes[feature][rows] <= place - starts[feature]
         parts = [rows[below], rows[~below]]
         small = int(len(parts[1]) < len(parts[0]))
         some = sums(parts[small])
@@ -97,19 +109,19 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, val: np.ndarray, cut
     """(base, trees up to the round with the least validation error); without validation rows all rounds.  A node's place is a bin."""
     sizes = np.array([len(c) + 1 for c in cuts])
     starts = np.cumsum(sizes) - sizes
-    places, owner = (binned(x, cuts) + starts).astype(np.intp), np.repeat(np.arange(len(cuts)), sizes)
+    codes, owner = binned(x, cuts), np.repeat(np.arange(len(cuts)), sizes)
     train, base = ~val, float(np.average(y[~val], weights=weight[~val]))
-    fit_places, val_places, fit_y, val_y, fit_weight, val_weight = places[train], places[val], y[train], y[val], weight[train], weight[val]
+    fit_codes, val_codes, fit_y, val_y, fit_weight, val_weight = codes[:, train], codes[:, val], y[train], y[val], weight[train], weight[val]
     now, later = np.full(len(fit_y), base), np.full(len(val_y), base)
     trees, best, lowest = [], 0, np.average((later - val_y) ** 2, weights=val_weight) if len(val_y) else np.inf
     for i in range(1, rounds + 1):
-        nodes, rows = grow(fit_places, owner, fit_weight * (now - fit_y), fit_weight, leaves, least, step)
+        nodes, rows = grow(fit_codes, owner, fit_weight * (now - fit_y), fit_weight, leaves, least, step)
         if len(nodes) == 1:
             break
         trees.append(nodes)
         for node, own in rows:
             now[own] += nodes[node][4]
-        for node, own in fallen(nodes, val_places):
+        for node, own in fallen(nodes, val_codes, starts):
             later[own] += nodes[node][4]
         error = np.average((later - val_y) ** 2, weights=val_weight) if len(val_y) else -i
         if error < lowest:
@@ -119,16 +131,16 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, val: np.ndarray, cut
     return base, [[[f, p - starts[f] if f >= 0 else 0, *rest] for f, p, *rest in nodes] for nodes in trees[:best]]
 
 
-def fallen(nodes: list[list], places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def fallen(nodes: list[list], codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The rows that reach each leaf."""
-    todo = [(0, np.arange(len(places)))]
+    todo = [(0, np.arange(codes.shape[1]))]
     while todo:
         i, rows = todo.pop()
         feature, place, lower, upper = nodes[i][:4]
         if feature < 0:
             yield i, rows
         else:
-            below = places[rows, feature] <= place
+            below = codes[feature][rows] <= place - starts[feature]
             todo += [(lower, rows[below]), (upper, rows[~below])]
 
 
@@ -149,21 +161,45 @@ class Boosted:
     def trees(self) -> int:
         return len(self.feature)
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out, tree = np.full(len(x), self.base), np.arange(self.trees)
-        for begin in range(0, len(x) if self.trees else 0, 512):
-            part = x[begin:begin + 512]
-            node = np.zeros((len(part), self.trees), np.int32)
-            while True:
-                feature = self.feature[tree, node]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                below = np.take_along_axis(part, np.maximum(feature, 0), axis=1) <= self.threshold[tree, node]
-                node = np.where(inner, np.where(below, self.lower[tree, node], self.upper[tree, node]), node)
-            out[begin:begin + 512] += self.value[tree, node].sum(axis=1)
+    @cached_property
+    def cuts(self) -> list[np.ndarray]:
+        """The thresholds of each feature, ascending."""
+        return [np.unique(self.threshold[self.feature == f]) for f in range(len(self.cols))]
+
+    @cached_property
+    def _splits(self) -> list[tuple[list[tuple[int, int, int, int, int]], list[int], np.ndarray]]:
+        """Each tree's inner nodes as (node, feature, place of the threshold, lower, upper), parents first, its leaves and their values."""
+        out = []
+        for t in range(self.trees):
+            inner, leaves, todo = [], [], [0]
+            while todo:
+                i = todo.pop()
+                f = int(self.feature[t, i])
+                if f < 0:
+                    leaves.append(i)
+                else:
+                    inner.append((i, f, int(np.searchsorted(self.cuts[f], self.threshold[t, i])), int(self.lower[t, i]), int(self.upper[t, i])))
+                    todo += inner[-1][3:]
+            out.append((inner, leaves, self.value[t, leaves]))
         return out
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Every node's rows are kept as one mask over all rows of a part, so a tree takes a few byte operations for each node."""
+        out = np.zeros(len(x))
+        for begin in range(0, len(x) if self.trees else 0, PART):
+            codes = binned(x[begin:begin + PART], self.cuts)
+            for inner, leaves, values in self._splits:
+                reach = {0: np.ones(codes.shape[1], bool)}
+                for i, f, place, lower, upper in inner:
+                    rows, below = reach.pop(i), codes[f] <= place
+                    reach[lower], reach[upper] = rows & below, rows > below
+                kind = np.min_scalar_type(len(leaves))
+                leaf = np.zeros(codes.shape[1], kind)
+                for k, i in enumerate(leaves):
+                    leaf += np.multiply(reach[i], kind.type(k), dtype=kind)
+                out[begin:begin + PART] += values[leaf]
+        return self.base + out
+
     def paths(self) -> Iterator[tuple[float, list[tuple[int, float, float, float]]]]:
         """Each leaf's value and its conditions, one for each feature: (feature, above, at most, share of the cover that passes)."""
         for t in range(self.trees):
@@ -183,22 +219,46 @@ class Boosted:
         """The prediction without any feature known: leaves weighted by their cover."""
         return self.base + sum(value * float(np.prod([c[3] for c in conditions])) for value, conditions in self.paths())
 
+    @cached_property
+    def _leaves(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]]:
+        """By number of conditions: the leaves' values, shares (leaf, condition) and conditions as (feature, least code, highest code)."""
+        groups: dict[int, tuple[list, list, list]] = {}
+        for value, conditions in self.paths():
+            values, shares, limits = groups.setdefault(len(conditions), ([], [], []))
+            values.append(value)
+            shares.append([c[3] for c in conditions])
+            limits.append([(f, 0 if low == -np.inf else int(np.searchsorted(self.cuts[f], low)) + 1, int(np.searchsorted(self.cuts[f], high))) for f, low, high, _ in conditions])
+        return {d: (np.array(v), np.array(s, float).reshape(len(v), d), limits) for d, (v, s, limits) in groups.items()}
+
     def attributions(self, x: np.ndarray) -> np.ndarray:
         """Exact Shapley values of the trees, features not known following the cover: rows add up to prediction - expected().
 
-        A leaf's share depends only on which of its conditions a row passes, so it is worked out once for each pattern.
+        A leaf's share depends only on which of its conditions a row passes: it is worked out for all patterns of many leaves at
+        once and looked up by row; with more than ``TABLE`` conditions only for the patterns that occur.
         """
-        out = np.zeros((len(x), len(self.cols)))
-        for value, conditions in self.paths():
-            pattern = np.zeros(len(x), np.int64)
-            for k, (f, low, high, _) in enumerate(conditions):
-                below = x[:, f] <= high if np.isfinite(high) else np.ones(len(x), bool)
-                pattern |= (below & ~(x[:, f] <= low)).astype(np.int64) << k
-            seen, where = np.unique(pattern, return_inverse=True)
-            part = leaf_shares(seen, np.array([c[3] for c in conditions])) * value
-            for k, (f, *_) in enumerate(conditions):
-                out[:, f] += part[where, k]
-        return out
+        out, codes = np.zeros((len(self.cols), len(x))), binned(x, self.cuts)
+        for d, (values, shares, limits) in self._leaves.items():
+            if d == 0:
+                continue
+            kind, at_once = np.min_scalar_type((1 << d) - 1), max(1, (1 << 20) // (d << min(d, TABLE)))
+            for begin in range(0, len(values), at_once):
+                part = slice(begin, begin + at_once)
+                tables = leaf_shares(np.arange(1 << d), shares[part], values[part]) if d <= TABLE else None
+                for n, conditions in enumerate(limits[part]):
+                    pattern = np.zeros(len(x), kind)
+                    for k, (f, least, most) in enumerate(conditions):
+                        passed = codes[f] <= most
+                        if least:
+                            passed &= codes[f] >= least
+                        pattern |= np.multiply(passed, kind.type(1 << k), dtype=kind)
+                    if tables is None:
+                        seen, where = np.unique(pattern, return_inverse=True)
+                        table = leaf_shares(seen.astype(np.int64), shares[begin + n:begin + n + 1], values[begin + n:begin + n + 1])[0]
+                    else:
+                        table, where = tables[n], pattern.astype(np.intp)
+                    for k, (f, *_) in enumerate(conditions):
+                        out[f] += table[k].take(where)
+        return out.T
 
     # Spark ------------------------------------------------------------------------------------------------
     def _sent(self, spark: SparkSession):
@@ -216,7 +276,7 @@ class Boosted:
         return df.withColumn("prediction", predict(vector_to_array("features") if kind == "vector" else F.col("features")))
 
     def score(self, df: DataFrame) -> DataFrame:
-        return self.transform(df.withColumn("features", F.array(*[F.col(c).cast("double") for c in self.cols]))).drop("features")
+        return self.transform(spread(df, 200_000).withColumn("features", F.array(*[F.col(c).cast("double") for c in self.cols]))).drop("features")
 
     def explain(self, df: DataFrame, key: str) -> DataFrame:
         """(key, feature, value, attribution), one row for each feature."""
@@ -226,7 +286,7 @@ class Boosted:
         def explained(x: pd.Series) -> pd.Series:
             return pd.Series(list(sent.value.attributions(np.stack(x.to_numpy()).astype(float))) if len(x) else [], dtype=object)
 
-        x = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).withColumn("a", explained("x"))
+        x = spread(df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), 20_000).withColumn("a", explained("x"))
         return x.select(key, F.posexplode("a").alias("at", "attribution"), "x").select(
             key, F.get(F.array(*[F.lit(c) for c in cols]), F.col("at")).alias("feature"), F.get("x", F.col("at")).alias("value"), "attribution")
 
@@ -242,24 +302,34 @@ class Boosted:
         return spark.createDataFrame(rows, NODE_SCHEMA)
 
 
-def leaf_shares(patterns: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """(patterns, conditions): what each condition adds to a leaf of value 1, for rows that pass the conditions of a pattern.
+def spread(df: DataFrame, most: int) -> DataFrame:
+    """The rows evenly over tasks of at most ``most`` rows, or of fewer to occupy the cores: a small file is read by one task, however
+    long its rows take.  The rows are counted first."""
+    n = df.count()
+    return df.repartition(max(1, -(-n // most), min(df.sparkSession.sparkContext.defaultParallelism, -(-20 * n // most))))
+
+
+def leaf_shares(patterns: np.ndarray, shares: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(leaf, condition, pattern): what each condition adds to a leaf, for rows that pass the conditions of a pattern.
 
-    With o = 1 where a row passes, a set S of known conditions gives the product of o inside S and of the shares outside; the
-    sums over all S of one size are the coefficients of a polynomial.
+    With o = 1 where a row passes, a set S of known conditions gives the product of o inside S and of the shares outside.  The
+    weight of a set of k among d conditions is the integral of t^k (1 - t)^(d - 1 - k) over 0..1, so the sum over all sets is that of
+    the product of t o + (1 - t) share over the other conditions: a polynomial of degree d - 1, which (d + 1) // 2 Gauss points give exactly.
     """
-    d = len(shares)
-    passed = (patterns[:, None] >> np.arange(d) & 1).astype(float)
-    weight = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
-    out = np.zeros(passed.shape)
-    for j in range(d):
-        poly = np.zeros((len(patterns), d))
-        poly[:, 0] = 1.0
-        for i in range(d):
-            if i != j:
-                poly[:, 1:], poly[:, 0] = poly[:, 1:] * shares[i] + poly[:, :-1] * passed[:, i:i + 1], poly[:, 0] * shares[i]
-        out[:, j] = poly @ np.array(weight) * (passed[:, j] - shares[j])
-    return out
+    n, d = shares.shape
+    passed, own = (patterns >> np.arange(d)[:, None] & 1).astype(float), shares[:, :, None]
+    total = np.zeros((n, d, len(patterns)))
+    for point, weight in zip(*np.polynomial.legendre.leggauss((d + 1) // 2), strict=True):
+        t = (point + 1) / 2
+        factor = t * passed + (1 - t) * own
+        others, after = np.ones_like(factor), np.full((n, len(patterns)), weight / 2)
+        for k in range(1, d):
+            np.multiply(others[:, k - 1], factor[:, k - 1], out=others[:, k])
+        for k in range(d - 1, -1, -1):
+            others[:, k] *= after
+            after *= factor[:, k]
+        total += others
+    return total * (passed - own) * values[:, None, None]
 
 
 def from_nodes(rows: pd.DataFrame, cols: Sequence[str], base: float) -> Boosted:

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import skew
-from ..functions.storage import shared_dir
-from .boosting import Boosted, fit, from_nodes
+from ..functions.storage import cut_lineage, shared_dir
+from .boosting import Boosted, fit, from_nodes, spread
 from .features import EncodeCategories, ImputeScale, key_digest
 
 
@@ -105,7 +105,7 @@ def stored_model(df: DataFrame, numbers: Sequence[str], category: str, label: st
 
 def predict_esg(df: DataFrame, model: Model | Boosted, cols: Sequence[str]) -> DataFrame:
     """Add ``prediction`` within 0..100."""
-    y = model.transform(assemble(df, cols)).drop("features")
+    y = model.transform(assemble(spread(df, 200_000), cols)).drop("features")
     return y.withColumn("prediction", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("prediction"))))
 
 
@@ -195,7 +195,7 @@ def local_surrogate(df: DataFrame, key: str, model: Model, cols: Sequence[str],
     """Weights of a linear model fitted around each row: noise on the inputs, one scoring pass, then a weighted ridge fit
     over the ``samples`` perturbations of each key by column expressions.  Of equal weights the earlier column comes first."""
     d = len(cols)
-    x = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    x = spread(df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), 1_000)
     s = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     u = lambda i, t: (F.pmod(F.xxhash64(F.col(key), F.col("j"), i, F.lit(seed), F.lit(t)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     noise = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.col("j") == 0, 0.0).otherwise(
@@ -236,13 +236,13 @@ def portfolio_attribution(h: DataFrame, attr: DataFrame, base: float) -> DataFra
     """Weighted sums of attributions per portfolio and feature, all features ranked by size.
 
     ``h``: portfolio_id, security_id, weight (fraction). Weights are summed to (portfolio, security) first.  A
-    security's attributions are one array (a fixed, small number of features), joined once whatever the skew; one
-    more entry without a feature carries the weight that has attributions.
+    security's attributions are one array (a fixed, small number of features), written once and joined whatever the skew;
+    only a few are broadcast, as an array takes kilobytes.  One more entry without a feature carries the weight that has attributions.
     """
     pos = h.groupBy("portfolio_id", "security_id").agg(F.sum("weight").alias("w"))
-    per = attr.groupBy("security_id").agg(F.collect_list(F.struct("feature", "attribution")).alias("entries"))
+    per = cut_lineage(attr.groupBy("security_id").agg(F.collect_list(F.struct("feature", "attribution")).alias("entries")))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(1.0).alias("attribution")))
-    x = skew.join_dimension(pos, per, "security_id", ["portfolio_id"]).filter("entries IS NOT NULL").select(
+    x = skew.join_dimension(pos, per, "security_id", ["portfolio_id"], max_rows=20_000).filter("entries IS NOT NULL").select(
         "portfolio_id", "w", F.explode(F.concat(whole, "entries")).alias("e"))
     g = x.groupBy("portfolio_id", F.col("e.feature").alias("feature")).agg(F.sum(F.col("w") * F.col("e.attribution")).alias("contribution"))
     w = Window.partitionBy("portfolio_id")  # one row per feature

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut_lineage
 from ..operators import credit as K
 from ..operators import features as X
 from ..operators import model as M
@@ -484,7 +485,7 @@ def _(spark, d):
 # attributions of the stored model, with its own base
 def model_attributions(spark, d):
     model, _, parts = explained(spark, d, None)
-    return model, parts.withColumnRenamed("symbol", "security_id")
+    return model, cut_lineage(parts.withColumnRenamed("symbol", "security_id"))
 
 
 VIEWS["sql_model_cover"] = """
