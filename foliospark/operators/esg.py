@@ -239,23 +239,30 @@ def high_risk_holdings(scored: DataFrame) -> DataFrame:
         F.round(F.col("weight") * 100, 4).alias("weight_pct"), F.round("value", 2).alias("value"))
 
 
-def improvement_candidates(scored: DataFrame) -> DataFrame:
-    """Holdings below the plain mean score of their portfolio, with the gap."""
-    mean = scored.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("overall"), 9).alias("avg_esg"))
-    x = skew.attach(_weighted(scored), mean, ["portfolio_id"], ["holding_id"])
+def improvement_candidates(scored: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Holdings below the plain mean score of their portfolio, with the gap; ``of``: see ``portfolio.weights``."""
+    mean = F.round(F.avg("overall"), 9)
+    if "weight" in scored.columns:
+        x = skew.attach(scored, scored.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_rows"), mean.alias("avg_esg")), ["portfolio_id"], ["holding_id"])
+    else:
+        x = weights(scored, {"avg_esg": mean}, of=of)  # both totals in one join
     return x.filter(F.col("overall") < F.col("avg_esg")).select(
         "portfolio_id", "holding_id", "stock_name", "sector", "overall", R.round_half_up(F.col("avg_esg"), 4).alias("avg_esg"),
         R.round_half_up(F.col("avg_esg") - F.col("overall"), 4).alias("gap"), F.round(F.col("weight") * 100, 4).alias("weight_pct"))
 
 
 def improvement_potential(scored: DataFrame, points: float = 5.0) -> DataFrame:
-    """Portfolio score now, and when every candidate were replaced by one ``points`` better."""
-    n = improvement_candidates(scored).groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("candidates"))
-    now = scored.groupBy("portfolio_id").agg((F.sum(F.col("overall") * F.col("value")) / F.sum("value")).alias("score"))
-    c = F.coalesce("candidates", F.lit(0))
-    return now.join(n, "portfolio_id", "left").select(
-        "portfolio_id", F.round("score", 4).alias("score"), c.cast("bigint").alias("candidates"),
-        F.round(F.col("score") + c * points, 4).alias("potential"))
+    """Portfolio score now, and when every candidate (below the plain mean score) were replaced by one ``points`` better.
+
+    Holdings are summed up by portfolio and score first: the scores have two digits, so a portfolio of any size has some
+    thousand rows, which are compared with their mean.
+    """
+    g = scored.groupBy("portfolio_id", "overall").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
+    own = _by_portfolio()
+    mean = F.sum(F.col("overall") * F.col("n")).over(own) / F.sum(F.when(F.col("overall").isNotNull(), F.col("n"))).over(own)
+    x = g.withColumn("below", F.when(F.col("portfolio_id").isNotNull() & (F.col("overall") < F.round(mean, 9)), F.col("n")).otherwise(0))
+    now = x.groupBy("portfolio_id").agg((F.sum(F.col("overall") * F.col("v")) / F.sum("v")).alias("score"), F.sum("below").alias("candidates"))
+    return now.select("portfolio_id", F.round("score", 4).alias("score"), "candidates", F.round(F.col("score") + F.col("candidates") * points, 4).alias("potential"))
 
 
 def esg_recommendations(esg: DataFrame, coverage: DataFrame, breakdown: DataFrame) -> DataFrame:

@@ -36,9 +36,16 @@ def totals(h: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
         *[c.alias(n) for n, c in (extra or {}).items()])
 
 
-def weights(h: DataFrame, extra: dict[str, Column] | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Add ``total_value`` and ``weight`` (fraction of the portfolio), and totals asked for in ``extra``."""
-    out = skew.attach(h, totals(h, extra), ["portfolio_id"], ["holding_id"], hot_rows=hot_rows)
+def weights(h: DataFrame, extra: dict[str, Column] | None = None, hot_rows: int = skew.HOT_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """Add ``total_value`` and ``weight`` (fraction of the portfolio), and totals asked for in ``extra``.
+
+    ``of``: the holdings whose values count, where ``h`` is drawn from them; ``extra`` is always summed up over ``h``.
+    """
+    t = totals(h, extra) if of is None else totals(of)
+    if of is not None and extra:
+        more = h.groupBy(F.col("portfolio_id").alias("_of")).agg(*[c.alias(n) for n, c in extra.items()])
+        t = t.join(more, F.col("portfolio_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    out = skew.attach(h, t, ["portfolio_id"], ["holding_id"], hot_rows=hot_rows)
     return out.withColumn("weight", F.when(F.col("total_value") > 0, F.col("value") / F.col("total_value")).otherwise(0.0))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ratings as R
+from ..functions.storage import cut_lineage
 from ..operators import esg as E
 from ..operators import market as M
 from ..operators import portfolio as P
@@ -34,13 +35,19 @@ def tiers(spark, d):
     return E.resolve_esg_tier(V.securities(spark, d), snap, V.company_esg(spark, d), V.predictions(spark, d))
 
 
-def scored(spark, d):
-    return E.score_holdings(V.holdings(spark, d), tiers(spark, d), security_rows=V.table(spark, d, "part").count())
+def scored(spark, d, h=None):
+    return E.score_holdings(V.holdings(spark, d) if h is None else h, tiers(spark, d), security_rows=V.table(spark, d, "part").count())
+
+
+def bare_holdings(spark, d):
+    """What scores and weights need of the holdings, joined and written once."""
+    return cut_lineage(V.holdings(spark, d).select("portfolio_id", "holding_id", "security_id", "stock_name", "sector", "value"))
 
 
 def scored_w(spark, d):
-    """Weights are attached to the bare holdings, so the scoring joins run once."""
-    return E.score_holdings(P.weights(V.holdings(spark, d)), tiers(spark, d), security_rows=V.table(spark, d, "part").count())
+    """Scores first, then weights: the rows of a portfolio are together at the end, so sums by portfolio shuffle little."""
+    h = bare_holdings(spark, d)
+    return P.weights(scored(spark, d, h), of=h)
 
 
 VIEWS["sql_tiers"] = f"""
@@ -225,6 +232,7 @@ def _(spark, d):
     return E.high_risk_holdings(scored_w(spark, d))
 
 
+_CANDIDATE = ["portfolio_id", "holding_id", "stock_name", "sector", "overall", "value"]
 VIEWS["sql_cand"] = """
   SELECT * FROM (SELECT *, round(avg(overall) OVER (PARTITION BY portfolio_id), 9) AS avg_esg FROM sql_scored) WHERE overall < avg_esg"""
 
@@ -232,7 +240,8 @@ VIEWS["sql_cand"] = """
 @query("e26_improvement_candidates", f"""
   SELECT portfolio_id, holding_id, stock_name, sector, overall, {half("avg_esg", 4)} AS avg_esg, {half("avg_esg - overall", 4)} AS gap, round(weight * 100, 4) AS weight_pct FROM sql_cand""")
 def _(spark, d):
-    return E.improvement_candidates(scored_w(spark, d))
+    h = bare_holdings(spark, d)
+    return E.improvement_candidates(cut_lineage(scored(spark, d, h).select(*_CANDIDATE)), of=h)
 
 
 @query("e26_improvement_potential", """
@@ -240,7 +249,7 @@ def _(spark, d):
   s AS (SELECT portfolio_id, sum(overall * value) / sum(value) AS score FROM sql_scored GROUP BY 1)
   SELECT portfolio_id, round(score, 4) AS score, coalesce(c, 0) AS candidates, round(score + coalesce(c, 0) * 5.0::DOUBLE, 4) AS potential FROM s LEFT JOIN n USING (portfolio_id)""")
 def _(spark, d):
-    return E.improvement_potential(scored_w(spark, d))
+    return E.improvement_potential(scored(spark, d))
 
 
 _RECO = r"""
@@ -256,14 +265,18 @@ _RECO = r"""
     CASE WHEN low IS NOT NULL THEN 'Low ESG performance in sectors: ' || low || chr(10) || '- Consider sector rotation toward ESG-friendly sectors' END) AS recommendations FROM j"""
 
 
-def _reco(spark, d):
-    s = scored(spark, d)
-    return E.esg_recommendations(E.portfolio_esg(s), E.esg_coverage(s), E.esg_sector_breakdown(scored_w(spark, d)))
+def _rated(spark, d):
+    """Scores and weights that several results are drawn from, written once."""
+    return cut_lineage(scored_w(spark, d).select("portfolio_id", "sector", "value", "tier", "is_proxy", "env", "social", "gov", "overall", "weight"))
+
+
+def _reco(s):
+    return E.esg_recommendations(E.portfolio_esg(s), E.esg_coverage(s), E.esg_sector_breakdown(s))
 
 
 @query("e27_esg_recommendations", _RECO)
 def _(spark, d):
-    return _reco(spark, d)
+    return _reco(_rated(spark, d))
 
 
 VIEWS["sql_reco"] = _RECO
@@ -280,8 +293,8 @@ def _d1(c):
      'Key Recommendations:', recommendations) AS report
   FROM sql_pesg JOIN sql_coverage USING (portfolio_id) JOIN sql_reco USING (portfolio_id)""")
 def _(spark, d):
-    s = scored(spark, d)
-    return E.esg_text_report(E.portfolio_esg(s), E.esg_coverage(s), _reco(spark, d))
+    s = _rated(spark, d)
+    return E.esg_text_report(E.portfolio_esg(s), E.esg_coverage(s), _reco(s))
 
 
 @query("e29_esg_adjusted_stress", """
