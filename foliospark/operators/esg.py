@@ -82,15 +82,15 @@ def resolve_esg_tier(securities: DataFrame, snapshot: DataFrame, company: DataFr
 
 
 def score_holdings(h: DataFrame, tiers: DataFrame, proxy_table: DataFrame | None = None,
-                   security_rows: int | None = None) -> DataFrame:
+                   security_rows: int | None = None, security_keys: DataFrame | None = None) -> DataFrame:
     """E, S, G, overall (2 digits), stars, label and source per holding.
 
-    ``security_rows``: the number of rows of ``tiers``, one per security, if known.
+    ``security_rows``: the number of rows of ``tiers``, one per security, if known.  ``security_keys``: see ``skew.join_dimension``.
 
     The overall score is weighted by sector; a model score without pillars stands by itself; the proxy
     uses the market cap, or the holding's value where the cap is unknown (``cap_known`` tells).
     """
-    j = skew.join_dimension(h, tiers, "security_id", ["holding_id"], dim_rows=security_rows)
+    j = skew.join_dimension(h, tiers, "security_id", ["holding_id"], dim_rows=security_rows, keys=security_keys)
     j = j.withColumn("tier", F.coalesce("tier", F.lit("proxy")))
     j = proxy_lookup(j, F.coalesce("market_cap", "value"), proxy_table)
     w = F.broadcast(L.lookup(h.sparkSession, "sector_esg_weight"))
@@ -314,20 +314,42 @@ def combined_risk(explained: DataFrame, esg: DataFrame) -> DataFrame:
                     F.when(c < 30, "LOW").when(c < 50, "MODERATE").when(c < 70, "HIGH").otherwise("SEVERE").alias("risk_level"))
 
 
-def top_bottom_performers(scored: DataFrame, top: int = 5, bottom: int = 3) -> DataFrame:
-    """Best and worst holdings by score (ties by holding id), k rows per portfolio and side from every map task.
+def top_bottom_performers(scored: DataFrame, top: int = 5, bottom: int = 3, portfolio_keys: DataFrame | None = None,
+                          hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """Best and worst holdings by score (ties by holding id); missing scores come last in top, first in bottom.
 
-    Each row stands for both sides, so the scores are computed once; missing scores come last in top, first in bottom.
+    Bottom is the order of top from its end, so one shuffle and one sort rank both sides.  Of portfolios with more than
+    ``hot_rows`` rows, every map task sends on k rows a side instead.  ``portfolio_keys``: a table with about as many rows per
+    portfolio_id as ``scored`` that is cheaper to count; it decides on that alone.
     """
     cols = ["portfolio_id", "holding_id", "stock_name", "overall"]
-    both = scored.select(*cols, F.explode(F.array(F.lit("top"), F.lit("bottom"))).alias("side"))
+    x = scored.select(*cols)
+    hot = skew.hot_keys(scored if portfolio_keys is None else portfolio_keys, "portfolio_id", hot_rows)
+    if hot.isEmpty():
+        return _ranked_together(x, top, bottom)
+    keys = F.broadcast(hot.withColumnRenamed("portfolio_id", "_hot"))
+    same = F.col("portfolio_id").eqNullSafe(F.col("_hot"))
+    return _ranked_together(x.join(keys, same, "left_anti"), top, bottom).unionByName(_ranked_by_side(x.join(keys, same, "left_semi"), top, bottom))
+
+
+def _ranked_together(x: DataFrame, top: int, bottom: int) -> DataFrame:
+    own = Window.partitionBy("portfolio_id")
+    t = F.row_number().over(own.orderBy(F.col("overall").isNull(), F.desc("overall"), F.asc("holding_id")))
+    ranked = x.withColumn("_t", t).withColumn("_b", (F.count(F.lit(1)).over(own) - F.col("_t") + 1).cast("int"))
+    side = lambda name, rank, k: F.when(F.col(rank) <= k, F.struct(F.col(rank).alias("position"), F.lit(name).alias("side")))
+    sides = F.filter(F.array(side("top", "_t", top), side("bottom", "_b", bottom)), lambda s: s.isNotNull())
+    return ranked.filter((F.col("_t") <= top) | (F.col("_b") <= bottom)).select(*x.columns, F.explode(sides).alias("s")).select(*x.columns, "s.position", "s.side")
+
+
+def _ranked_by_side(x: DataFrame, top: int, bottom: int) -> DataFrame:
+    both = x.select(*x.columns, F.explode(F.array(F.lit("top"), F.lit("bottom"))).alias("side"))
     is_top = F.col("side") == "top"
     w = Window.partitionBy("portfolio_id", "side").orderBy(
         F.when(is_top, F.col("overall").isNull()).otherwise(F.col("overall").isNotNull()),
         F.when(is_top, -F.col("overall")).otherwise(F.col("overall")),
         F.when(is_top, F.col("holding_id")).asc(), F.when(~is_top, F.col("holding_id")).desc())
     ranked = both.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= max(top, bottom))
-    return ranked.filter(F.col("position") <= F.when(is_top, top).otherwise(bottom)).select(*cols, "position", "side")
+    return ranked.filter(F.col("position") <= F.when(is_top, top).otherwise(bottom)).select(*x.columns, "position", "side")
 
 
 def esg_table(scored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ratings as R
+from ..functions import skew
 from ..functions.storage import cut_lineage
 from ..operators import esg as E
 from ..operators import market as M
@@ -36,7 +37,9 @@ def tiers(spark, d):
 
 
 def scored(spark, d, h=None):
-    return E.score_holdings(V.holdings(spark, d) if h is None else h, tiers(spark, d), security_rows=V.table(spark, d, "part").count())
+    # a holding is a line, so counting lines per part spares the joins of the holdings
+    keys = V.table(spark, d, "lineitem").select(F.col("l_partkey").alias("security_id")) if h is None else None
+    return E.score_holdings(V.holdings(spark, d) if h is None else h, tiers(spark, d), security_rows=V.table(spark, d, "part").count(), security_keys=keys)
 
 
 def bare_holdings(spark, d):
@@ -319,7 +322,8 @@ def _(spark, d):
   SELECT portfolio_id, holding_id, stock_name, overall, CAST(t AS INT) AS position, 'top' AS side FROM r WHERE t <= 5
   UNION ALL SELECT portfolio_id, holding_id, stock_name, overall, CAST(b AS INT), 'bottom' FROM r WHERE b <= 3""")
 def _(spark, d):
-    return E.top_bottom_performers(scored(spark, d))
+    keys = V.table(spark, d, "orders").select(F.col("o_custkey").alias("portfolio_id"))  # an order has a few lines
+    return E.top_bottom_performers(scored(spark, d), portfolio_keys=keys, hot_rows=skew.HOT_ROWS // 4)
 
 
 def _whole(c):
