@@ -146,16 +146,20 @@ def parametric_var(h: DataFrame, z: float = 1.645) -> DataFrame:
 def historical_var(h: DataFrame, prices: DataFrame) -> DataFrame:
     """5th and 1st percentile of daily portfolio returns times value.
 
-    Holdings are summed to (portfolio, symbol) before they meet the return series; the series of a
-    portfolio has one row per day.  ``h``: portfolio_id, symbol, value.
+    Holdings are summed to (portfolio, symbol) and brought together by portfolio before they meet the return series (only
+    those of symbols held), so the days of a portfolio, many times its positions, are made and summed up where they are needed.
+    The series of a portfolio has one row per day.  ``h``: portfolio_id, symbol, value.
     """
-    pos = h.groupBy("portfolio_id", "symbol").agg(F.sum("value").alias("v"))
-    totals = pos.groupBy("portfolio_id").agg(F.sum("v").alias("tv"))
+    tasks = int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pos = cut_lineage(h.groupBy("portfolio_id", "symbol").agg(F.sum("value").alias("v")))
+    held = prices.join(pos.select("symbol").distinct(), "symbol", "left_semi")
     # a series is one row per day; as an array it can be joined to a symbol held by very many portfolios
     # (2,000 series of 30 years are some 200 MB, the most that is broadcast)
-    series = cut_lineage(daily_returns(prices).filter("ret IS NOT NULL").groupBy("symbol")
+    series = cut_lineage(daily_returns(held).filter("ret IS NOT NULL").groupBy("symbol")
                          .agg(F.collect_list(F.struct("dt", "ret")).alias("series")))  # counted, then joined
-    day = (skew.join_dimension(pos, series, "symbol", ["portfolio_id"], max_rows=2_000)
+    together = pos.repartition(tasks, "portfolio_id")
+    totals = together.groupBy("portfolio_id").agg(F.sum("v").alias("tv"))
+    day = (skew.join_dimension(together, series, "symbol", ["portfolio_id"], max_rows=2_000)
            .select("portfolio_id", "v", F.explode("series").alias("x"))
            .groupBy("portfolio_id", F.col("x.dt").alias("dt")).agg(F.sum(F.col("x.ret") * F.col("v")).alias("gain"))
            .join(totals, "portfolio_id").withColumn("r", F.try_divide("gain", "tv")))
