@@ -318,13 +318,15 @@ def top_bottom_performers(scored: DataFrame, top: int = 5, bottom: int = 3, port
                           hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Best and worst holdings by score (ties by holding id); missing scores come last in top, first in bottom.
 
-    Bottom is the order of top from its end, so one shuffle and one sort rank both sides.  Of portfolios with more than
-    ``hot_rows`` rows, every map task sends on k rows a side instead.  ``portfolio_keys``: a table with about as many rows per
-    portfolio_id as ``scored`` that is cheaper to count; it decides on that alone.
+    Every map task sends on k rows per portfolio and side.  With ``portfolio_keys``, a table with about as many rows per
+    portfolio_id as ``scored`` that is cheap to count, this is kept for portfolios with more than ``hot_rows`` rows there; of all
+    others one shuffle and one sort rank both sides, as bottom is the order of top from its end.
     """
     cols = ["portfolio_id", "holding_id", "stock_name", "overall"]
     x = scored.select(*cols)
-    hot = skew.hot_keys(scored if portfolio_keys is None else portfolio_keys, "portfolio_id", hot_rows)
+    if portfolio_keys is None:
+        return _ranked_by_side(x, top, bottom)
+    hot = skew.hot_keys(portfolio_keys, "portfolio_id", hot_rows)
     if hot.isEmpty():
         return _ranked_together(x, top, bottom)
     keys = F.broadcast(hot.withColumnRenamed("portfolio_id", "_hot"))

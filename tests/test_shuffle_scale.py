@@ -93,9 +93,9 @@ def test_top_and_bottom_by_one_shuffle_and_sort(spark, shuffled_joins):
     for p in (1, 2, None):
         order = sorted((r for r in rows if r[0] == p), key=lambda r: (r[3] is None, -(r[3] or 0), r[1]))
         expected |= {(*r, i, "top") for i, r in enumerate(order[:5], 1)} | {(*r, i, "bottom") for i, r in enumerate(order[::-1][:3], 1)}
-    out = E.top_bottom_performers(scored)
+    out = E.top_bottom_performers(scored, portfolio_keys=scored)
     assert plan(out).count("Exchange hashpartitioning") == 1 and "Generate" in plan(out).split("Exchange hashpartitioning")[0]
     assert plan(out).count("Sort [") == 1
     for hot_rows in (100, 5, 0):  # none, one and all of the portfolios are hot
-        got = list(map(tuple, E.top_bottom_performers(scored, hot_rows=hot_rows).collect()))
+        got = list(map(tuple, E.top_bottom_performers(scored, portfolio_keys=scored, hot_rows=hot_rows).collect()))
         assert len(got) == len(set(got)) and set(got) == expected
