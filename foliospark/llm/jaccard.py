@@ -18,6 +18,7 @@ repeated ones too; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from .components import components
 from .shingles import WORDS, mixed, shingles
 from .work import slices, stash
 
-CELLS = 1 << 18   # hash cells whose load orders the shingles
+CELLS = 1 << 21   # hash cells whose load orders the shingles
 PARTS = 16
 GROUPS = 256      # dimensions of the count vectors, one byte each; FULL stands for that many or more
 FULL = 255
@@ -39,6 +40,8 @@ BITS = 1 << 22    # size of the filter that picks the documents whose sets are n
 LEAF = 16
 BLOCK = 512
 PERCENT = 75
+HELD = 1 << 20    # pairs that a task holds before it hands them on
+MANY = 10_000     # pairs from which bitmaps are worth one more pass over the documents
 
 
 def _fingerprints(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -71,6 +74,24 @@ def _counts(points: np.ndarray) -> np.ndarray:
     return counts
 
 
+def _bitmaps(owner: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each text a bitmap of its shingles, 8 to 16 bits for each of them; sizes are powers of two, 64 at least."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(8 * n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    flat = np.zeros(int(bits.sum()), bool)
+    flat[(ends - bits)[owner] + (hashes & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(flat)
+    return [packed[(e - b) // 8:e // 8].tobytes() for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
+
+
+def _bitmap_bound(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """How many shingles two sets can share, by their bitmaps; of different sizes, places are equal modulo the smaller size."""
+    if len(x) > len(y):
+        x, y, n, m = y, x, m, n
+    each = y.reshape(-1, len(x))
+    return int(min(n - np.bitwise_count(x & ~np.bitwise_or.reduce(each, axis=0)).sum(dtype=np.int64), m - np.bitwise_count(each & ~x).sum(dtype=np.int64)))
+
+
 def _fine_bound(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """How many shingles two sets can share: all but those whose fine group is empty in the other set."""
     return np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
@@ -100,7 +121,7 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame,
                                                   pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if none is not None:
             parts = np.split(load, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, none), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, none), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
 
     rows = stash(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")).mapInArrow(run, f"key {kind}, n bigint, class bigint, point binary, mark bigint, part int, load binary"), "classes")
     return rows.where("part is null").select("key", "n", "class", "point", "mark"), rows.where("part is not null").select("part", "load")
@@ -112,11 +133,11 @@ def cell_loads(loads: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, load in zip(batch.column("part").to_pylist(), batch.column("load").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(load, np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "load"])
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(load), np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], ["part", "load"])
 
-    found = {r["part"]: np.frombuffer(bytes(r["load"]), np.uint64) for r in loads.repartition(PARTS, "part").mapInArrow(run, "part int, load binary").collect()}
-    return np.concatenate([found.get(i, np.zeros(CELLS // PARTS, np.uint64)) for i in range(PARTS)])
+    found = {r["part"]: np.frombuffer(bytes(r["load"]), np.uint32) for r in loads.repartition(PARTS, "part").mapInArrow(run, "part int, load binary").collect()}
+    return np.concatenate([found.get(i, np.zeros(CELLS // PARTS, np.uint32)) for i in range(PARTS)])
 
 
 def class_keys(docs: DataFrame, text: str, size: int, percent: int, loads) -> DataFrame:
@@ -140,8 +161,8 @@ def class_keys(docs: DataFrame, text: str, size: int, percent: int, loads) -> Da
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key bigint, class bigint")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFrame:
-    """(class, shingles as bytes) of the wanted (class, mark) rows; mark: the hash of one text of the class.
+def class_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int, bitmaps: bool = False) -> DataFrame:
+    """(class, n, shingles as bytes or their bitmap) of the wanted (class, mark) rows; mark: the hash of one text of the class.
 
     A filter of fixed size, built from the marks, picks those texts and a few others while documents are read, so texts are
     not shuffled.  What is picked is dealt by the class of the text itself, so keys play no part.
@@ -154,14 +175,16 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str, size: int) -> Data
                 n = np.bincount(owner, minlength=part.num_rows)
                 marks, ends = _fingerprints(owner, hashes, n), np.cumsum(n)
                 fresh = [i for i, m in enumerate(marks.tolist()) if n[i] and m not in seen and not seen.add(m)]
-                yield pa.RecordBatch.from_arrays([pa.array(marks[fresh]), pa.array([hashes[ends[i] - n[i]:ends[i]].tobytes() for i in fresh], pa.binary())], ["class", "shingles"])
+                made = _bitmaps(owner, hashes, n) if bitmaps else None
+                sets = [made[i] if bitmaps else hashes[ends[i] - n[i]:ends[i]].tobytes() for i in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(marks[fresh]), pa.array(n[fresh]), pa.array(sets, pa.binary())], ["class", "n", "shingles"])
 
     bit = F.pmod("mark", F.lit(BITS))
     mask = F.expr("shiftleft(1L, cast(bit % 64 as int))")
     filters = wanted.withColumn("bit", bit).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(mask).alias("mask"))  # at most BITS / 64 rows
     read = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("mark")).withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
     picked = read.join(F.broadcast(filters), "word").where(F.col("mask").bitwiseAND(mask) != 0).select("text")
-    found = picked.mapInArrow(run, "class bigint, shingles binary")
+    found = picked.mapInArrow(run, "class bigint, n bigint, shingles binary")
     return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -182,7 +205,18 @@ def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a stored table, of classes whose whole sets are as similar as asked for; also stored."""
+    """The pairs (a, b), a stored table, of classes whose whole sets are as similar as asked for; also stored.
+
+    Of many pairs bitmaps, an eighth of the sets' size, first bound the overlap: whole sets are dealt for few other pairs than links.
+    """
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True):
+                bound = _bitmap_bound(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), n, m)
+                keep.append((100 + percent) * bound >= percent * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -194,11 +228,14 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str, siz
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = stash(members.join(needed, "class").groupBy("class").agg(F.min("mark").alias("mark")), "wanted")
-    sets = stash(class_sets(docs, wanted, text, size), "sets")
-    whole = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return stash(whole.mapInArrow(run, "a bigint, b bigint"), "linked")
+    def compared(pairs: DataFrame, test, name: str, bitmaps: bool) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        wanted = stash(members.join(needed, "class").groupBy("class").agg(F.min("mark").alias("mark")), "wanted")
+        sets = stash(class_sets(docs, wanted, text, size, bitmaps), "sets")
+        whole = pairs.join(sets.toDF("a", "n", "x"), "a").join(sets.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        return stash(whole.mapInArrow(test, "a bigint, b bigint"), name)
+
+    return compared(compared(pairs, bounded, "pairs", True) if pairs.count() >= MANY else pairs, run, "linked", False)
 
 
 class Tree:
@@ -227,17 +264,18 @@ class Tree:
         return self.order[found]
 
 
-def survivors(rows: DataFrame, percent: int) -> DataFrame:
+def survivors(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes with different labels in a common key whose bound allows a link.
 
-    rows: key, class, label, n, point.  A key of many classes is cut into blocks, and each pair of blocks is a group of its own.
+    rows: key, class, label; points: class, n, point.  A key of many classes is cut into blocks, and each pair of blocks is a group
+    of its own.  Points join when rows are dealt, so only one shuffle carries them for each key.
     """
     counts = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     cut = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "label", "n", "point")
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "label").join(points, "class")
 
-    def compare(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def compare(group: list[pa.RecordBatch]) -> np.ndarray:
         t = pa.Table.from_batches(group)
         block, cls, label, n = (t.column(c).to_numpy() for c in ("block", "class", "label", "n"))
         raw = _bytes(t.column("point").combine_chunks())
@@ -253,23 +291,34 @@ def survivors(rows: DataFrame, percent: int) -> DataFrame:
             a += [cls[q]] * len(near)
             b += near.tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
+        pairs = np.zeros((0, 2), np.int64)  # a pair comes once from a task, however many keys have it
+
+        def row_batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
         for batch in batches:
+            more = [pairs]
             ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
             for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 if end == begin:
                     continue
                 if held and tuple(ids[begin]) != now:
-                    yield compare(held)
+                    more.append(compare(held))
                     held = []
                 now = tuple(ids[begin])
                 held.append(batch.slice(begin, end - begin))
+            pairs = np.unique(np.concatenate(more), axis=0)
+            if len(pairs) >= HELD:
+                yield row_batch()
+                pairs = pairs[:0]
         if held:
-            yield compare(held)
+            pairs = np.unique(np.concatenate([pairs, compare(held)]), axis=0)
+        yield row_batch()
 
     # one block against another without rows of it compares a block with itself once more, which adds no wrong pair
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
@@ -321,14 +370,25 @@ def link_classes(docs: DataFrame, members: DataFrame, loads: DataFrame, text: st
     pivot = F.struct(F.xxhash64("class").alias("mark"), "class", "label")
     pivots = rows.groupBy("key").agg(F.array(F.min(pivot), F.max(pivot)).alias("pivots"))
     pairs = rows.join(pivots, "key").select("class", "label", F.explode("pivots").alias("p")).where("label <> p.label")
-    links.verify(pairs.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    rows = open_rows(links.label(rows.select("key", "class")))
-    links.verify(survivors(rows.join(points, "class"), percent).join(stars, ["a", "b"], "left_anti"))
+    pairs = stash(pairs.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pivots")
+    links.verify(pairs)
+    rows = unpaired(open_rows(links.label(rows.select("key", "class"))))
+    links.verify(survivors(rows, points, percent).join(stars.union(pairs), ["a", "b"], "left_anti"))
     if links.roots is None:
         return spark.createDataFrame([], "node bigint, root bigint")
     return links.roots
 
 
+def unpaired(rows: DataFrame) -> DataFrame:
+    """The rows (key, class, label), stored, without the smallest and largest class and the pivots of each key, which were compared with
+    every other class of it; what is left of a key must still hold several labels."""
+    mark = F.struct(F.xxhash64("class").alias("mark"), "class")
+    ends = rows.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    left = stash(rows.join(ends, "key").where("class not in (first, last, low.class, high.class)").select("key", "class", "label"), "open")
+    several = left.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    return left.join(several, "key")
+
+
 def open_rows(labelled: DataFrame) -> DataFrame:
     """The rows (key, class, label), stored, of keys of more than two classes with several labels; keys with the same classes count once."""
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")

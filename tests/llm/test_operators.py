@@ -290,6 +290,41 @@ def test_jaccard_with_repeated_and_null_ids(spark):
     assert all(rows[n][0] is not None for n in kept)
 
 
+def test_jaccard_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 3, 40, 700, 3000, 4000, 4000)]
+    n, owner, hashes = np.array([len(s) for s in sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    maps = [np.frombuffer(b, np.uint8) for b in jaccard._bitmaps(owner, hashes, n)]
+    assert all(k <= len(m) <= max(8, 2 * k) for k, m in zip(n.tolist(), maps, strict=True))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            shared, bound = len(np.intersect1d(x, y)), jaccard._bitmap_bound(maps[i], maps[j], n[i], n[j])
+            assert shared <= bound <= min(n[i], n[j]) and (i != j or bound == n[i])
+    # sets of thousands that share a third are told apart from links, which the fine groups of the points cannot
+    bound = jaccard._bitmap_bound(maps[5], maps[6], n[5], n[6])
+    fine = jaccard._points(owner, hashes, len(sets))[:, jaccard.GROUPS:]
+    assert 175 * bound < 75 * (n[5] + n[6]) <= 175 * jaccard._fine_bound(fine[5:6], fine[6:7], n[5:6], n[6:7])[0]
+
+
+def test_jaccard_trees_get_no_classes_that_were_compared(spark):
+    keys = {1: [(c, c) for c in range(12)], 2: [(c, c) for c in (3, 5, 8)], 3: [(c, 0) for c in range(9)]}
+    rows = spark.createDataFrame([(k, c, label) for k, held in keys.items() for c, label in held], "key bigint, class bigint, label bigint")
+    got = {(r["key"], r["class"]) for r in jaccard.unpaired(rows).collect()}
+    marks = {r["class"]: r["mark"] for r in spark.range(12).select(F.col("id").alias("class"), F.xxhash64("id").alias("mark")).collect()}
+    done = {0, 11, min(marks, key=marks.get), max(marks, key=marks.get)}
+    assert got == {(1, c) for c in range(12) if c not in done}  # of three classes at most one is left; one label needs no comparison
+
+
+def test_jaccard_tree_task_hands_on_a_pair_once(spark):
+    n, keys = 6, 40  # the same classes in many keys
+    rows = spark.createDataFrame([(k, c, c) for k in range(keys) for c in range(n)], "key bigint, class bigint, label bigint")
+    point = bytes([1] * jaccard.GROUPS + [255] * (jaccard.FINE // 8))
+    points = spark.createDataFrame([(c, jaccard.GROUPS, point) for c in range(n)], "class bigint, n bigint, point binary")
+    found = jaccard.survivors(rows, points, 75)
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
 def test_tree_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 4, (700, 32))
