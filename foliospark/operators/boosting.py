@@ -1,9 +1,9 @@
 """Boosted regression trees on quantile-binned features, their predictions and exact attributions.
 
 Cut points of every feature come from one aggregate over all training rows.  Trees are grown leaf by leaf, always where the squared
-error falls most, on a sample of at most ``most_rows`` training and as many validation rows, those with the smallest hashes (a
-documented bound: a round needs the residuals of the round before, so the rows of a fit live in one task).  Every round adds one tree
-to the running predictions; the validation error is kept up with it, and training ends ``patience`` rounds after the best one.
+error falls most, on all training rows: each task of one barrier stage keeps its part of them as one byte a feature, and the tasks
+add up the sums of the leaves they are about to cut (``Shared``).  Every round adds one tree to the running predictions; the error
+of all validation rows is kept up with it, and training ends ``patience`` rounds after the best one.
 The model is a table of nodes.  Predictions and attributions run over Arrow batches of all rows with that table sent along: its
 size is bounded by ``rounds`` and ``leaves``.
 """
@@ -11,19 +11,28 @@ size is bounded by ``rounds`` and ``leaves``.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import product
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileType
+from pyspark import BarrierTaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import file_system, fresh_path
+
 BINS = 255
 PART = 8192  # rows scored together
+FIT_ROWS = 50_000  # rows of a fit that one task takes before another one shares them
+MOST_TASKS = 64  # of a fit; each reads the sums of all others
+JOINT = 4096  # bins counted together
 TABLE = 10  # conditions of a leaf up to which all patterns are worked out
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, lower int, upper int, value double, cover double, gain double"
 
@@ -56,66 +65,132 @@ def best_split(sums: np.ndarray, owner: np.ndarray, least: int) -> tuple[float,
     return float(gain[at] - all_g * all_g / all_w), int(owner[fits[at]]), int(fits[at])
 
 
-def grow(codes: np.ndarray, owner: np.ndarray, gradient: np.ndarray, weight: np.ndarray, leaves: int, least: int, step: float) -> tuple[list[list], list[tuple[int, np.ndarray]]]:
+def joint_codes(codes: np.ndarray, sizes: np.ndarray) -> list[tuple[list[int], np.ndarray]]:
+    """Features with few bins as one code of up to ``JOINT`` values: (features, codes), the last feature varies fastest."""
+    groups: list[list[int]] = []
+    for f in np.argsort(sizes, kind="stable").tolist():
+        if groups and np.prod(sizes[[*groups[-1], f]]) <= JOINT:
+            groups[-1].append(f)
+        else:
+            groups.append([f])
+    out = []
+    for group in groups:
+        kind = np.min_scalar_type(int(np.prod(sizes[group])) - 1)
+        joint = codes[group[0]].astype(kind)
+        for f in group[1:]:
+            joint *= kind.type(sizes[f])
+            joint += codes[f].astype(kind)
+        out.append((group, joint))
+    return out
+
+
+def alone(sums: np.ndarray) -> np.ndarray:
+    """The sums over all tasks where one has all rows."""
+    return sums
+
+
+def grow(codes: np.ndarray, owner: np.ndarray, gradient: np.ndarray, weight: np.ndarray, leaves: int, least: int, step: float,
+         total: Callable[[np.ndarray], np.ndarray] = alone, joint: Sequence[tuple[list[int], np.ndarray]] | None = None) -> tuple[list[list], list[tuple[int, np.ndarray]]]:
     """One tree: nodes [feature, place, lower, upper, value, cover, gain], and the rows of each leaf.
 
-    ``codes`` holds, for each feature and row, the bin within the feature; places count the bins of all features.
+    ``codes`` holds, for each feature and row, the bin within the feature; places count the bins of all features.  ``total`` adds
+    up sums over the tasks that share the rows.  As its calls take time there, leaves are cut before their turn, half as many as may
+    still come; the tree is the same.  ``joint`` has the codes by groups of features, for many rows.
     """
     bins = len(owner)
     starts = np.searchsorted(owner, np.arange(len(codes) + 1))
+    sizes = np.diff(starts)
 
     def sums(rows: np.ndarray) -> np.ndarray:
         g, w, out = gradient[rows], weight[rows], np.empty((3, bins))
         if len(rows) < 1000:  # all features at once; more rows feature by feature, which stays in the processor's cache
             flat = (codes[:, rows].astype(np.intp) + starts[:-1, None]).ravel()
             return np.stack([np.bincount(flat, np.tile(v, len(codes)), bins) for v in (g, w)] + [np.bincount(flat, minlength=bins)])
-        for own, begin, end in zip(codes, starts, starts[1:]):
-            places = own[rows].astype(np.intp)
+        for features, own in joint or [([f], own) for f, own in enumerate(codes)]:
+            places, shape = own[rows].astype(np.intp), sizes[features]
             for line, of in enumerate((g, w, None)):
-                out[line, begin:end] = np.bincount(places, of, end - begin)
+                counted = np.bincount(places, of, np.prod(shape)).reshape(shape)
+                for k, f in enumerate(features):
+                    out[line, starts[f]:starts[f + 1]] = counted.sum(axis=tuple(j for j in range(len(features)) if j != k))
         return out
 
-    def leaf(rows: np.ndarray) -> list:
-        w = float(weight[rows].sum())
-        return [-1, 0, -1, -1, -step * float(gradient[rows].sum()) / w, w, 0.0]
+    def facts(rows: np.ndarray) -> list[float]:
+        return [float(gradient[rows].sum()), float(weight[rows].sum())]
+
+    def leaf(g: float, w: float) -> list:
+        return [-1, 0, -1, -1, -step * g / w, w, 0.0]
+
+    def size(of: np.ndarray, feature: int, end: int) -> float:
+        return of[2, starts[feature]:end].sum()
 
     rows = np.arange(len(gradient))
-    nodes, held, queue = [leaf(rows)], {0: (rows, sums(rows))}, []
+    whole = total(np.concatenate([sums(rows).ravel(), facts(rows)]))
+    nodes, held, queue, parted = [leaf(*whole[-2:].tolist())], {0: (rows, whole[:-2].reshape(3, bins))}, [], {}
 
     def offer(i: int) -> None:
-        gain, feature, place = best_split(held[i][1], owner, least) if len(held[i][0]) >= 2 * least else (0.0, 0, 0)
+        gain, feature, place = best_split(held[i][1], owner, least) if size(held[i][1], 0, starts[1]) >= 2 * least else (0.0, 0, 0)
         if gain > 1e-10:
             heapq.heappush(queue, (-gain, i, feature, place))
 
+    def part(some: list[tuple[float, int, int, int]]) -> None:
+        """Rows, sums and facts of both parts of these leaves."""
+        found, told = [], []
+        for _, i, feature, place in some:
+            rows, of = held[i]
+            below = codes[feature][rows] <= place - starts[feature]
+            parts = [rows[below], rows[~below]]
+            small = int(2 * size(of, feature, place + 1) > size(of, feature, starts[feature + 1]))
+            found.append((i, parts, small))
+            told += [sums(parts[small]).ravel(), *map(facts, parts)]
+        for (i, parts, small), added in zip(found, total(np.concatenate(told)).reshape(len(found), -1), strict=True):
+            fewer = added[:-4].reshape(3, bins)
+            more = held[i][1] - fewer
+            parted[i] = (parts, [more, fewer] if small else [fewer, more], added[-4:].reshape(2, 2).tolist())
+
     offer(0)
     while queue and len(held) < leaves:
+        if queue[0][1] not in parted:
+            ahead = 1 if total is alone else max(1, (leaves - len(held)) // 2)
+            part([x for x in heapq.nsmallest(ahead, queue) if x[1] not in parted])
         gain, i, feature, place = heapq.heappop(queue)
-        rows, total = held.pop(i)
-        below = codes[feature][rows] <= place - starts[feature]
-        parts = [rows[below], rows[~below]]
-        small = int(len(parts[1]) < len(parts[0]))
-        some = sums(parts[small])
-        both = [some, total - some] if small == 0 else [total - some, some]
+        del held[i]
         nodes[i][:4], nodes[i][6] = [feature, place, len(nodes), len(nodes) + 1], -gain
-        for part, own in zip(parts, both, strict=True):
-            held[len(nodes)] = (part, own)
-            nodes.append(leaf(part))
+        for own_rows, own, fact in zip(*parted.pop(i), strict=True):
+            held[len(nodes)] = (own_rows, own)
+            nodes.append(leaf(*fact))
             offer(len(nodes) - 1)
     return nodes, [(i, rows) for i, (rows, _) in held.items()]
 
 
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, val: np.ndarray, cuts: Sequence[np.ndarray], rounds: int, step: float, patience: int, leaves: int,
           least: int) -> tuple[float, list[list[list]]]:
-    """(base, trees up to the round with the least validation error); without validation rows all rounds.  A node's place is a bin."""
-    sizes = np.array([len(c) + 1 for c in cuts])
-    starts = np.cumsum(sizes) - sizes
-    codes, owner = binned(x, cuts), np.repeat(np.arange(len(cuts)), sizes)
-    train, base = ~val, float(np.average(y[~val], weights=weight[~val]))
+    """``boost_codes`` of plain rows."""
+    return boost_codes(binned(x, cuts), y, weight, val, [len(c) + 1 for c in cuts], rounds, step, patience, leaves, least)
+
+
+def boost_codes(codes: np.ndarray, y: np.ndarray, weight: np.ndarray, val: np.ndarray, sizes: Sequence[int], rounds: int, step: float, patience: int, leaves: int,
+                least: int, total: Callable[[np.ndarray], np.ndarray] = alone) -> tuple[float, list[list[list]]]:
+    """(base, trees up to the round with the least validation error); without validation rows all rounds.  A node's place is a bin.
+
+    The rows may be one task's part of them: ``total`` adds up sums over the tasks, which all grow the same trees.
+    """
+    sizes = np.array(sizes)
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+
+    def mean(values: np.ndarray, weights: np.ndarray) -> float:
+        both = total(np.array([np.multiply(values, weights).sum(), weights.sum()]))
+        if not both[1]:
+            raise ZeroDivisionError("the weights sum to zero")
+        return float(both[0] / both[1])
+
+    train = ~val
     fit_codes, val_codes, fit_y, val_y, fit_weight, val_weight = codes[:, train], codes[:, val], y[train], y[val], weight[train], weight[val]
+    base, checked = mean(fit_y, fit_weight), total(np.array([float(len(val_y))]))[0] > 0
+    joint = joint_codes(fit_codes, sizes) if len(fit_y) >= FIT_ROWS else None
     now, later = np.full(len(fit_y), base), np.full(len(val_y), base)
-    trees, best, lowest = [], 0, np.average((later - val_y) ** 2, weights=val_weight) if len(val_y) else np.inf
+    trees, best, lowest = [], 0, mean((later - val_y) ** 2, val_weight) if checked else np.inf
     for i in range(1, rounds + 1):
-        nodes, rows = grow(fit_codes, owner, fit_weight * (now - fit_y), fit_weight, leaves, least, step)
+        nodes, rows = grow(fit_codes, owner, fit_weight * (now - fit_y), fit_weight, leaves, least, step, total, joint)
         if len(nodes) == 1:
             break
         trees.append(nodes)
@@ -123,7 +198,7 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, val: np.ndarray, cut
             now[own] += nodes[node][4]
         for node, own in fallen(nodes, val_codes, starts):
             later[own] += nodes[node][4]
-        error = np.average((later - val_y) ** 2, weights=val_weight) if len(val_y) else -i
+        error = mean((later - val_y) ** 2, val_weight) if checked else -i
         if error < lowest:
             best, lowest = i, error
         elif i - best >= patience:
@@ -343,27 +418,74 @@ def from_nodes(rows: pd.DataFrame, cols: Sequence[str], base: float) -> Boosted:
     return Boosted(list(cols), base, **made)
 
 
-def fit(df: DataFrame, cols: Sequence[str], label: str, key_hash, rounds: int = 2000, step: float = 0.05, patience: int = 50, leaves: int = 31, least: int = 20,
-        most_rows: int = 50_000) -> Boosted:
-    """Train on the rows with ``split`` train, stop by those with val; ``weight`` counts in both.  ``key_hash`` picks the bounded sample."""
+class Shared:
+    """Sums of arrays over the tasks of a barrier stage, by files in the shared folder: a task writes its own and reads those of all
+    others, in the same order, so that all get the same sums.  (Spark's own gathering takes a second a call.)"""
+
+    def __init__(self, uri: str):
+        stage = BarrierTaskContext.get()
+        self.me, self.turn = stage.partitionId(), 0
+        attempt = stage.allGather(uuid4().hex)  # a repeated stage has a folder of its own
+        self.tasks = len(attempt)
+        self.fs, root = file_system(uri)
+        self.root = f"{root}/{attempt[0]}"
+        self.fs.create_dir(self.root, recursive=True)
+
+    def read(self, path: str) -> bytes:
+        wait = 0.0005
+        while self.fs.get_file_info(path).type == FileType.NotFound:  # if its task fails, Spark ends this one
+            time.sleep(wait)
+            wait = min(2 * wait, 0.02)
+        with self.fs.open_input_stream(path) as found:
+            return found.read()
+
+    def __call__(self, sums: np.ndarray) -> np.ndarray:
+        own = f"{self.root}/{self.turn}-{self.me}"
+        with self.fs.open_output_stream(f"{own}.part") as out:
+            out.write(sums.astype(float).tobytes())
+        self.fs.move(f"{own}.part", own)
+        found = np.zeros(len(sums))
+        for k in range(self.tasks):
+            found += sums if k == self.me else np.frombuffer(self.read(f"{self.root}/{self.turn}-{k}"))
+        if self.turn:  # all have written this turn's sums, so they have read those of the last
+            self.fs.delete_file(f"{self.root}/{self.turn - 1}-{self.me}")
+        self.turn += 1
+        return found
+
+
+def slots(spark: SparkSession) -> int:
+    """Tasks that run at once for sure; one where executors come and go, as a barrier stage does not run there."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    sc = spark.sparkContext._jsc.sc()
+    return max(1, sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile()))
+
+
+def fit(df: DataFrame, cols: Sequence[str], label: str, rounds: int = 2000, step: float = 0.05, patience: int = 50, leaves: int = 31, least: int = 20) -> Boosted:
+    """Train on all rows with ``split`` train, stop by all with val; ``weight`` counts in both."""
+    spark = df.sparkSession
     rows = df.filter("split <> 'test'").filter(F.col(label).isNotNull())
     cuts = cut_points(rows.filter("split = 'train'"), cols)
-    counts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(1.0)
-    for split, n in counts.items():
-        share = F.when(F.col("split") == split, F.lit(min(1.0, most_rows / n))).otherwise(share)
-    picked = rows.where((F.pmod(key_hash, F.lit(1 << 30)) / F.lit(1 << 30)) < share).select(
-        (F.col("split") == "val").alias("val"), F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("w"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    d = len(cols)
-
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(group.columns))
-        x = group[[f"x{i}" for i in range(d)]].to_numpy(float)
-        base, trees = boost(x, group["y"].to_numpy(), group["w"].to_numpy(), group["val"].to_numpy(bool), cuts, rounds, step, patience, leaves, least)
+    x = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    rows = rows.select((F.col("split") == "val").alias("val"), F.col(label).cast("double").alias("y"), F.col("weight").cast("double").alias("w"), *x)
+    tasks = max(1, min(slots(spark), MOST_TASKS, -(-rows.count() // FIT_ROWS)))
+    uri = fresh_path(spark, "sums") if tasks > 1 else None
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(binned(b.iloc[:, 3:].to_numpy(float), cuts), b["y"].to_numpy(), b["w"].to_numpy(), b["val"].to_numpy(bool)) for b in batches if len(b)]
+        if not parts:
+            return
+        codes, *facts = (np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
+        del parts
+        total = Shared(uri) if uri else alone
+        base, trees = boost_codes(codes, *facts, [len(c) + 1 for c in cuts], rounds, step, patience, leaves, least, total)
+        if uri and total.me:
+            return
         out = [(t, i, n[0], float(cuts[n[0]][n[1]]) if n[0] >= 0 else 0.0, n[2], n[3], n[4], n[5], n[6]) for t, nodes in enumerate(trees) for i, n in enumerate(nodes)]
         out.append((-1, 0, -1, 0.0, 0, 0, base, 0.0, 0.0))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
-    nodes = picked.groupBy(F.lit(0).alias("one")).applyInPandas(train, NODE_SCHEMA).toPandas()
+    dealt = rows.repartition(tasks).sortWithinPartitions(*rows.columns)  # evenly, so no task is without rows
+    nodes = dealt.mapInPandas(train, NODE_SCHEMA, barrier=tasks > 1).repartition(1).toPandas()  # Spark repeats a barrier stage only before a shuffle
     base = float(nodes.loc[nodes["tree"] < 0, "value"].iloc[0]) if len(nodes) else 0.0
     return from_nodes(nodes[nodes["tree"] >= 0], cols, base)

@@ -30,13 +30,13 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def train_esg(df: DataFrame, cols: Sequence[str], label: str = "total_esg", rounds: int = 2000, leaves: int = 31, step: float = 0.05,
-              patience: int = 50, most_rows: int = 50_000) -> Boosted:
+              patience: int = 50) -> Boosted:
     """Boosted trees with weights, up to the round with the least error on the validation part (``split`` = val).
 
     Training ends after ``patience`` rounds without a smaller error, or at ``rounds``.  Every round continues the one before, so
-    no tree is grown twice.  At most ``most_rows`` rows of each part are fitted, those with the smallest hashes.
+    no tree is grown twice.  All rows of both parts count.
     """
-    return fit(df, cols, label, F.xxhash64(label, *cols), rounds, step, patience, leaves, most_rows=most_rows)
+    return fit(df, cols, label, rounds, step, patience, leaves)
 
 
 @dataclass
@@ -97,7 +97,8 @@ def input_digest(df: DataFrame, cols: Sequence[str], *more) -> str:
 def stored_model(df: DataFrame, numbers: Sequence[str], category: str, label: str = "total_esg", **how) -> EsgModel:
     """The model of these rows and parameters: loaded from the shared folder if it was trained before, else trained and kept there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/esg-model-{input_digest(df, [*numbers, category, label, 'weight', 'split'], sorted(how.items()))}"
+    # "all rows": models that were fitted on a sample have other names
+    path = f"{shared_dir(spark)}/esg-model-{input_digest(df, [*numbers, category, label, 'weight', 'split'], sorted(how.items()), 'all rows')}"
     if not saved(spark, path):
         train_model(df, numbers, category, label, **how).save(spark, path)
     return load_model(spark, path)

@@ -55,3 +55,47 @@ def test_attributions_of_portfolios_are_made_once(spark):
     assert "EvalPython" not in whole._jdf.queryExecution().toString()
     sums = whole.groupBy("portfolio_id").agg(F.sum("contribution").alias("s"), F.first("base").alias("b"), F.first("prediction").alias("p")).collect()
     assert len(sums) == 3 and all(r["s"] + r["b"] == pytest.approx(r["p"], abs=1e-4) for r in sums)
+
+
+def labelled(spark, n):
+    rows = spark.range(n).selectExpr("id", "id * 37 % 1009 / 10.0D AS a", "id * 53 % 97 / 10.0D AS b", "cast(id % 2 AS double) AS c", "if(id % 3 = 0, 0.5D, 1.0D) AS weight",
+                                     "if(id % 20 < 14, 'train', if(id % 20 < 17, 'val', 'test')) AS split")
+    return rows.withColumn("y", F.expr("20 + 3 * a + 2 * b + if(c = 1, a * b, 0) + id % 7"))
+
+
+def test_all_rows_are_fitted_whatever_their_number(spark):
+    rows = labelled(spark, 140_000)  # 98,000 to train on: more than one task takes
+    found = ML.train_esg(rows, ["a", "b", "c"], "y", rounds=12, step=0.3)
+    kept = rows.filter("split <> 'test'").toPandas()
+    train = (kept["split"] == "train").to_numpy()
+    assert found.cover[:, 0] == pytest.approx([kept["weight"][train].sum()] * 12)
+    # the same trees as from one task that has all of them
+    x = kept[["a", "b", "c"]].to_numpy()
+    cuts = B.cut_points(rows.filter("split = 'train'"), ["a", "b", "c"])
+    base, trees = B.boost(x, kept["y"].to_numpy(), kept["weight"].to_numpy(), ~train, cuts, 12, 0.3, 50, 31, 20)
+    assert found.base == pytest.approx(base) and [[n[0] for n in t] for t in trees] == [found.feature[i, :len(t)].tolist() for i, t in enumerate(trees)]
+    assert [n[4] for t in trees for n in t] == pytest.approx([v for i, t in enumerate(trees) for v in found.value[i, :len(t)]], abs=1e-6)
+
+
+def test_validation_rows_all_count_and_none_may_be_there(spark):
+    rows = labelled(spark, 900)
+    all_rounds = ML.train_esg(rows.filter("split = 'train'"), ["a", "b", "c"], "y", rounds=9)
+    assert all_rounds.trees == 9 and ML.train_esg(rows.filter("false"), ["a", "b", "c"], "y").trees == 0
+    # noise in validation ends the training early, however many rows there are
+    noise = rows.withColumn("y", F.when(F.col("split") == "val", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double")).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).cast("double")))
+    assert ML.train_esg(noise, ["a", "b", "c"], "y", rounds=200, step=0.3, patience=5).trees < 100
+
+
+def test_leaves_cut_ahead_give_the_same_trees():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, (3000, 4)).astype(float)
+    y, ones, cuts = x[:, 0] + np.where(x[:, 1] > 20, x[:, 2], 0) + rng.normal(size=3000), np.ones(3000), [np.arange(39.0)] * 4
+    codes, owner = B.binned(x, cuts), np.repeat(np.arange(4), 40)
+    calls = []
+    plain = B.grow(codes, owner, -y, ones, 31, 20, 0.1, lambda s: calls.append(1) or s)
+    one = B.grow(codes, owner, -y, ones, 31, 20, 0.1)
+    assert plain[0] == one[0] and len(calls) < 30
+    joint = B.joint_codes(codes, np.array([40] * 4))
+    assert [f for f, _ in joint] == [[0, 1], [2, 3]]
+    grouped = B.grow(codes, owner, -y, ones, 31, 20, 0.1, B.alone, joint)
+    assert [n[:4] for n in grouped[0]] == [n[:4] for n in one[0]] and [n[4] for n in grouped[0]] == pytest.approx([n[4] for n in one[0]])
