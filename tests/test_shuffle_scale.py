@@ -11,6 +11,7 @@ from foliospark.operators import esg as E
 from foliospark.operators import intake as N
 from foliospark.operators import market as M
 from foliospark.plans import q_sources
+from foliospark.plans.queries import QUERIES
 from foliospark.sources import readers, writers
 
 
@@ -72,6 +73,28 @@ def test_broker_files_written_by_tasks(spark, tmp_path):
     assert readers.read_broker_lines(spark, none).count() == 0
 
 
+def test_names_of_files_do_not_pass_the_driver(spark, tmp_path):
+    texts = {"a": "one\ntwo\n\nfour", "b": "\ufeffx\r\ny\rz\n" + "long " * 30 + "\r\n\r\nü€\n", "empty": "", "end": "\n", "c": "".join(f"{i * i}\n" for i in range(200))}
+    for name, text in texts.items():
+        (tmp_path / ("1" if name < "c" else "2")).mkdir(exist_ok=True)
+        (tmp_path / ("1" if name < "c" else "2") / f"{name}.txt").write_bytes(text.encode())
+    (tmp_path / "1" / "_hidden").write_text("no\n")
+    folders = [f"file://{tmp_path}/1", f"{tmp_path}/2"]
+    key = lambda df: {n: [r["line"] for r in sorted(df.collect(), key=lambda r: r["pos"]) if r["file_id"].endswith(f"/{n}.txt")] for n in texts}
+    want = key(readers.read_broker_lines(spark, folders))
+    for piece in (1 << 24, 64, 7, 3, 2, 1):  # however the files are cut, also inside a line's end
+        got = readers.read_broker_folders(spark, folders, piece)
+        assert key(got) == want and got.select("file_id", "pos").distinct().count() == got.count() == sum(map(len, want.values()))
+    assert got.inputFiles() == []  # Spark's own index of files lies on the driver
+
+
+def test_one_file_for_each_portfolio_without_an_index(spark, monkeypatch):
+    read, calls = readers.read_broker_folders, []
+    monkeypatch.setattr(readers, "read_broker_lines", None)
+    monkeypatch.setattr(readers, "read_broker_folders", lambda *a: calls.append(a) or read(*a))
+    assert QUERIES["x1_read_files_to_stress"](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
 def test_lines_join_the_facts_of_their_file_once(spark):
     rows = N.BrokerFiles(broker(spark)).rows
     assert rows._jdf.queryExecution().optimizedPlan().toString().count(" AS _salt#") == 1
