@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from ..functions.storage import file_system, fresh_path
 
 BINS = 255
-PART = 8192  # rows scored together
+PART = 1 << 16  # rows scored together
 FIT_ROWS = 50_000  # rows of a fit that one task takes before another one shares them
 MOST_TASKS = 64  # of a fit; each reads the sums of all others
 JOINT = 4096  # bins counted together
 TABLE = 10  # conditions of a leaf up to which all patterns are worked out
+STATES = 1 << 11  # of a table for leaves that are looked up together
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, lower int, upper int, value double, cover double, gain double"
 
 
@@ -219,6 +220,66 @@ def fallen(nodes: list[list], codes: np.ndarray, starts: np.ndarray) -> Iterator
             todo += [(lower, rows[below]), (upper, rows[~below])]
 
 
+@dataclass
+class Group:
+    """Leaves of one subtree.  A row's state is one number for each feature: which of the subtree's intervals its value lies in, or that
+    it does not come to the subtree.
+
+    ``states`` has each feature's state by code, times the states of the features after it; ``passed`` whether (leaf, state) passes;
+    ``leaves`` value, shares and features of each leaf's conditions, these as places among ``features``.
+    """
+    features: list[int]
+    states: list[np.ndarray]
+    passed: list[np.ndarray]
+    leaves: list[tuple[float, list[float], list[int]]]
+
+    @staticmethod
+    def of(leaves: list[tuple[float, dict]], held: dict, inside: dict, most_code: list[int]) -> Group:
+        features = sorted({**held, **inside})
+        states, passed, stride = [], [], 1
+        kind = np.min_scalar_type(int(np.prod([len(inside.get(f, ())) + 1 + (f in held) for f in features], dtype=object)) - 1)
+        for f in reversed(features):
+            cuts, (least, most, _) = np.array(sorted(inside.get(f, ())), int), held.get(f, (0, most_code[f], 1.0))
+            code = np.arange(most_code[f] + 1)
+            states.append((np.where((code < least) | (code > most), len(cuts) + 1, np.searchsorted(cuts, code, "left")) * stride).astype(kind))
+            last = np.append(cuts, most)  # of each interval
+            ends = [c[f][:2] if f in c else (0, most_code[f]) for _, c in leaves]
+            inner = np.array([(low <= last) & (last <= high) for low, high in ends])
+            passed.append(np.pad(inner, ((0, 0), (0, f in held))))
+            stride *= passed[-1].shape[1]
+        places = {f: k for k, f in enumerate(features)}
+        return Group(features, states[::-1], passed[::-1], [(v, [c[f][2] for f in c], [places[f] for f in c]) for v, c in leaves])
+
+    def add(self, codes: np.ndarray, out: np.ndarray, tables: dict[int, np.ndarray]) -> None:
+        """Add the leaves' shares of all rows to the features' rows of ``out``."""
+        state = self.states[0].take(codes[self.features[0]])
+        for own, f in zip(self.states[1:], self.features[1:], strict=True):
+            state = state + own.take(codes[f])
+        if any(id(leaf) not in tables for leaf in self.leaves):  # one of many conditions: only the patterns that occur
+            seen, state = np.unique(state, return_inverse=True)
+            marks, table = np.unravel_index(seen.astype(np.intp), [p.shape[1] for p in self.passed]), np.zeros((len(self.features), len(seen)))
+            for n, (value, shares, places) in enumerate(self.leaves):
+                patterns = sum(self.passed[k][n][marks[k]].astype(np.int64) << j for j, k in enumerate(places))
+                table[places] += leaf_shares(patterns, np.array([shares]), np.array([value]))[0]
+        else:
+            table = np.zeros((len(self.features), int(np.prod([p.shape[1] for p in self.passed]))))
+            for n, leaf in enumerate(self.leaves):
+                pattern, places = np.zeros(1, np.intp), {k: j for j, k in enumerate(leaf[2])}
+                for k, p in enumerate(self.passed):
+                    pattern = np.add.outer(pattern, p[n].astype(np.intp) << places[k] if k in places else np.zeros(p.shape[1], np.intp)).ravel()
+                for k, j in places.items():
+                    table[k] += tables[id(leaf)][j].take(pattern)
+        state = state.astype(np.intp)
+        for k, f in enumerate(self.features):
+            out[f] += table[k].take(state)
+
+
+def bits(rows: np.ndarray) -> np.ndarray:
+    """A mask of rows, 64 to a word."""
+    packed = np.packbits(rows)
+    return np.pad(packed, (0, -len(packed) % 8)).view(np.uint64)
+
+
 @dataclass
 class Boosted:
     """Trees as arrays of (tree, node); ``feature`` is -1 in leaves.  A value at most the threshold goes to ``lower``; NaN to ``upper``."""
@@ -259,20 +320,35 @@ class Boosted:
         return out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Every node's rows are kept as one mask over all rows of a part, so a tree takes a few byte operations for each node."""
+        """Every node's rows are kept as bits over all rows of a part, so a node takes a few operations on an eighth of a byte a row.
+        The number of a row's leaf is put together from one mask for each of its binary digits."""
         out = np.zeros(len(x))
         for begin in range(0, len(x) if self.trees else 0, PART):
-            codes = binned(x[begin:begin + PART], self.cuts)
+            codes, below = binned(x[begin:begin + PART], self.cuts), {}
+            n = codes.shape[1]
+
+            def at_most(f: int, place: int) -> np.ndarray:
+                if (f, place) not in below:
+                    below[f, place] = bits(codes[f] <= place)
+                return below[f, place]
+            every = bits(np.ones(n, bool))
             for inner, leaves, values in self._splits:
-                reach = {0: np.ones(codes.shape[1], bool)}
+                reach = {0: every}
                 for i, f, place, lower, upper in inner:
-                    rows, below = reach.pop(i), codes[f] <= place
-                    reach[lower], reach[upper] = rows & below, rows > below
-                kind = np.min_scalar_type(len(leaves))
-                leaf = np.zeros(codes.shape[1], kind)
+                    rows = reach.pop(i)
+                    reach[lower] = low = rows & at_most(f, place)
+                    reach[upper] = rows ^ low
+                digits = np.zeros((max(1, (len(leaves) - 1).bit_length()), len(every)), np.uint64)
                 for k, i in enumerate(leaves):
-                    leaf += np.multiply(reach[i], kind.type(k), dtype=kind)
-                out[begin:begin + PART] += values[leaf]
+                    for b, digit in enumerate(digits):
+                        if k >> b & 1:
+                            digit |= reach[i]
+                kind = np.min_scalar_type(len(leaves))
+                found = np.unpackbits(digits.view(np.uint8), axis=1, count=n).astype(kind, copy=False)
+                leaf = found[0]
+                for b in range(1, len(digits)):
+                    leaf += found[b] << kind.type(b)
+                out[begin:begin + PART] += values.take(leaf)
         return self.base + out
 
     def paths(self) -> Iterator[tuple[float, list[tuple[int, float, float, float]]]]:
@@ -295,44 +371,70 @@ class Boosted:
         return self.base + sum(value * float(np.prod([c[3] for c in conditions])) for value, conditions in self.paths())
 
     @cached_property
-    def _leaves(self) -> dict[int, tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]]:
-        """By number of conditions: the leaves' values, shares (leaf, condition) and conditions as (feature, least code, highest code)."""
-        groups: dict[int, tuple[list, list, list]] = {}
-        for value, conditions in self.paths():
-            values, shares, limits = groups.setdefault(len(conditions), ([], [], []))
-            values.append(value)
-            shares.append([c[3] for c in conditions])
-            limits.append([(f, 0 if low == -np.inf else int(np.searchsorted(self.cuts[f], low)) + 1, int(np.searchsorted(self.cuts[f], high))) for f, low, high, _ in conditions])
-        return {d: (np.array(v), np.array(s, float).reshape(len(v), d), limits) for d, (v, s, limits) in groups.items()}
+    def _groups(self) -> list[Group]:
+        """Leaves that share a table: those of the largest subtrees with at most ``STATES`` states, or single leaves."""
+        out: list[Group] = []
+
+        def places(t: int, i: int, inside: dict) -> dict[int, set[int]]:
+            f = int(self.feature[t, i])
+            inside[i] = {}
+            if f >= 0:
+                for child in (int(self.lower[t, i]), int(self.upper[t, i])):
+                    for k, own in places(t, child, inside).items():
+                        inside[i].setdefault(k, set()).update(own)
+                inside[i].setdefault(f, set()).add(int(np.searchsorted(self.cuts[f], self.threshold[t, i])))
+            return inside[i]
+
+        def leaves(t: int, i: int, held: dict) -> Iterator[tuple[float, dict]]:
+            f = int(self.feature[t, i])
+            if f < 0:
+                yield float(self.value[t, i]), held
+                return
+            least, most, share = held.get(f, (0, len(self.cuts[f]), 1.0))
+            at, cover = int(np.searchsorted(self.cuts[f], self.threshold[t, i])), self.cover[t, i]
+            for child, low, high in ((int(self.lower[t, i]), least, min(most, at)), (int(self.upper[t, i]), max(least, at + 1), most)):
+                yield from leaves(t, child, held | {f: (low, high, share * self.cover[t, child] / cover)})
+
+        def divide(t: int, i: int, held: dict, inside: dict) -> None:
+            states = {f: len(inside[i].get(f, ())) + 1 + (f in held) for f in {**held, **inside[i]}}
+            if self.feature[t, i] < 0 or (len(states) <= TABLE and np.prod(list(states.values())) <= STATES):
+                out.append(Group.of(list(leaves(t, i, held)), held, inside[i], [len(c) for c in self.cuts]))
+                return
+            f = int(self.feature[t, i])
+            least, most, share = held.get(f, (0, len(self.cuts[f]), 1.0))
+            at, cover = int(np.searchsorted(self.cuts[f], self.threshold[t, i])), self.cover[t, i]
+            for child, low, high in ((int(self.lower[t, i]), least, min(most, at)), (int(self.upper[t, i]), max(least, at + 1), most)):
+                divide(t, child, held | {f: (low, high, share * self.cover[t, child] / cover)}, inside)
+
+        for t in range(self.trees):
+            inside: dict = {}
+            places(t, 0, inside)
+            divide(t, 0, {}, inside)
+        return [g for g in out if g.features]
 
     def attributions(self, x: np.ndarray) -> np.ndarray:
         """Exact Shapley values of the trees, features not known following the cover: rows add up to prediction - expected().
 
-        A leaf's share depends only on which of its conditions a row passes: it is worked out for all patterns of many leaves at
-        once and looked up by row; with more than ``TABLE`` conditions only for the patterns that occur.
+        A leaf's share depends only on which of its conditions a row passes.  It is worked out for all patterns of many leaves at once,
+        summed up for the leaves of a subtree by the states of its features, and looked up by row; for a leaf with more than ``TABLE``
+        conditions only for the patterns that occur.
         """
-        out, codes = np.zeros((len(self.cols), len(x))), binned(x, self.cuts)
-        for d, (values, shares, limits) in self._leaves.items():
-            if d == 0:
-                continue
-            kind, at_once = np.min_scalar_type((1 << d) - 1), max(1, (1 << 20) // (d << min(d, TABLE)))
-            for begin in range(0, len(values), at_once):
-                part = slice(begin, begin + at_once)
-                tables = leaf_shares(np.arange(1 << d), shares[part], values[part]) if d <= TABLE else None
-                for n, conditions in enumerate(limits[part]):
-                    pattern = np.zeros(len(x), kind)
-                    for k, (f, least, most) in enumerate(conditions):
-                        passed = codes[f] <= most
-                        if least:
-                            passed &= codes[f] >= least
-                        pattern |= np.multiply(passed, kind.type(1 << k), dtype=kind)
-                    if tables is None:
-                        seen, where = np.unique(pattern, return_inverse=True)
-                        table = leaf_shares(seen.astype(np.int64), shares[begin + n:begin + n + 1], values[begin + n:begin + n + 1])[0]
-                    else:
-                        table, where = tables[n], pattern.astype(np.intp)
-                    for k, (f, *_) in enumerate(conditions):
-                        out[f] += table[k].take(where)
+        out, codes = np.zeros((len(self.cols), len(x))), binned(x, self.cuts).astype(np.intp)
+        todo, begin = self._groups, 0
+        while begin < len(todo):
+            end, entries = begin, 0
+            while end < len(todo) and (end == begin or entries < 1 << 20):
+                entries += sum(len(s) << min(len(s), TABLE) for _, s, _ in todo[end].leaves)
+                end += 1
+            part = todo[begin:end]
+            tables = {}
+            for d in {len(s) for g in part for _, s, _ in g.leaves if len(s) <= TABLE}:
+                own = [leaf for g in part for leaf in g.leaves if len(leaf[1]) == d]
+                made = leaf_shares(np.arange(1 << d), np.array([s for _, s, _ in own]), np.array([v for v, _, _ in own]))
+                tables |= {id(leaf): t for leaf, t in zip(own, made, strict=True)}
+            for g in part:
+                g.add(codes, out, tables)
+            begin = end
         return out.T
 
     # Spark ------------------------------------------------------------------------------------------------
@@ -345,25 +447,32 @@ class Boosted:
         sent = self._sent(df.sparkSession)
 
         @F.pandas_udf("double")
-        def predict(x: pd.Series) -> pd.Series:
-            return pd.Series(sent.value.predict(np.stack(x.to_numpy()).astype(float)) if len(x) else [], dtype=float)
+        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for some in gathered(batches, PART):
+                found = sent.value.predict(np.concatenate([np.stack(x.to_numpy()) for x in some]).astype(float))
+                yield from map(pd.Series, np.split(found, np.cumsum([len(x) for x in some])[:-1]))
 
         return df.withColumn("prediction", predict(vector_to_array("features") if kind == "vector" else F.col("features")))
 
     def score(self, df: DataFrame) -> DataFrame:
         return self.transform(spread(df, 200_000).withColumn("features", F.array(*[F.col(c).cast("double") for c in self.cols]))).drop("features")
 
-    def explain(self, df: DataFrame, key: str) -> DataFrame:
-        """(key, feature, value, attribution), one row for each feature."""
+    def explain_rows(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, x, attributions): one row for each row, both arrays in the order of ``cols``."""
         sent, cols = self._sent(df.sparkSession), self.cols
 
         @F.pandas_udf("array<double>")
-        def explained(x: pd.Series) -> pd.Series:
-            return pd.Series(list(sent.value.attributions(np.stack(x.to_numpy()).astype(float))) if len(x) else [], dtype=object)
+        def explained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for some in gathered(batches, PART):  # the tables of the trees are made once for all of them
+                found = sent.value.attributions(np.concatenate([np.stack(x.to_numpy()) for x in some]).astype(float))
+                yield from (pd.Series(list(part), dtype=object) for part in np.split(found, np.cumsum([len(x) for x in some])[:-1]))
 
-        x = spread(df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), 20_000).withColumn("a", explained("x"))
-        return x.select(key, F.posexplode("a").alias("at", "attribution"), "x").select(
-            key, F.get(F.array(*[F.lit(c) for c in cols]), F.col("at")).alias("feature"), F.get("x", F.col("at")).alias("value"), "attribution")
+        return spread(df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), PART).withColumn("attributions", explained("x"))
+
+    def explain(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, feature, value, attribution), one row for each feature."""
+        return self.explain_rows(df, key).select(key, F.posexplode("attributions").alias("at", "attribution"), "x").select(
+            key, F.get(F.array(*[F.lit(c) for c in self.cols]), F.col("at")).alias("feature"), F.get("x", F.col("at")).alias("value"), "attribution")
 
     def importance(self) -> dict[str, float]:
         """Share of each feature in the fall of the error."""
@@ -377,6 +486,20 @@ class Boosted:
         return spark.createDataFrame(rows, NODE_SCHEMA)
 
 
+def gathered(batches: Iterator[pd.Series], rows: int) -> Iterator[list[pd.Series]]:
+    """Batches until they have so many rows."""
+    some, n = [], 0
+    for batch in batches:
+        if len(batch):
+            some.append(batch)
+            n += len(batch)
+        if n >= rows:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def spread(df: DataFrame, most: int) -> DataFrame:
     """The rows evenly over tasks of at most ``most`` rows, or of fewer to occupy the cores: a small file is read by one task, however
     long its rows take.  The rows are counted first."""

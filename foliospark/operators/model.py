@@ -233,23 +233,27 @@ def attribution_record(attr: DataFrame, key: str, base: float) -> DataFrame:
     return g.select(key, F.to_json(F.struct(F.lit(float(base)).alias("base"), items.alias("features"))).alias("record"))
 
 
-def portfolio_attribution(h: DataFrame, attr: DataFrame, base: float) -> DataFrame:
+def portfolio_attribution(h: DataFrame, attr: DataFrame, base: float, features: Sequence[str] | None = None) -> DataFrame:
     """Weighted sums of attributions per portfolio and feature, all features ranked by size.
 
-    ``h``: portfolio_id, security_id, weight (fraction). Weights are summed to (portfolio, security) first.  A
-    security's attributions are one array (a fixed, small number of features), written once and joined whatever the skew;
-    only a few are broadcast, as an array takes kilobytes.  One more entry without a feature carries the weight that has attributions.
+    ``h``: portfolio_id, security_id, weight (fraction).  ``attr``: security_id, feature, attribution; or, with ``features`` given,
+    one array ``attributions`` in their order.  A security's attributions are one array (a fixed, small number of features), written
+    once and joined whatever the skew; only a few are broadcast.  A portfolio's sums are one row with a column a feature, so a task
+    shuffles one row for each portfolio, and features become rows only after that.
     """
-    pos = h.groupBy("portfolio_id", "security_id").agg(F.sum("weight").alias("w"))
-    per = cut_lineage(attr.groupBy("security_id").agg(F.collect_list(F.struct("feature", "attribution")).alias("entries")))
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(1.0).alias("attribution")))
-    x = skew.join_dimension(pos, per, "security_id", ["portfolio_id"], max_rows=20_000).filter("entries IS NOT NULL").select(
-        "portfolio_id", "w", F.explode(F.concat(whole, "entries")).alias("e"))
-    g = x.groupBy("portfolio_id", F.col("e.feature").alias("feature")).agg(F.sum(F.col("w") * F.col("e.attribution")).alias("contribution"))
-    w = Window.partitionBy("portfolio_id")  # one row per feature
-    g = g.withColumns({"coverage": F.max(F.when(F.col("feature").isNull(), F.col("contribution"))).over(w),
-                       "total": F.sum(F.when(F.col("feature").isNotNull(), F.col("contribution"))).over(w)}).filter("feature IS NOT NULL")
-    rank = F.row_number().over(w.orderBy(F.desc(F.round(F.abs("contribution"), 9)), "feature"))
+    if features is None:
+        features = sorted(r["feature"] for r in attr.select("feature").where("feature IS NOT NULL").distinct().collect())
+        own = [F.when(F.col("feature") == f, F.col("attribution")) for f in features]
+    else:
+        own = [F.get("attributions", F.lit(i)) for i in range(len(features))]
+    per = cut_lineage(attr.groupBy("security_id").agg(F.array(*[F.sum(a) for a in own]).cast("array<double>").alias("entries")))
+    x = skew.join_dimension(h.select("portfolio_id", "security_id", "weight"), per, "security_id", ["portfolio_id"], max_rows=20_000).filter("entries IS NOT NULL")
+    g = x.groupBy("portfolio_id").agg(F.sum("weight").alias("coverage"), *[F.sum(F.col("weight") * F.get("entries", F.lit(i))).alias(f"c{i}") for i in range(len(features))])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("contribution")) for i, f in enumerate(features)])
+    g = g.select("portfolio_id", "coverage", F.filter(rows, lambda r: r["contribution"].isNotNull()).alias("rows"))
+    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["contribution"])
+    g = g.select("portfolio_id", "coverage", total.alias("total"), F.explode("rows").alias("r")).select("portfolio_id", "coverage", "total", "r.*")
+    rank = F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc(F.round(F.abs("contribution"), 9)), "feature"))  # one row per feature
     return g.select("portfolio_id", "feature", F.round("contribution", 6).alias("contribution"), rank.alias("rank"),
                     F.round(F.col("coverage") * base, 6).alias("base"),
                     F.round(F.col("coverage") * base + F.col("total"), 6).alias("prediction"),

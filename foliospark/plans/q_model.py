@@ -488,6 +488,17 @@ def model_attributions(spark, d):
     return model, cut_lineage(parts.withColumnRenamed("symbol", "security_id"))
 
 
+def model_attribution_rows(spark, d):
+    """The same, one array for each security."""
+    x, model = fitted(spark, d)
+    return model, model.trees.explain_rows(x, "symbol").withColumnRenamed("symbol", "security_id")
+
+
+def stored_weights(spark, d):
+    """Weights of positions; the holdings are read for the totals and for the shares, and their ids only spread them over tasks."""
+    return P.weights(cut_lineage(V.holdings(spark, d).select("portfolio_id", "security_id", "value", F.xxhash64("holding_id").alias("holding_id"))))
+
+
 VIEWS["sql_model_cover"] = """
   SELECT portfolio_id, round(sum(CASE WHEN security_id IN (SELECT symbol FROM sql_labelled) THEN w ELSE 0 END), 6) AS coverage_weight
   FROM (SELECT portfolio_id, security_id, value / sum(value) OVER (PARTITION BY portfolio_id) AS w FROM holdings) GROUP BY 1
@@ -497,12 +508,12 @@ VIEWS["sql_model_cover"] = """
 @query("e42_model_attribution", "SELECT portfolio_id, coverage_weight, true AS adds_up FROM sql_model_cover")
 def _(spark, d):
     """Base and contributions of every portfolio against the weighted scores of its securities."""
-    model, parts = model_attributions(spark, d)
-    w, base = P.weights(V.holdings(spark, d)), model.trees.expected()
-    whole = M.portfolio_attribution(w, parts, base).groupBy("portfolio_id").agg(
+    model, parts = model_attribution_rows(spark, d)
+    w, base = cut_lineage(stored_weights(spark, d).select("portfolio_id", "security_id", "weight")), model.trees.expected()  # read twice
+    whole = M.portfolio_attribution(w, parts, base, model.cols).groupBy("portfolio_id").agg(
         F.first("coverage_weight").alias("coverage_weight"), F.first("base").alias("base"), F.first("prediction").alias("prediction"), F.sum("contribution").alias("sum"))
     scores = model.trees.score(model.prepare(training_rows(spark, d))).select(F.col("symbol").alias("security_id"), F.col("prediction").alias("score"))
-    scored = w.groupBy("portfolio_id", "security_id").agg(F.sum("weight").alias("w")).join(scores, "security_id").groupBy("portfolio_id").agg(F.sum(F.col("w") * F.col("score")).alias("weighted"))
+    scored = w.join(scores, "security_id").groupBy("portfolio_id").agg(F.sum(F.col("weight") * F.col("score")).alias("weighted"))
     near = lambda a, b: F.abs(F.col(a) - b) < 1e-4
     return whole.join(scored, "portfolio_id").select("portfolio_id", "coverage_weight", (near("prediction", F.col("weighted")) & near("prediction", F.col("base") + F.col("sum"))).alias("adds_up"))
 
@@ -511,8 +522,8 @@ def _(spark, d):
   SELECT portfolio_id, g AS feature_group, g IN ('Other') AS empty FROM sql_model_cover
   JOIN (VALUES ('ESG Components'), ('Sector'), ('Market Cap'), ('Financial Metrics'), ('Market Behavior'), ('Other')) n(g) ON true""")
 def _(spark, d):
-    model, parts = model_attributions(spark, d)
-    found = M.attribution_groups(M.portfolio_attribution(P.weights(V.holdings(spark, d)), parts, model.trees.expected()))
+    model, parts = model_attribution_rows(spark, d)
+    found = M.attribution_groups(M.portfolio_attribution(stored_weights(spark, d), parts, model.trees.expected(), model.cols))
     return found.select("portfolio_id", "feature_group", ((F.col("feature_group") == "Other") & (F.col("contribution") == 0)).alias("empty"))
 
 

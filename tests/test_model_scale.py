@@ -99,3 +99,49 @@ def test_leaves_cut_ahead_give_the_same_trees():
     assert [f for f, _ in joint] == [[0, 1], [2, 3]]
     grouped = B.grow(codes, owner, -y, ones, 31, 20, 0.1, B.alone, joint)
     assert [n[:4] for n in grouped[0]] == [n[:4] for n in one[0]] and [n[4] for n in grouped[0]] == pytest.approx([n[4] for n in one[0]])
+
+
+def test_leaves_of_a_subtree_are_looked_up_together(monkeypatch):
+    model, x, _ = boosted(leaves=12, rounds=9)
+    rows, leaves = np.concatenate([x, [[np.nan, 3.0, 50.0, -1.0], [0.0, np.nan, np.inf, -np.inf]]]), int((model.feature < 0).sum())
+    sizes, found = [], []
+    for states in (1, 30, 1 << 16):
+        monkeypatch.setattr(B, "STATES", states)
+        model.__dict__.pop("_groups", None)
+        sizes.append(len(model._groups))
+        found.append(model.attributions(rows))
+        assert sum(len(g.leaves) for g in model._groups) == leaves
+    assert sizes[0] == leaves > sizes[1] > sizes[2] == model.trees  # single leaves, subtrees, whole trees
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], abs=1e-9)
+    assert found[0].sum(axis=1) == pytest.approx(model.predict(rows) - model.expected(), abs=1e-9)
+
+
+def test_scores_by_bits_whatever_the_number_of_rows_and_leaves(monkeypatch):
+    monkeypatch.setattr(B, "PART", 100)
+    for leaves in (2, 3, 12, 300):
+        model, x, _ = boosted(leaves=leaves, rounds=3)
+        trees = sum(np.array([[row(model, t, r) for r in x[:301]] for t in range(model.trees)]))
+        for n in (0, 1, 63, 64, 65, 100, 301):
+            assert model.predict(x[:n]) == pytest.approx(model.base + trees[:n], abs=1e-9)
+
+
+def row(model, t, x):
+    i = 0
+    while model.feature[t, i] >= 0:
+        i = (model.lower if x[model.feature[t, i]] <= model.threshold[t, i] else model.upper)[t, i]
+    return model.value[t, i]
+
+
+def test_portfolios_shuffle_one_row_each(spark):
+    """A security twice, one without attributions, a portfolio without any, and features that not every security has."""
+    attr = [(1, "a", 2.0), (1, "b", -3.0), (1, "a", 0.5), (2, "b", 1.0), (None, "a", 9.0)]
+    long = spark.createDataFrame(attr, "security_id int, feature string, attribution double")
+    h = spark.createDataFrame([(7, 1, 0.25), (7, 1, 0.25), (7, 3, 0.5), (8, 2, 1.0), (9, 3, 1.0), (None, 2, 1.0), (8, None, 0.5)], "portfolio_id int, security_id int, weight double")
+    out = ML.portfolio_attribution(h, long, 10.0)
+    want = {(7, "b", -1.5, 1, 5.0, 4.75, 0.5), (7, "a", 1.25, 2, 5.0, 4.75, 0.5), (8, "b", 1.0, 1, 10.0, 11.0, 1.0), (None, "b", 1.0, 1, 10.0, 11.0, 1.0)}
+    assert {tuple(r) for r in out.collect()} == want
+    wide = spark.createDataFrame([(1, [2.0, -3.0]), (1, [0.5, None]), (2, [None, 1.0]), (None, [9.0, None])], "security_id int, attributions array<double>")
+    assert {tuple(r) for r in ML.portfolio_attribution(h, wide, 10.0, ["a", "b"]).collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.rindex("Exchange hashpartitioning(portfolio_id")  # features become rows after the last shuffle of holdings
