@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions.storage import cut_lineage, shared_dir
-from .boosting import Boosted, fit, from_nodes, spread
+from .boosting import PART, Boosted, fit, from_nodes, spread
 from .features import EncodeCategories, ImputeScale, key_digest
 
 
@@ -191,23 +192,95 @@ def weighted_ridge(rows: DataFrame, key: str, x: str, y: str, weight: str, d: in
     return total.select(F.col("key").alias(key), F.when(F.col("sw") > 0, solve(matrix, d)).alias("beta"))
 
 
-def local_surrogate(df: DataFrame, key: str, model: Model, cols: Sequence[str], samples: int = 200, top: int = 3,
+# Multipliers of the 64-bit hash.
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def hash_int(value: np.ndarray | int, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of one int, going on from the hash of the columns before it."""
+    u = np.uint64
+    h = (seed + (_P5 + u(4))) ^ (np.asarray(value, np.uint64) * _P1)
+    h = (h << u(23) | h >> u(41)) * _P2 + _P3
+    h = (h ^ h >> u(33)) * _P2
+    h = (h ^ h >> u(29)) * _P3
+    return h ^ h >> u(32)
+
+
+def perturbed_sums(model: Boosted, hashes: np.ndarray, x: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """For each row its ``samples`` perturbations, scored: the sums that a weighted ridge fit needs, as (weights, weighted scores,
+    weighted inputs, weighted inputs x scores, upper triangle of weighted input products)."""
+    d = x.shape[1]
+    upper = np.triu_indices(d)
+    out, at_once = np.empty((len(x), 2 + 2 * d + len(upper[0]))), max(1, PART // samples)
+    with np.errstate(over="ignore"):
+        for begin in range(0, len(x), at_once):
+            own = x[begin:begin + at_once]
+            h = hash_int(np.arange(samples)[:, None], hashes[begin:begin + at_once].view(np.uint64)[:, None, None])
+            h = hash_int(seed, hash_int(np.arange(d), h))
+            u = [((hash_int(t, h) & np.uint64((1 << 30) - 1)) + 0.5) / (1 << 30) for t in (1, 2)]
+            n = np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+            n[:, 0] = 0.0
+            scale = np.where(own != 0, np.abs(own) * 0.5, 0.5)
+            y = model.predict((own[:, None] + n * scale[:, None]).reshape(-1, d)).reshape(len(own), samples)
+            w = np.exp(-(n * n).sum(axis=2) / (2 * (0.75 * np.sqrt(d)) ** 2))
+            wn = n * w[:, :, None]
+            part = out[begin:begin + at_once]
+            part[:, 0], part[:, 1] = w.sum(axis=1), (w * y).sum(axis=1)
+            part[:, 2:2 + d] = wn.sum(axis=1)
+            part[:, 2 + d:2 + 2 * d] = np.matmul(y[:, None], wn)[:, 0]
+            part[:, 2 + 2 * d:] = np.matmul(n.transpose(0, 2, 1), wn)[:, *upper]
+    return out
+
+
+def ridge_weights(sums: np.ndarray, d: int, ridge: float = 1.0) -> np.ndarray:
+    """The weights of ``weighted_ridge`` from sums as ``perturbed_sums`` has them, a fit a row."""
+    upper = np.triu_indices(d)
+    sw, sy, sx, sxy = sums[:, 0], sums[:, 1], sums[:, 2:2 + d], sums[:, 2 + d:2 + 2 * d]
+    left = np.empty((len(sums), d, d))
+    left[:, *upper] = sums[:, 2 + 2 * d:]
+    left[:, upper[1], upper[0]] = sums[:, 2 + 2 * d:]
+    left += ridge * np.eye(d) - sx[:, :, None] * sx[:, None] / sw[:, None, None]
+    return np.linalg.solve(left, (sxy - sx * (sy / sw)[:, None])[:, :, None])[:, :, 0]
+
+
+def surrogate_of_trees(x: DataFrame, key: str, model: Boosted, d: int, samples: int, seed: int) -> DataFrame:
+    """(key, beta) by sums that each row's own task works out; the rows of one key are one fit, however many they are."""
+    sent, size = x.sparkSession.sparkContext.broadcast(model), 2 + 2 * d + d * (d + 1) // 2
+
+    @F.pandas_udf("array<double>")
+    def summed(h: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series(list(perturbed_sums(sent.value, h.to_numpy(np.int64), np.stack(rows.to_numpy()).astype(float), samples, seed)) if len(h) else [], dtype=object)
+
+    @F.pandas_udf("array<double>")
+    def solved(sums: pd.Series) -> pd.Series:
+        return pd.Series(list(ridge_weights(np.stack(sums.to_numpy()), d)) if len(sums) else [], dtype=object)
+
+    sums = x.select(key, summed(F.xxhash64(key), "x").alias("s")).groupBy(key).agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(size)])
+    return sums.select(key, solved(F.array(*[f"s{i}" for i in range(size)])).alias("beta"))
+
+
+def local_surrogate(df: DataFrame, key: str, model: Model | Boosted, cols: Sequence[str], samples: int = 200, top: int = 3,
                     seed: int = 42) -> DataFrame:
     """Weights of a linear model fitted around each row: noise on the inputs, one scoring pass, then a weighted ridge fit
-    over the ``samples`` perturbations of each key by column expressions.  Of equal weights the earlier column comes first."""
+    over the ``samples`` perturbations of each key.  Of equal weights the earlier column comes first.
+
+    Trees score the perturbations where they are made; other models score them as rows, fitted by column expressions."""
     d = len(cols)
-    x = spread(df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), 1_000)
-    s = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    u = lambda i, t: (F.pmod(F.xxhash64(F.col(key), F.col("j"), i, F.lit(seed), F.lit(t)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    noise = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.col("j") == 0, 0.0).otherwise(
-        F.sqrt(-2 * F.log(u(i, 1))) * F.cos(2 * np.pi * u(i, 2))))
-    s = s.withColumn("n", noise)
-    scale = lambda v: F.when(v != 0, F.abs(v) * 0.5).otherwise(0.5)
-    inputs = F.zip_with("x", "n", lambda v, n: v + n * scale(v))
-    width = 0.75 * np.sqrt(d)
-    near = F.exp(-F.aggregate("n", F.lit(0.0), lambda a, n: a + n * n) / (2 * width ** 2))
-    scored = model.transform(s.withColumn("features", array_to_vector(inputs))).select(key, "n", "prediction", near.alias("w"))
-    fitted = weighted_ridge(scored, key, "n", "prediction", "w", d)
+    x = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    if isinstance(model, Boosted):
+        fitted = surrogate_of_trees(spread(x, 5_000), key, model, d, samples, seed)
+    else:
+        s = spread(x, 1_000).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        u = lambda i, t: (F.pmod(F.xxhash64(F.col(key), F.col("j"), i, F.lit(seed), F.lit(t)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+        noise = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.col("j") == 0, 0.0).otherwise(
+            F.sqrt(-2 * F.log(u(i, 1))) * F.cos(2 * np.pi * u(i, 2))))
+        s = s.withColumn("n", noise)
+        scale = lambda v: F.when(v != 0, F.abs(v) * 0.5).otherwise(0.5)
+        inputs = F.zip_with("x", "n", lambda v, n: v + n * scale(v))
+        width = 0.75 * np.sqrt(d)
+        near = F.exp(-F.aggregate("n", F.lit(0.0), lambda a, n: a + n * n) / (2 * width ** 2))
+        scored = model.transform(s.withColumn("features", array_to_vector(inputs))).select(key, "n", "prediction", near.alias("w"))
+        fitted = weighted_ridge(scored, key, "n", "prediction", "w", d)
     names = F.array(*[F.lit(c) for c in cols])
     ranked = F.slice(F.sort_array(F.transform("beta", lambda b, i: F.struct((-F.abs(b)).alias("a"), i.alias("i"), b.alias("b")))), 1, top)
     return fitted.select(key, F.posexplode(ranked)).select(

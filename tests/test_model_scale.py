@@ -145,3 +145,27 @@ def test_portfolios_shuffle_one_row_each(spark):
     assert {tuple(r) for r in ML.portfolio_attribution(h, wide, 10.0, ["a", "b"]).collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode") < plan.rindex("Exchange hashpartitioning(portfolio_id")  # features become rows after the last shuffle of holdings
+
+
+def test_surrogate_of_trees_equals_the_one_by_rows(spark):
+    model, x, _ = boosted()
+    rows = one_task(spark, np.concatenate([x[:12], [[0.0, -3.0, 5.0, 0.0]]])).withColumn("symbol", F.expr("CASE WHEN symbol < 2 THEN null WHEN symbol = 3 THEN 4 ELSE symbol END"))
+
+    class AnyModel:  # not known to be trees
+        transform = model.transform
+    for key in ("symbol", "name"):
+        own = rows.withColumn("name", F.concat(F.lit("n"), F.col("symbol").cast("string")))
+        got, want = (ML.local_surrogate(own, key, m, list("abcd"), samples=40, top=4) for m in (model, AnyModel()))
+        value = lambda df: {(r[key], r["feature"]): r["weight"] for r in df.collect()}
+        found, plain = value(got), value(want)
+        assert found.keys() == plain.keys() and len(found) == 11 * 4  # rows of one key, also of none, are one fit
+        assert [found[k] for k in plain] == pytest.approx(list(plain.values()), abs=1e-9)
+    assert "explode(sequence" not in got._jdf.queryExecution().toString()  # no row for each perturbation
+
+
+def test_hash_goes_on_from_the_columns_before(spark):
+    df = spark.range(50).withColumn("t", F.concat(F.lit("k"), "id"))
+    rows = df.select(F.xxhash64("t").alias("h"), F.col("id").cast("int").alias("i"), F.xxhash64("t", F.col("id").cast("int"), F.lit(42)).alias("want")).toPandas()
+    with np.errstate(over="ignore"):
+        got = ML.hash_int(42, ML.hash_int(rows["i"].to_numpy(), rows["h"].to_numpy(np.int64).view(np.uint64)))
+    assert (got.view(np.int64) == rows["want"].to_numpy()).all()
