@@ -20,7 +20,7 @@ class SnapshotStore:
     ``folded/<time>`` listing the batches that the current table covers.
 
     An append never rewrites anything, so appends may overlap with each other and with a compaction; a batch counts once its
-    write has ended.  A compaction replaces only the buckets of tickers that the new batches hold, and lists these batches
+    write has ended.  A compaction replaces only the buckets whose rows the new batches change, and lists these batches
     last: one that dies halfway is repeated by the next, as folding a row in again changes nothing.  One compaction runs at
     a time.  The names of batches are the only thing on the driver.
     """
@@ -69,7 +69,11 @@ class SnapshotStore:
         fresh, current = cut_lineage(fresh), self._current()
         if current is not None:
             touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            fresh = cut_lineage(latest_snapshot(fresh.unionByName(current.filter(F.col("bucket").isin(touched)), allowMissingColumns=True)))
+            before = current.filter(F.col("bucket").isin(touched))
+            fresh = cut_lineage(latest_snapshot(fresh.unionByName(before, allowMissingColumns=True)))
+            if set(fresh.columns) == set(before.columns):  # rows that are older, or folded in again, change nothing
+                changed = fresh.exceptAll(before.select(*fresh.columns)).select("bucket").distinct().collect()
+                fresh = fresh.filter(F.col("bucket").isin([r["bucket"] for r in changed]))
         (fresh.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "ticker").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/current"))
         mark = self.spark.createDataFrame([(b,) for b in batches], "batch string")

@@ -352,6 +352,23 @@ def test_compacted_snapshots(spark, tmp_path):
     assert kept and len(kept) < len(before)  # buckets without a new row were not written again
 
 
+def test_buckets_that_do_not_change_are_not_written(spark, tmp_path):
+    from foliospark.sources.snapshots import SnapshotStore
+    store, day = SnapshotStore(spark, str(tmp_path / "store"), buckets=8), lambda n: datetime.datetime(2024, 1, n)
+    rows = lambda *r: spark.createDataFrame(list(r), "ticker string, provider string, fact_id long, fetch_ts timestamp_ntz, e double, s double, g double, overall double")
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "store" / "current").glob("bucket=*/*.parquet")}
+    store.append(rows(*[(f"t{i}", "p", i, day(5), 1.0, None, 2.0, 3.0) for i in range(40)]))
+    assert store.compact() == 1
+    first = files()
+    store.append(rows(*[(f"t{i}", "p", 100 + i, day(1), 9.0, 9.0, 9.0, 9.0) for i in range(40)]))  # older
+    for mark in (tmp_path / "store" / "folded").iterdir():
+        mark.rename(tmp_path / mark.name)
+    assert store.compact() == 2 and files() == first  # and the first once more
+    store.append(rows(("t3", "p", 200, day(9), 1.0, 1.0, 1.0, 1.0)))
+    assert store.compact() == 1 and len(files().keys() & first.keys()) == len(first) - 1
+    assert {r.ticker: r.fact_id for r in store.latest().collect()} == {f"t{i}": 200 if i == 3 else i for i in range(40)}
+
+
 def test_headers_of_many_files(spark, tmp_path):
     from foliospark.sources import readers
     for i in range(40):
